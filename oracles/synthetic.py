@@ -1,0 +1,150 @@
+"""Query metrics, control records, generated fleet and generated events."""
+from coldwatch.operators.fleet_generator import TOWNS
+from oracles.views import BASE, FLEET, READINGS
+
+_PROGRESS = f"""{READINGS},
+per_second AS (
+  SELECT source_mode, event_ts // 1000 AS second, count(*) AS n, max(num) AS top FROM readings GROUP BY 1, 2
+),
+records AS (
+  SELECT source_mode, source_mode || '-consumer' AS query_name, 'q-' || source_mode AS query_id, 'run-1' AS run_id,
+    second AS batch_id, CAST(NULL AS VARCHAR) AS timestamp, second * 1000 AS emit_ts, n AS num_input_rows,
+    CASE WHEN top % 11 <> 0 THEN n / CAST(2 AS DOUBLE) END AS input_rows_per_second,
+    CASE WHEN top % 11 <> 0 THEN CAST(n AS DOUBLE) END AS processed_rows_per_second,
+    n * 7 AS trigger_duration_ms,
+    CASE WHEN top % 5 <> 0 THEN CAST(top % 13 AS DOUBLE) END AS offsets_behind_latest_max,
+    CASE WHEN top % 5 <> 0 THEN CAST(top % 7 AS DOUBLE) END AS offsets_behind_latest_avg,
+    source_mode = 'rtm' AS is_rtm,
+    CASE WHEN source_mode = 'rtm' THEN CAST(n * 2 AS DOUBLE) END AS proc_latency_p50_ms,
+    CASE WHEN source_mode = 'rtm' THEN CAST(n * 3 AS DOUBLE) END AS proc_latency_p99_ms,
+    CASE WHEN source_mode = 'rtm' THEN CAST(n AS DOUBLE) END AS queue_latency_p50_ms,
+    CASE WHEN source_mode = 'rtm' THEN CAST(n * 2 AS DOUBLE) END AS queue_latency_p99_ms,
+    CASE WHEN source_mode = 'rtm' THEN CAST(n * 4 AS DOUBLE) END AS e2e_latency_p50_ms,
+    CAST(NULL AS DOUBLE) AS e2e_latency_p95_ms,
+    CASE WHEN source_mode = 'rtm' THEN CAST(n * 5 AS DOUBLE) END AS e2e_latency_p99_ms
+  FROM per_second
+)"""
+
+_PERCENTILES = ["proc_latency_p50_ms", "proc_latency_p99_ms", "queue_latency_p50_ms", "queue_latency_p99_ms",
+                "e2e_latency_p50_ms", "e2e_latency_p95_ms", "e2e_latency_p99_ms"]
+
+
+def _draw(modulus: int, *parts: str) -> str:
+    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {modulus})"
+
+
+def _noise(label: str) -> str:
+    return f"({_draw(1 << 32, '42', 'freezer_id', 'tick', repr(label))} / CAST(4294967296 AS DOUBLE))"
+
+
+def _pick(draw: str, names: list[str], weights: list[int]) -> str:
+    total, arms = 0, ""
+    for name, weight in zip(names[:-1], weights):
+        total += weight
+        arms += f" WHEN {draw} < {total} THEN '{name}'"
+    return f"CASE{arms} ELSE '{names[-1]}' END"
+
+
+_D = "CAST({} AS DOUBLE)".format
+
+_SCENARIO_EVENTS = f"""
+WITH {FLEET},
+indexed AS (SELECT *, row_number() OVER (ORDER BY freezer_id) - 1 AS idx, count(*) OVER () AS units FROM fleet),
+ticks AS (
+  SELECT event_id AS tick, {BASE} + ((epoch_us(ts) // 1000) - {BASE}) // 600 AS now_ms,
+    CASE event_type WHEN 'view' THEN 'door_open' WHEN 'error' THEN 'compressor_failure'
+      WHEN 'signup' THEN 'power_outage' WHEN 'purchase' THEN 'fleet_hot_zone' WHEN 'click' THEN 'normal' END AS sc
+  FROM events
+),
+given AS (SELECT * FROM ticks JOIN indexed ON idx = tick % (SELECT count(*) FROM fleet)),
+drawn AS (
+  SELECT *, CASE sc WHEN 'door_open' THEN {_D('0.18')} WHEN 'compressor_failure' THEN {_D('0.15')}
+      WHEN 'power_outage' THEN {_D('0.15')} WHEN 'fleet_hot_zone' THEN {_D('0.4')} ELSE {_D('0.03')} END AS p,
+    (now_ms + {_draw(120000, 'freezer_id', "'stagger'")}) // 120000 AS bucket
+  FROM given
+),
+rolled AS (SELECT *, {_draw(10000, 'freezer_id', 'bucket')} / {_D(10000)} AS r FROM drawn),
+depths AS (
+  SELECT *, r < p AS stressed, ((p - r) / p) * ((p - r) / p) AS depth,
+    r < p AND ((p - r) / p) * ((p - r) / p) > {_D('0.72')} AS hard,
+    temperature_upper_limit AS lim, door_open_limit_seconds AS dmax
+  FROM rolled
+)
+SELECT md5('42|' || freezer_id || '|' || CAST(tick AS VARCHAR)) AS event_id, now_ms AS event_ts,
+  freezer_id AS device_id, freezer_id, site_id,
+  round(CASE WHEN stressed AND sc IN ('compressor_failure', 'power_outage', 'fleet_hot_zone')
+               THEN lim + (depth * {_D('2.6')} - {_D('0.2')})
+             WHEN stressed AND sc = 'door_open' THEN lim - {_D(1)} + depth * {_D('1.5')}
+             ELSE lim - {_D(3)} + ({_noise('temp')} - {_D('0.5')}) END, 2) AS temperature_c,
+  round({_D(35)} + {_noise('humidity')} * {_D(20)}, 1) AS humidity_pct,
+  stressed AND sc = 'door_open' AS door_open,
+  CAST(trunc(CASE WHEN stressed AND sc = 'door_open' THEN dmax * ({_D(1)} + depth * {_D('2.4')})
+                  ELSE {_noise('door')} * {_D(15)} END) AS INT) AS door_open_seconds,
+  NOT (hard AND sc = 'compressor_failure') AS compressor_on,
+  round(CASE WHEN hard AND sc = 'compressor_failure' THEN {_noise('health')} * {_D('0.4')}
+             WHEN stressed AND sc = 'compressor_failure' THEN {_D('0.55')} + {_noise('health')} * {_D('0.2')}
+             ELSE {_D('0.85')} + {_noise('health')} * {_D('0.15')} END, 2) AS compressor_health,
+  CASE WHEN hard AND sc = 'power_outage' THEN CASE WHEN {_noise('power')} < 0.5 THEN 'outage' ELSE 'battery' END
+       ELSE 'normal' END AS power_state,
+  round(CASE WHEN hard AND sc = 'power_outage' THEN {_noise('battery')} * {_D(20)} ELSE {_D(100)} END, 1) AS battery_pct,
+  round({_D(20)} + {_noise('ambient')} * {_D(8)}, 1) AS ambient_temp_c,
+  {_noise('defrost')} < 0.05 AS defrost_cycle_active,
+  sc AS scenario_name, CASE WHEN stressed THEN 'elevated' ELSE 'none' END AS synthetic_severity,
+  now_ms AS producer_ts
+FROM depths
+"""
+
+_TOWN_VALUES = ", ".join(f"({i}, '{city}', '{state}')" for i, (city, state) in enumerate(TOWNS))
+_NUMBER = "lpad(CAST(100 + (({}) * 7919 + 42) % 9899 AS VARCHAR), 4, '0')".format
+
+_GENERATED = f"""
+WITH towns(i, city, state) AS (VALUES {_TOWN_VALUES}),
+sites AS (
+  SELECT 'S' || {_NUMBER('n_nationkey')} AS site_id, 'Store ' || {_NUMBER('n_nationkey')} || ' ' || city AS site_name,
+         state AS site_region
+  FROM nation JOIN towns ON i = {_draw(len(TOWNS), '42', "'town'", 'n_nationkey')}
+),
+placed AS (
+  SELECT c_custkey AS id, CASE WHEN c_custkey < (SELECT count(*) FROM nation) THEN c_custkey
+         ELSE {_draw(1 << 32, '42', "'site'", 'c_custkey')} END AS raw_site FROM customer
+),
+numbered AS (
+  SELECT id, {_NUMBER('site')} AS number FROM (
+    SELECT id, CASE WHEN id < (SELECT count(*) FROM nation) THEN raw_site
+           ELSE (CAST('0x' || substr(md5('42|site|' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT))
+                % (SELECT count(*) FROM nation) END AS site FROM placed)
+)
+SELECT 'FZ-' || number || '-' || lpad(CAST(row_number() OVER (PARTITION BY number ORDER BY id) AS VARCHAR),
+         CAST(greatest(2, length(CAST(row_number() OVER (PARTITION BY number ORDER BY id) AS VARCHAR))) AS INT), '0') AS freezer_id,
+  {_pick(_draw(12, '42', "'type'", 'id'), ['walk_in_freezer', 'reach_in_freezer', 'display_freezer', 'walk_in_cooler', 'dairy_case'], [3, 3, 2, 2, 2])} AS freezer_type,
+  'S' || number AS site_id,
+  {_pick(_draw(10, '42', "'priority'", 'id'), ['low', 'medium', 'high'], [5, 3, 2])} AS maintenance_priority,
+  {_pick(_draw(10, '42', "'value'", 'id'), ['low', 'medium', 'high'], [4, 3, 3])} AS inventory_value_band,
+  site_name, site_region
+FROM numbered JOIN sites ON site_id = 'S' || number
+"""
+
+SQL = {
+    "metrics_records": f"WITH {_PROGRESS} SELECT * FROM records",
+    "metrics_latest": f"""
+WITH {_PROGRESS},
+moded AS (SELECT *, CASE source_mode WHEN 'microbatch' THEN 'mb' ELSE 'rtm' END AS mode FROM records)
+SELECT mode, CAST(sum(num_input_rows) AS BIGINT) AS vol_in,
+  CAST(trunc(arg_max(input_rows_per_second, emit_ts) FILTER (input_rows_per_second IS NOT NULL)) AS INT)
+    AS input_rows_per_second,
+  coalesce(arg_max(offsets_behind_latest_max, emit_ts) FILTER (offsets_behind_latest_max IS NOT NULL), 0) AS lag,
+  {', '.join(f'arg_max({c}, emit_ts) FILTER (is_rtm) AS {c}' for c in _PERCENTILES)}
+FROM moded GROUP BY mode
+""",
+    "scenario_resolve": """
+SELECT arg_max(scenario, (ts, scenario)) AS scenario, max(ts) AS ts FROM (
+  SELECT CASE event_type WHEN 'view' THEN 'door_open' WHEN 'error' THEN 'compressor_failure'
+    WHEN 'signup' THEN 'power_outage' WHEN 'purchase' THEN 'fleet_hot_zone' WHEN 'click' THEN 'normal' END AS scenario,
+    epoch_us(ts) // 1000 AS ts
+  FROM events WHERE event_id % 4 > 1
+) WHERE scenario IS NOT NULL
+""",
+    "scenario_events": _SCENARIO_EVENTS,
+    "fleet_generate": _GENERATED,
+}
