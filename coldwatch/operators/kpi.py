@@ -103,29 +103,35 @@ def top_sites(alerts: DataFrame, as_of_ms: int, mode: str, rows: int = TOP_SITES
 
 
 def business(alerts: DataFrame, as_of_ms: int) -> DataFrame:
-    """Headline counts per view. Units and incidents are folded to one row each first, so no
-    distinct set is held for a whole view."""
+    """Headline counts per view, in one pass over the log.
+
+    Records fold to incidents, incidents to units, units to the view: no distinct set is ever
+    held for a whole view, and each step combines before its shuffle.
+    """
     opening = F.col("lifecycle_event").isin(S.OPENED, S.ESCALATED)
     opened = F.col("lifecycle_event") == S.OPENED
-    per_incident = _until(alerts, as_of_ms).groupBy("mode", "freezer_id", "incident_id").agg(
-        F.count("*").alias("records"),
-        F.count_if(opened).alias("opened"),
-        *[F.count_if(opened & (F.col("alert_severity") == s)).alias(s) for s in S.SEVERITIES],
-        F.max(opening & (F.col("alert_severity") == "critical")).cast("int").alias("was_critical"))
+    critical = F.col("alert_severity") == "critical"
+    recent = F.col("alert_kafka_ts") >= as_of_ms - latency.WINDOW_MS
+    measured = F.col("lat_b").isNotNull() & recent
+    seen = latency.with_segments(_until(alerts, as_of_ms))
+    per_incident = seen.groupBy("mode", "freezer_id", "incident_id").agg(
+        F.count_if(opened).alias("alerts"),
+        *[F.count_if(opened & (F.col("alert_severity") == s)).alias(f"opened_{s}") for s in S.SEVERITIES],
+        F.max(opening & critical).cast("int").alias("critical_incidents"),
+        F.count_if(measured).alias("measured"),
+        F.count_if(measured & (F.col("lat_b") <= latency.BUCKET_EDGES["le_250ms"])).alias("fresh"),
+        F.max(F.struct(_arrival().alias("at"), "lifecycle_event")).alias("newest"))
+    sums = ["alerts", *[f"opened_{s}" for s in S.SEVERITIES], "critical_incidents", "measured", "fresh"]
     per_unit = per_incident.groupBy("mode", "freezer_id").agg(
-        *[F.sum(n).alias(n) for n in ["records", "opened", *S.SEVERITIES, "was_critical"]])
-    counts = per_unit.groupBy("mode").agg(
-        F.count("*").alias("units_monitored"), F.sum("opened").alias("alerts"),
-        *[F.sum(s).alias(f"opened_{s}") for s in S.SEVERITIES],
-        F.sum("was_critical").alias("critical_incidents"))
-    in_alert = open_units(alerts, as_of_ms).groupBy("mode").agg(F.count("*").alias("units_in_alert"))
-    fresh = latency.buckets(alerts, as_of_ms).select(
-        "mode", (100.0 * F.col("le_250ms")
-                 / (F.col("le_250ms") + F.col("le_1s") + F.col("le_5s") + F.col("gt_5s"))).alias("fresh_pct"))
-    return (
-        counts.join(in_alert, "mode", "left").join(fresh, "mode", "left")
-        .fillna({"units_in_alert": 0, "fresh_pct": 0.0})
-    )
+        *[F.sum(n).alias(n) for n in sums], F.max("newest").alias("newest"))
+    in_alert = ((F.col("newest.lifecycle_event") != S.RESOLVED)
+                & (F.col("newest.at.alert_kafka_ts") >= as_of_ms - ACTIVE_MS))
+    return per_unit.groupBy("mode").agg(
+        F.count("*").alias("units_monitored"), *[F.sum(n).alias(n) for n in sums],
+        F.count_if(in_alert).alias("units_in_alert"),
+    ).withColumn(
+        "fresh_pct", F.coalesce(F.try_divide(100.0 * F.col("fresh"), F.col("measured")), F.lit(0.0))
+    ).drop("measured", "fresh")
 
 
 def volumes(alerts: DataFrame, events: DataFrame, as_of_ms: int) -> DataFrame:

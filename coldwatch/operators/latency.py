@@ -115,7 +115,7 @@ def alert_rate(alerts: DataFrame, as_of_ms: int) -> DataFrame:
 
 def compare_modes(alerts: DataFrame, as_of_ms: int | None = None) -> DataFrame:
     """Both engines side by side: pipeline percentiles, freshness and bucket counts."""
-    wide = percentiles(alerts, as_of_ms).where("segment = 'pipeline'").drop("segment")
-    fresh = (100.0 * F.col("le_250ms") / F.col("n")).alias("fresh_pct")
-    return wide.join(buckets(alerts, as_of_ms), "mode").select(
-        "mode", "n", "p50", "p95", "p99", "max", fresh, *BUCKET_EDGES, "gt_5s")
+    name = bucket_of(F.col("lat_b"))
+    counts = {bucket: name == bucket for bucket in [*BUCKET_EDGES, "gt_5s"]}
+    wide = nearest_rank(samples(alerts, as_of_ms), ["mode"], "lat_b", histogram=counts)
+    return wide.withColumn("fresh_pct", 100.0 * F.col("le_250ms") / F.col("n"))

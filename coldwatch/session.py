@@ -17,6 +17,9 @@ RUNTIME_CONF = {
 }
 
 
+OWN_FOLDER = "coldwatch.checkpoint.dir"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
@@ -46,10 +49,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     Only where the cluster names none (tests, laptops) a folder of our own is made and
     recorded in the session, so every later call agrees on it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not root:
         root = tempfile.mkdtemp(prefix="coldwatch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(OWN_FOLDER, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
