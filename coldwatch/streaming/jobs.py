@@ -13,6 +13,9 @@ from coldwatch.streaming import sinks
 from coldwatch.streaming.processor import stream_incidents
 
 
+MICRO_BATCH = {"processingTime": "5 seconds"}
+
+
 def incident_alerts(events: DataFrame, fleet_df: DataFrame, source_mode: str | Column,
                     clock: str = "processing", output_mode: str = "Update",
                     now_ms: int | Column | None = None, **processor) -> DataFrame:
@@ -23,12 +26,18 @@ def incident_alerts(events: DataFrame, fleet_df: DataFrame, source_mode: str | C
 
 def run_consumer(events: DataFrame, fleet_df: DataFrame, source_mode: str, sink: str,
                  sink_options: Mapping[str, str], checkpoint: str,
-                 trigger: Mapping[str, object] | None = None, stateful: bool = True) -> StreamingQuery:
-    """Events to alert messages in a sink. Engines differ in ``trigger`` alone, for example
-    ``{"processingTime": "5 seconds"}`` or ``{"availableNow": True}``."""
+                 trigger: Mapping[str, object] = MICRO_BATCH, stateful: bool = True,
+                 clock: str = "processing") -> StreamingQuery:
+    """Events to alert messages in a sink. Engines differ in ``trigger`` alone.
+
+    Processing-time timers always leave something to do, so a query with them never runs out
+    of work: ``availableNow`` needs the event clock (or the stateless rules).
+    """
+    if stateful and clock == "processing" and "availableNow" in trigger:
+        raise ValueError("availableNow never ends with processing-time timers; use clock='event'")
     mode = "Update" if sink in ("kafka", "memory", "console") else "Append"
     if stateful:
-        records = incident_alerts(events, fleet_df, source_mode, output_mode=mode)
+        records = incident_alerts(events, fleet_df, source_mode, clock, mode)
     else:
         records = alerts.alert_records(events, fleet_df, source_mode)
     return sinks.start(alerts.to_payload(records), sink, checkpoint, sink_options, trigger,
@@ -58,11 +67,11 @@ def producer_batch(spark: SparkSession, indexed_fleet: DataFrame, units: int, co
 def run_producer(spark: SparkSession, fleet_df: DataFrame, write: Callable[[DataFrame, int], None],
                  checkpoint: str, control_folder: str | None = None, scenario: str = "normal",
                  events_per_second: int = 200, partitions: int = 4,
-                 trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+                 trigger: Mapping[str, object] = MICRO_BATCH) -> StreamingQuery:
     scenarios.scenario_column(scenario)
     indexed = fleet.broadcast_if_small(fleet.with_index(fleet_df))
     ticks = (spark.readStream.format("rate").option("rowsPerSecond", events_per_second)
              .option("numPartitions", partitions).load())
     publish = producer_batch(spark, indexed, indexed.count(), control_folder, scenario, write)
     return (ticks.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+            .trigger(**trigger).start())

@@ -47,7 +47,9 @@ def test_micro_batches_and_restart_match_the_replay(spark, feed, tmp_path):
     def land(i):
         for name in os.listdir(folder / f"part{i}"):
             if name.endswith(".parquet"):
-                (landing / f"{i}-{name}").write_bytes((folder / f"part{i}" / name).read_bytes())
+                target = landing / f"{i}-{name}"
+                target.write_bytes((folder / f"part{i}" / name).read_bytes())
+                os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in this order
 
     def run():
         source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(landing))
@@ -58,7 +60,6 @@ def test_micro_batches_and_restart_match_the_replay(spark, feed, tmp_path):
 
     for i in range(3):
         land(i)
-        time.sleep(0.01)
     run()
     for i in (3, 4):
         land(i)
@@ -75,19 +76,26 @@ def test_stateful_consumer_sends_payloads(spark, small, feed, tmp_path):
     events = _stream(spark, df, folder, "part0").select(*S.EVENT_COLUMNS, "input_kafka_ts")
     out = str(tmp_path / "out")
     jobs.run_consumer(events, tt.fleet(spark, small), "microbatch", "parquet", {"path": out},
-                      str(tmp_path / "cp")).awaitTermination()
+                      str(tmp_path / "cp"), {"once": True}).awaitTermination()
     sent = spark.read.schema("key string, value string").parquet(out).collect()
     first = json.loads(sent[0]["value"])
     assert sent[0]["key"] == first["event_id"] and first["source_mode"] == "microbatch"
     assert set(first) <= set(S.ALERT_COLUMNS) and first["lifecycle_event"] in ("OPENED", "ESCALATED", "RESOLVED", "HEARTBEAT")
 
 
+def test_timers_need_an_open_ended_trigger(spark, small, feed, tmp_path):
+    df, folder = feed
+    with pytest.raises(ValueError):
+        jobs.run_consumer(_stream(spark, df, folder, "part0"), tt.fleet(spark, small), "rtm", "noop", {},
+                          str(tmp_path / "cp"), {"availableNow": True})
+
+
 def test_stateless_consumer_equals_the_batch(spark, small, feed, tmp_path):
     df, folder = feed
     events = _stream(spark, df, folder, "part1").select(*S.EVENT_COLUMNS, "input_kafka_ts")
     out = str(tmp_path / "out")
     jobs.run_consumer(events, tt.fleet(spark, small), "rtm", "parquet", {"path": out}, str(tmp_path / "cp"),
-                      stateful=False).awaitTermination()
+                      {"availableNow": True}, stateful=False).awaitTermination()
     sent = {r["key"] for r in spark.read.schema("key string, value string").parquet(out).collect()}
     batch = spark.read.schema(df.schema).parquet(str(folder / "part1"))
     assert sent == {r["event_id"] for r in alerts.judge(batch).select("event_id").collect()}
