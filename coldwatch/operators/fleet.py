@@ -11,7 +11,9 @@ _ENRICH = ["freezer_id", *S.ENRICHMENT_COLUMNS]
 
 
 def thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.DEVICE_THRESHOLDS, S.THRESHOLD_SCHEMA)
+    """The five types as a local relation: its size is known, so joins to it are broadcast."""
+    rows = ", ".join(f"('{name}', {limit}D, {seconds})" for name, limit, seconds in S.DEVICE_THRESHOLDS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(S.THRESHOLD_SCHEMA.names)})")
 
 
 def assemble(units: DataFrame, limits: DataFrame, sites: DataFrame) -> DataFrame:

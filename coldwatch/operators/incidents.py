@@ -49,6 +49,9 @@ _EMITTED_ARROW = {
 }
 
 
+_ALWAYS = ["freezer_id", "event_id", "event_ts", "temperature_c"]
+
+
 def judged_readings(enriched: DataFrame, max_rows: int = MAX_ROWS,
                     context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, bool]:
     """Sliced readings with signals, verdict ranks and quiet runs. Readings of units without
@@ -201,11 +204,16 @@ def _emitted_batch(data: pa.RecordBatch, payload: list[str], rows: list[int], ou
 
 
 def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX_ROWS,
-           context_rows: int = CONTEXT_ROWS) -> DataFrame:
+           context_rows: int = CONTEXT_ROWS, carry: list[str] | None = None) -> DataFrame:
     """Enriched readings to the incident stream: one row per OPENED, ESCALATED, HEARTBEAT and
-    RESOLVED, each carrying the reading it refers to. ``as_of_ms`` ends the replay clock
-    (default: just after the newest reading)."""
-    payload = enriched.columns
+    RESOLVED, each carrying the reading it refers to.
+
+    ``as_of_ms`` ends the replay clock (default: just after the newest reading). ``carry``
+    names the columns of the reading wanted on the result (default: all): the pass is opaque
+    to column pruning, so what is not wanted should not travel through it.
+    """
+    wanted = set(enriched.columns if carry is None else [*carry, *_ALWAYS])
+    payload = [n for n in enriched.columns if n in wanted]
     if as_of_ms is None:
         as_of = enriched.agg(F.max("event_ts") + 1).scalar()
     else:
@@ -226,19 +234,22 @@ def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX
 
 
 def finish(emitted: DataFrame) -> DataFrame:
-    """Ranks back to names, incident id and reason text."""
+    """Ranks back to names, incident id and (where its columns were carried) reason text."""
     def named(rank: str, names: list[str]):
         return F.element_at(F.array(*map(F.lit, names)), F.col(rank) + 1)
 
-    return (
+    quoted = {name for _, columns in rules.REASON_TEXT.values() for name in columns}
+    named_rows = (
         emitted.withColumns({
             "alert_type": named("type_rank", S.ALERT_TYPES),
             "alert_severity": named("escalation_level", S.SEVERITIES),
             "incident_id": F.concat_ws(":", "freezer_id", F.col("incident_started_ts").cast("string")),
         })
-        .withColumn("alert_reason", rules.reason())
         .drop("type_rank")
     )
+    if quoted <= set(emitted.columns):
+        named_rows = named_rows.withColumn("alert_reason", rules.reason())
+    return named_rows
 
 
 def summarize(incidents: DataFrame) -> DataFrame:

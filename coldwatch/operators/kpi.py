@@ -135,9 +135,12 @@ def business(alerts: DataFrame, as_of_ms: int) -> DataFrame:
 
 
 def volumes(alerts: DataFrame, events: DataFrame, as_of_ms: int) -> DataFrame:
-    """Readings in and alert records out per view."""
-    out = _until(alerts, as_of_ms).groupBy("mode").agg(F.count("*").alias("vol_out"))
+    """Readings in, alert records out and the newest scenario seen, per view."""
+    out = _until(alerts, as_of_ms).groupBy("mode").agg(
+        F.count("*").alias("vol_out"),
+        F.max_by("scenario_name", F.when(F.col("scenario_name").isNotNull(), _arrival())).alias("scenario_name"))
     into = (events.where(F.col("input_kafka_ts") <= as_of_ms)
             .groupBy(app_mode(F.col("source_mode")).alias("mode")).agg(F.count("*").alias("vol_in")))
     return into.join(out, "mode", "full").select(
-        "mode", F.coalesce("vol_in", F.lit(0)).alias("vol_in"), F.coalesce("vol_out", F.lit(0)).alias("vol_out"))
+        "mode", F.coalesce("vol_in", F.lit(0)).alias("vol_in"), F.coalesce("vol_out", F.lit(0)).alias("vol_out"),
+        F.coalesce("scenario_name", F.lit("Live")).alias("scenario_name"))

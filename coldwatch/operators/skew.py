@@ -4,78 +4,95 @@ Everything per unit is sequential in time, so a hot unit cannot be salted at ran
 readings are cut into consecutive slices of about ``max_rows`` rows, and each slice also
 receives *context*, the readings just before it that its signals look back on. Context
 reaches back at least ``CONTEXT_ROWS`` readings (the smoothed temperature forgets its past
-completely over that many) and past a full ``CONTEXT_MS`` (longer than every time window of
-the rules), or to the unit's first reading. Units below the threshold stay whole.
+completely over that many) and past a full ``CONTEXT_MS`` (the longest time window of the
+rules), or to the unit's first reading. Units below the threshold stay whole.
+
+A unit that reports so fast that context would outgrow its slices gets longer slices: twice
+the readings of one context, so that no more than half of a task's rows are context.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAIN_MS = 60_000
+from coldwatch.schemas import DEFROST_GRACE_MS
+
+GRAINS_MS = (60_000, 1_000)  # slices begin on a minute, or on a second where minutes are too full
 CONTEXT_ROWS = 256
-CONTEXT_MS = 180_000
+CONTEXT_MS = DEFROST_GRACE_MS
 MAX_ROWS = 2_000_000
 
 
 def hot_units(readings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Units with more readings than one task should take; at most rows / max_rows of them."""
-    return readings.groupBy("freezer_id").count().where(F.col("count") > max_rows).select("freezer_id")
+    """Units with more readings than one task should take (at most rows / max_rows of them),
+    with their mean rate and the slice size that suits it."""
+    rate = F.col("rows") / (F.col("last_ts") - F.col("first_ts") + 1)
+    return (
+        readings.groupBy("freezer_id")
+        .agg(F.count("*").alias("rows"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+        .where(F.col("rows") > max_rows)
+        .withColumn("rows_per_ms", rate)
+        .withColumn("slice_rows", F.greatest(F.lit(max_rows), F.ceil(rate * 2 * CONTEXT_MS)))
+    )
 
 
-def slice_plan(readings: DataFrame, hot: DataFrame, max_rows: int = MAX_ROWS,
+def slice_plan(readings: DataFrame, hot: DataFrame, grain_ms: int = GRAINS_MS[0],
                context_rows: int = CONTEXT_ROWS) -> DataFrame:
-    """Which slices each (hot unit, minute) belongs to, as its own or as context.
+    """Which slices each (hot unit, grain of time) belongs to, as its own or as context.
 
-    Works on one row per unit and minute, counted before the shuffle, so a unit's plan is
+    Works on one row per unit and grain, counted before the shuffle, so a unit's plan is
     bounded by its time span and not by its readings.
     """
-    minute = F.floor(F.col("event_ts") / GRAIN_MS)
-    per_minute = (
-        readings.join(hot, "freezer_id", "left_semi")
-        .groupBy("freezer_id", minute.alias("minute")).agg(F.count("*").alias("n"))
+    grain = F.floor(F.col("event_ts") / grain_ms)
+    per_grain = (
+        readings.select("freezer_id", grain.alias("grain"))
+        .join(hot.select("freezer_id", "slice_rows"), "freezer_id")
+        .groupBy("freezer_id", "slice_rows", "grain").agg(F.count("*").alias("n"))
     )
-    in_time = Window.partitionBy("freezer_id").orderBy("minute")
+    in_time = Window.partitionBy("freezer_id").orderBy("grain")
     earlier = F.sum("n").over(in_time.rowsBetween(Window.unboundedPreceding, -1))
     numbered = (
-        per_minute.withColumn("before", F.coalesce(earlier, F.lit(0)))
-        .withColumn("slice", F.floor(F.col("before") / max_rows))
+        per_grain.withColumn("before", F.coalesce(earlier, F.lit(0)))
+        .withColumn("slice", F.floor(F.col("before") / F.col("slice_rows")))
         .withColumn("opens", F.coalesce(F.lag("slice").over(in_time) != F.col("slice"), F.lit(True)))
-        .withColumn("next_minute", F.lead("minute").over(in_time))
+        .withColumn("next_grain", F.lead("grain").over(in_time))
         .withColumn("last_slice", F.max("slice").over(Window.partitionBy("freezer_id")) == F.col("slice"))
     )
-    # A minute with fewer than context_rows readings after it and a slice's start can only
-    # be within context_rows minutes of that start (every listed minute has readings).
-    reach = max(context_rows, CONTEXT_MS // GRAIN_MS + 1)
+    # A grain with fewer than context_rows readings between it and a slice's start is within
+    # context_rows grains of that start, since every listed grain has readings.
+    reach = max(context_rows, CONTEXT_MS // grain_ms + 1)
     ahead = numbered.withColumn("starts_ahead", F.collect_list(
-        F.when(F.col("opens"), F.struct("slice", "minute", "before", "last_slice"))
+        F.when(F.col("opens"), F.struct("slice", "grain", "before", "last_slice"))
     ).over(in_time.rowsBetween(1, reach)))
     needed = F.filter(
         "starts_ahead",
-        lambda s: (s["minute"] - F.col("next_minute") <= CONTEXT_MS // GRAIN_MS)
+        lambda s: (s["grain"] - F.col("next_grain") <= CONTEXT_MS // grain_ms)
         | (s["before"] - F.col("before") - F.col("n") < context_rows))
     own = F.array(F.struct("slice", F.lit(False).alias("is_context"), "last_slice"))
     context = F.transform(needed, lambda s: F.struct(
         s["slice"].alias("slice"), F.lit(True).alias("is_context"), s["last_slice"].alias("last_slice")))
-    return ahead.select("freezer_id", "minute", F.inline(F.concat(own, context)))
+    return ahead.select("freezer_id", "grain", F.inline(F.concat(own, context)))
 
 
 def assign_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
                   context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, bool]:
     """Readings with ``slice``, ``is_context`` and ``last_slice``; and whether any unit is hot.
 
-    One count per unit over a single pruned column decides up front; without a hot unit the
+    One count per unit over two pruned columns decides up front; without a hot unit the
     readings pass through with constants and nothing is joined or copied.
     """
     hot = hot_units(readings, max_rows)
-    if hot.isEmpty():
+    fastest = hot.agg(F.max(F.col("rows_per_ms") / F.col("slice_rows"))).first()[0]
+    if fastest is None:
         return readings.withColumns({
             "slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True),
         }), False
-    plan = slice_plan(readings, hot, max_rows, context_rows)
-    keyed = readings.withColumn("minute", F.floor(F.col("event_ts") / GRAIN_MS))
-    return keyed.join(plan, ["freezer_id", "minute"], "left").withColumns({
+    coarse, fine = GRAINS_MS
+    grain_ms = coarse if fastest * coarse <= 0.25 else fine
+    plan = slice_plan(readings, hot, grain_ms, context_rows)
+    keyed = readings.withColumn("grain", F.floor(F.col("event_ts") / grain_ms))
+    return keyed.join(plan, ["freezer_id", "grain"], "left").withColumns({
         "slice": F.coalesce("slice", F.lit(0)),
         "is_context": F.coalesce("is_context", F.lit(False)),
         "last_slice": F.coalesce("last_slice", F.lit(True)),
-    }).drop("minute"), True
+    }).drop("grain"), True

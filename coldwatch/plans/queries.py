@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 AS_OF_MS = tt.BASE_MS + 2_400_000      # 40 minutes into the incident readings
 RATE_AS_OF_MS = tt.BASE_MS + 360_000   # 6 minutes into the plain readings
 MODE = "rtm"
+LOG_COLUMNS = ["site_id", "site_name", "source_mode", "input_kafka_ts", "scenario_name"]
 
 
 def query(fn: Query) -> Query:
@@ -46,7 +47,7 @@ def _incident_input(spark: SparkSession, d: str, **kw) -> DataFrame:
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return tt.incident_log(incidents.replay(_incident_input(spark, d)))
+    return tt.incident_log(incidents.replay(_incident_input(spark, d), carry=LOG_COLUMNS))
 
 
 def _sliced(spark: SparkSession, d: str) -> DataFrame:
@@ -241,13 +242,13 @@ def _lifecycle_columns(df: DataFrame) -> DataFrame:
 @query
 def incident_lifecycle(spark, d):
     return _lifecycle_columns(
-        incidents.replay(_incident_input(spark, d)).where(F.col("lifecycle_event") != S.HEARTBEAT))
+        incidents.replay(_incident_input(spark, d), carry=[]).where(F.col("lifecycle_event") != S.HEARTBEAT))
 
 
 @query
 def incident_heartbeats(spark, d):
     return _lifecycle_columns(
-        incidents.replay(_incident_input(spark, d)).where(F.col("lifecycle_event") == S.HEARTBEAT)
+        incidents.replay(_incident_input(spark, d), carry=[]).where(F.col("lifecycle_event") == S.HEARTBEAT)
     ).drop("closed_by")
 
 
@@ -256,12 +257,12 @@ def incident_lifecycle_skewed(spark, d):
     """One unit holds a third of the readings and is replayed in slices."""
     source = _incident_input(spark, d, one_hot_unit=True)
     slice_rows = max(100, tt.table(spark, d, "events").count() // 30)
-    return _lifecycle_columns(incidents.replay(source, max_rows=slice_rows))
+    return _lifecycle_columns(incidents.replay(source, max_rows=slice_rows, carry=[]))
 
 
 @query
 def incident_summary(spark, d):
-    return incidents.summarize(incidents.replay(_incident_input(spark, d))).withColumn(
+    return incidents.summarize(incidents.replay(_incident_input(spark, d), carry=[])).withColumn(
         "peak_temp_c", F.round("peak_temp_c", 6))
 
 

@@ -155,6 +155,7 @@ WITH RECURSIVE {_OPEN},
 ins AS (SELECT CASE source_mode WHEN 'microbatch' THEN 'mb' ELSE 'rtm' END AS mode, count(*) AS vol_in
         FROM readings WHERE input_kafka_ts <= {AS_OF} GROUP BY 1),
 outs AS (SELECT mode, count(*) AS vol_out FROM past GROUP BY mode)
-SELECT mode, coalesce(vol_in, 0) AS vol_in, coalesce(vol_out, 0) AS vol_out FROM ins FULL JOIN outs USING (mode)
+SELECT mode, coalesce(vol_in, 0) AS vol_in, coalesce(vol_out, 0) AS vol_out,
+  CASE WHEN vol_out > 0 THEN 'normal' ELSE 'Live' END AS scenario_name FROM ins FULL JOIN outs USING (mode)
 """,
 }
