@@ -80,7 +80,7 @@ def entry_states(judged: DataFrame) -> DataFrame:
     unit has at most one such stretch per 30 s and slice, however many readings it has.
     """
     hot_slices = judged.where(~F.col("is_context"))
-    in_time = Window.partitionBy(*PART).orderBy(*signals.ORDER)
+    in_time = Window.partitionBy(*PART).orderBy(*signals.time_order(judged))
     silence = F.coalesce(F.col("event_ts") - F.col("prev_ts") > S.STALE_MS, F.lit(False))
     recovered = F.coalesce(
         (F.col("event_ts") - F.col("quiet_since") >= S.RECOVERY_MS)
@@ -223,12 +223,13 @@ def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX
         judged = judged.join(entry_states(judged), PART, "left")
     keep = [*payload, "slice", "is_context", "last_slice", "verdict_type", "verdict_level", "quiet_since"]
     entry = [n for n in _ENTRY.names if n.startswith("entry_")] if any_hot else []
-    rows = judged.select(*keep, *entry).withColumn("as_of_ms", as_of)
+    order = signals.time_order(judged)
+    rows = judged.select(*keep, signals.BLOCK, *entry).withColumn("as_of_ms", as_of)
     if any_hot:
         # the join above may have been split for skew; bring each slice back together
         rows = rows.repartition(*PART)
     # Without it the windows' own exchange already holds each unit in one partition.
-    ordered = rows.sortWithinPartitions(*PART, *signals.ORDER)
+    ordered = rows.sortWithinPartitions(*PART, *order).drop(signals.BLOCK)
     schema = T.StructType([enriched.schema[n] for n in payload] + _EMITTED.fields)
     return finish(ordered.mapInArrow(_replay(payload, any_hot), schema))
 

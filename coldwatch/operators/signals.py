@@ -1,7 +1,8 @@
 """Per-unit signals over time as window expressions: smoothing, slope, runs, defrost.
 
-Every function takes and returns rows; ``part`` names the columns that bound the history
-(the unit, or the unit and its slice), so one shuffle on ``part`` serves them all.
+``part`` names the columns that bound the history (the unit, or the unit and its slice), so
+one shuffle on ``part`` serves every signal. Window functions that do not build on each other
+are asked for together: Spark then computes them in one pass over the sorted rows.
 """
 from __future__ import annotations
 
@@ -13,135 +14,186 @@ from coldwatch.functions import rules
 
 ORDER = ["event_ts", "event_id"]
 UNIT = ["freezer_id"]
-_BLOCK = 512  # 0.6 ** -512 is about 1e113: well inside a double
+BLOCK = "ewma_block"
+_BLOCK_ROWS = 512  # 0.6 ** -512 is about 1e113: well inside a double
 
 
-def _in_time(part: list[str]):
-    return Window.partitionBy(*part).orderBy(*ORDER)
+def time_order(df: DataFrame) -> list[str]:
+    """Time order of a unit's rows. Blocks follow time, so putting them first changes nothing
+    but lets the sort for the block sums serve the later windows too."""
+    return [BLOCK, *ORDER] if BLOCK in df.columns else ORDER
 
 
-def _so_far(part: list[str]):
-    return _in_time(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _in_time(df: DataFrame, part: list[str]):
+    return Window.partitionBy(*part).orderBy(*time_order(df))
 
 
-def with_ewma(df: DataFrame, part: list[str] = UNIT, value: str = "temperature_c") -> DataFrame:
-    """Exponentially weighted mean ``temp_ewma`` and the one before it, ``prev_ewma``.
+def _so_far(df: DataFrame, part: list[str]):
+    return _in_time(df, part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before(df: DataFrame, part: list[str]):
+    return _in_time(df, part).rowsBetween(Window.unboundedPreceding, -1)
+
+
+# --- smoothing -----------------------------------------------------------------------------
+
+def _decay(exponent: Column) -> Column:
+    return F.pow(F.lit(1.0 - S.EWMA_ALPHA), exponent)
+
+
+def _with_block_sums(df: DataFrame, part: list[str], value: str) -> DataFrame:
+    """Row number ``_n``, its block and the mean as far as its own block determines it.
 
     e1 = x1, en = 0.4 xn + 0.6 e(n-1). Unrolled, en is a sum of 0.6**(n-k) terms, i.e. a
     running sum of values scaled by 0.6**-k, scaled back by 0.6**n: one pass, no recursion
-    and no array per row. The sum restarts every 512 readings to keep the scale in range;
-    what the previous block adds is its last value times 0.6**(position + 1).
+    and no array per row. The sum restarts every 512 readings to keep the scale in range.
     """
-    keep = 1.0 - S.EWMA_ALPHA
-    block = [*part, "_block"]
-    decay = lambda n: F.pow(F.lit(keep), n)
     weight = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(S.EWMA_ALPHA))
-    pos = F.col("_n") % _BLOCK
-    blocks = (
-        df.withColumn("_n", F.row_number().over(_in_time(part)) - 1)
-        .withColumn("_block", F.floor(F.col("_n") / _BLOCK))
-        .withColumn("_local", F.sum(weight * F.col(value) * decay(-pos)).over(_so_far(block)) * decay(pos))
-    )
-    carried = F.last(F.when(pos == _BLOCK - 1, F.col("_local")), ignorenulls=True).over(
-        _in_time(part).rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        blocks.withColumn("temp_ewma", F.col("_local") + F.coalesce(carried * decay(pos + 1), F.lit(0.0)))
-        .withColumn("prev_ewma", F.lag("temp_ewma").over(_in_time(part)))
-        .drop("_n", "_block", "_local")
+    pos = F.col("_n") % _BLOCK_ROWS
+    numbered = (
+        df.withColumn("_n", F.row_number().over(_in_time(df, part)) - 1)
+        .withColumn(BLOCK, F.floor(F.col("_n") / _BLOCK_ROWS))
     )
+    in_block = (Window.partitionBy(*part, BLOCK).orderBy(*ORDER)
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return numbered.withColumn(
+        "_local", F.sum(weight * F.col(value) * _decay(-pos)).over(in_block) * _decay(pos))
 
 
-def with_slope(df: DataFrame, part: list[str] = UNIT) -> DataFrame:
-    """``prev_ts`` and ``slope_c_per_min``: change of the smoothed temperature per minute,
-    over at least one second; 0 on the first reading."""
+def _block_carry(df: DataFrame, part: list[str]) -> Column:
+    """The mean at the end of the block before; older blocks no longer weigh anything."""
+    ends = F.when(F.col("_n") % _BLOCK_ROWS == _BLOCK_ROWS - 1, F.col("_local"))
+    return F.last(ends, ignorenulls=True).over(_before(df, part))
+
+
+def _ewma() -> Column:
+    added = F.col("_carried") * _decay(F.col("_n") % _BLOCK_ROWS + 1)
+    return F.col("_local") + F.coalesce(added, F.lit(0.0))
+
+
+def with_ewma(df: DataFrame, part: list[str] = UNIT, value: str = "temperature_c") -> DataFrame:
+    """``temp_ewma`` and, from the reading before, ``prev_ewma`` and ``prev_ts``."""
+    sums = _with_block_sums(df, part, value)
+    smoothed = sums.withColumns({
+        "_carried": _block_carry(sums, part), "prev_ts": F.lag("event_ts").over(_in_time(sums, part)),
+    }).withColumn("temp_ewma", _ewma())
+    return smoothed.withColumn("prev_ewma", F.lag("temp_ewma").over(_in_time(smoothed, part))).drop(
+        "_n", "_local", "_carried")
+
+
+def _slope() -> Column:
+    """Change of the smoothed temperature per minute, over at least one second; 0 at first."""
     minutes = F.greatest((F.col("event_ts") - F.col("prev_ts")) / F.lit(60_000.0), F.lit(1 / 60.0))
-    rise = (F.col("temp_ewma") - F.col("prev_ewma")) / minutes
-    return (df.withColumn("prev_ts", F.lag("event_ts").over(_in_time(part)))
-            .withColumn("slope_c_per_min", F.coalesce(rise, F.lit(0.0))))
+    return F.coalesce((F.col("temp_ewma") - F.col("prev_ewma")) / minutes, F.lit(0.0))
+
+
+def with_slope(df: DataFrame, part: list[str] = UNIT) -> DataFrame:
+    return with_ewma(df, part).withColumn("slope_c_per_min", _slope())
+
+
+# --- defrost, runs, trend ----------------------------------------------------------------------
+
+def _defrost_until(df: DataFrame, part: list[str]) -> Column:
+    active = F.when(F.col("defrost_cycle_active"), F.col("event_ts"))
+    return F.last(active, ignorenulls=True).over(_so_far(df, part)) + S.DEFROST_GRACE_MS
+
+
+def _in_defrost() -> Column:
+    return F.coalesce(F.col("event_ts") < F.col("defrost_until_ts"), F.lit(False))
 
 
 def with_defrost(df: DataFrame, part: list[str] = UNIT) -> DataFrame:
     """``defrost_until_ts`` of the latest defrosting reading, and ``in_defrost``."""
-    active = F.when(F.col("defrost_cycle_active"), F.col("event_ts"))
-    return (
-        df.withColumn("defrost_until_ts",
-                      F.last(active, ignorenulls=True).over(_so_far(part)) + S.DEFROST_GRACE_MS)
-        .withColumn("in_defrost", F.coalesce(F.col("event_ts") < F.col("defrost_until_ts"), F.lit(False)))
-    )
+    return df.withColumn("defrost_until_ts", _defrost_until(df, part)).withColumn("in_defrost", _in_defrost())
+
+
+def _exceeds(ewma: str) -> Column:
+    over = F.col(ewma) - F.col("temperature_upper_limit") > F.lit(S.TIE_C)
+    return F.coalesce(over, F.lit(False))
+
+
+def _compressor_bad() -> Column:
+    return F.coalesce(rules.base_flags()["compressor_risk"], F.lit(False))
 
 
-def over_limit() -> Column:
-    return F.col("temp_ewma") - F.col("temperature_upper_limit") > F.lit(S.TIE_C)
+def _run_since(df: DataFrame, part: list[str], flag: str) -> Column:
+    """When the current run of ``flag`` began: at the reading after the last one outside it
+    (``next_ts`` there), or at the first reading of all. Only meaningful inside a run."""
+    after_break = F.last(F.when(~F.col(flag), F.col("next_ts")), ignorenulls=True).over(_before(df, part))
+    return F.coalesce(after_break, F.first("event_ts").over(_so_far(df, part)))
+
+
+def _next_ts(df: DataFrame, part: list[str]) -> Column:
+    return F.lead("event_ts").over(_in_time(df, part))
 
 
 def with_over_run(df: DataFrame, part: list[str] = UNIT) -> DataFrame:
-    """``over_since``, ``consecutive_over`` and whether the run is long enough to count."""
-    return (
-        df.withColumn("is_over", F.coalesce(over_limit(), F.lit(False)))
-        .withColumn("_row", F.row_number().over(_in_time(part)))
-        .withColumn("_first", F.lag("is_over").over(_in_time(part)))
-        .withColumn("_start", F.col("is_over") & ~F.coalesce("_first", F.lit(False)))
-        .withColumn("_run", F.last(F.when(F.col("_start"), F.struct("event_ts", "_row")),
-                                   ignorenulls=True).over(_so_far(part)))
-        .withColumn("over_since", F.when(F.col("is_over"), F.col("_run.event_ts")))
-        .withColumn("consecutive_over",
-                    F.when(F.col("is_over"), F.col("_row") - F.col("_run._row") + 1).otherwise(0))
-        .withColumn("over_held", F.coalesce(
-            (F.col("event_ts") - F.col("over_since") >= S.TEMP_HOLD_MS)
-            | (F.col("consecutive_over") >= S.TEMP_HOLD_READINGS), F.lit(False)))
-        .drop("_row", "_first", "_start", "_run")
-    )
+    """On top of the smoothed temperature: ``is_over``, ``over_since`` and ``consecutive_over``."""
+    flagged = df.withColumn("is_over", _exceeds("temp_ewma")).withColumns({
+        "next_ts": _next_ts(df, part), "_row": F.row_number().over(_in_time(df, part))})
+    return _over_run(flagged, part).drop("_row")
+
+
+def _over_run(df: DataFrame, part: list[str]) -> DataFrame:
+    last_outside = F.last(F.when(~F.col("is_over"), F.col("_row")), ignorenulls=True).over(_before(df, part))
+    first_row = F.first("_row").over(_so_far(df, part)) - 1
+    return df.withColumns({
+        "over_since": F.when(F.col("is_over"), _run_since(df, part, "is_over")),
+        "consecutive_over": F.when(
+            F.col("is_over"), F.col("_row") - F.coalesce(last_outside, first_row)).otherwise(0),
+    })
+
+
+def _over_held() -> Column:
+    return F.coalesce((F.col("event_ts") - F.col("over_since") >= S.TEMP_HOLD_MS)
+                      | (F.col("consecutive_over") >= S.TEMP_HOLD_READINGS), F.lit(False))
 
 
 def with_compressor_run(df: DataFrame, part: list[str] = UNIT) -> DataFrame:
-    """``health_bad_since`` and whether the compressor fault has lasted."""
-    bad = F.coalesce(rules.base_flags()["compressor_risk"], F.lit(False))
-    return (
-        df.withColumn("compressor_bad", bad)
-        .withColumn("_first", F.lag("compressor_bad").over(_in_time(part)))
-        .withColumn("_start", F.when(
-            F.col("compressor_bad") & ~F.coalesce("_first", F.lit(False)), F.col("event_ts")))
-        .withColumn("health_bad_since", F.when(
-            F.col("compressor_bad"), F.last("_start", ignorenulls=True).over(_so_far(part))))
-        .withColumn("compressor_held", F.coalesce(
-            F.col("event_ts") - F.col("health_bad_since") >= S.COMPRESSOR_HOLD_MS, F.lit(False)))
-        .drop("_first", "_start")
-    )
+    """``compressor_bad`` and ``health_bad_since``."""
+    flagged = df.withColumn("compressor_bad", _compressor_bad()).withColumn("next_ts", _next_ts(df, part))
+    return flagged.withColumn("health_bad_since", F.when(
+        F.col("compressor_bad"), _run_since(flagged, part, "compressor_bad")))
 
 
 def with_trend(df: DataFrame, part: list[str] = UNIT) -> DataFrame:
     """``temp_trend``: the last 16 (ts, temp) points, oldest first."""
-    ring = _in_time(part).rowsBetween(-(S.TREND_POINTS - 1), Window.currentRow)
+    ring = _in_time(df, part).rowsBetween(-(S.TREND_POINTS - 1), Window.currentRow)
     point = F.struct(F.col("event_ts").alias("ts"), F.col("temperature_c").alias("temp"))
     return df.withColumn("temp_trend", F.collect_list(point).over(ring))
 
 
-def with_all_signals(df: DataFrame, part: list[str] = UNIT) -> DataFrame:
-    df = with_slope(with_ewma(df, part), part)
-    return with_compressor_run(with_over_run(with_defrost(df, part), part), part)
-
+# --- verdict --------------------------------------------------------------------------------------
 
 def classify(enriched: DataFrame, part: list[str] = UNIT) -> DataFrame:
-    """Add the sustained rule set's ``alert_type`` and ``alert_severity`` (NULL when quiet)."""
-    df = with_all_signals(enriched, part)
+    """Add all signals and the sustained rule set's ``alert_type`` and ``alert_severity`` (NULL
+    when quiet). Five windows: row number, block sums, and three layers that build on each other."""
+    df = _with_block_sums(enriched.withColumn("compressor_bad", _compressor_bad()), part, "temperature_c")
+    df = df.withColumns({
+        "_carried": _block_carry(df, part),
+        "prev_ts": F.lag("event_ts").over(_in_time(df, part)),
+        "next_ts": _next_ts(df, part),
+        "defrost_until_ts": _defrost_until(df, part),
+    }).withColumns({"temp_ewma": _ewma(), "in_defrost": _in_defrost()})
+    df = df.withColumn("is_over", _exceeds("temp_ewma")).withColumns({
+        "prev_ewma": F.lag("temp_ewma").over(_in_time(df, part)),
+        "health_bad_since": F.when(F.col("compressor_bad"), _run_since(df, part, "compressor_bad")),
+    })
+    df = _over_run(df.withColumn("_row", F.col("_n")), part)
     rising = F.coalesce(F.col("temp_ewma") - F.col("prev_ewma") > F.lit(S.TIE_C), F.lit(False))
-    flags = rules.sustained_flags(
-        F.col("is_over"), rising, F.col("over_held"), F.col("compressor_held"), F.col("in_defrost"))
-    verdict = rules.verdict(flags)
-    return df.withColumn("_verdict", verdict).select("*", "_verdict.*").drop("_verdict")
+    compressor_held = F.coalesce(
+        F.col("event_ts") - F.col("health_bad_since") >= S.COMPRESSOR_HOLD_MS, F.lit(False))
+    flags = rules.sustained_flags(F.col("is_over"), rising, _over_held(), compressor_held, F.col("in_defrost"))
+    return df.withColumns({"slope_c_per_min": _slope(), "_verdict": rules.verdict(flags)}).select(
+        "*", "_verdict.*").drop("_verdict", "_n", "_row", "_local", "_carried")
 
 
 def with_quiet_run(classified: DataFrame, part: list[str] = UNIT) -> DataFrame:
     """``quiet_since``: first reading of the current unbroken run without an alert."""
-    return (
-        classified.withColumn("_quiet", F.col("alert_type").isNull())
-        .withColumn("_first", F.lag("_quiet").over(_in_time(part)))
-        .withColumn("_start", F.when(
-            F.col("_quiet") & ~F.coalesce("_first", F.lit(False)), F.col("event_ts")))
-        .withColumn("quiet_since", F.when(
-            F.col("_quiet"), F.last("_start", ignorenulls=True).over(_so_far(part))))
-        .drop("_quiet", "_first", "_start")
-    )
+    df = classified.withColumn("_quiet", F.col("alert_type").isNull())
+    return df.withColumn(
+        "quiet_since", F.when(F.col("_quiet"), _run_since(df, part, "_quiet"))).drop("_quiet")
 
 
 def runs(flagged: DataFrame, flag: str) -> DataFrame:
@@ -154,7 +206,7 @@ def runs(flagged: DataFrame, flag: str) -> DataFrame:
     own = flagged.where(~F.col("is_context"))
     breaks = F.sum(F.when(F.col(flag), 0).otherwise(1))
     pieces = (
-        own.withColumn("_island", breaks.over(_so_far(part)))
+        own.withColumn("_island", breaks.over(_so_far(own, part)))
         .withColumn("_islands", breaks.over(Window.partitionBy(*part)))
         .where(F.col(flag))
         .groupBy(*part, "_island", "_islands")

@@ -184,7 +184,7 @@ def temp_ewma(spark, d):
 
 @query
 def temp_slope(spark, d):
-    df = signals.with_slope(signals.with_ewma(_sliced(spark, d), incidents.PART), incidents.PART)
+    df = signals.with_slope(_sliced(spark, d), incidents.PART)
     return _own(df).select("event_id", "freezer_id", F.round("slope_c_per_min", 6).alias("slope_c_per_min"))
 
 
@@ -212,8 +212,8 @@ def _held(runs: DataFrame, ms: int, readings: int | None) -> DataFrame:
 
 @query
 def over_limit_runs(spark, d):
-    df = signals.with_slope(signals.with_ewma(_sliced(spark, d), incidents.PART), incidents.PART)
-    flagged = signals.with_over_run(df, incidents.PART)
+    smoothed = signals.with_ewma(_sliced(spark, d), incidents.PART)
+    flagged = signals.with_over_run(smoothed, incidents.PART)
     return _held(signals.runs(flagged, "is_over"), S.TEMP_HOLD_MS, S.TEMP_HOLD_READINGS)
 
 
