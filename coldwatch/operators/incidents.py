@@ -33,7 +33,7 @@ _ENTRY = T.StructType([
     T.StructField("entry_level", T.IntegerType()), T.StructField("entry_peak", T.DoubleType()),
     T.StructField("entry_beat", T.LongType()),
 ])
-_EMITTED = T.StructType([
+EMITTED = T.StructType([
     T.StructField("type_rank", T.IntegerType()), T.StructField("escalation_level", T.IntegerType()),
     T.StructField("incident_started_ts", T.LongType()), T.StructField("peak_temp_c", T.DoubleType()),
     T.StructField("lifecycle_event", T.StringType()), T.StructField("emit_ts", T.LongType()),
@@ -230,7 +230,7 @@ def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX
         rows = rows.repartition(*PART)
     # Without it the windows' own exchange already holds each unit in one partition.
     ordered = rows.sortWithinPartitions(*PART, *order).drop(signals.BLOCK)
-    schema = T.StructType([enriched.schema[n] for n in payload] + _EMITTED.fields)
+    schema = T.StructType([enriched.schema[n] for n in payload] + EMITTED.fields)
     return finish(ordered.mapInArrow(_replay(payload, any_hot), schema))
 
 

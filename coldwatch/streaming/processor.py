@@ -24,7 +24,7 @@ from coldwatch.operators import lifecycle as L
 
 FLAGS = ["near_limit", "door_too_long", "compressor_risk", "weak_power", "multi",
          "door_critical", "hot_critical"]
-_EMIT = incidents._EMITTED.names
+_EMIT = incidents.EMITTED.names
 _POINT = T.StructType([T.StructField("ts", T.LongType()), T.StructField("temp", T.DoubleType())])
 
 
@@ -197,7 +197,7 @@ def stream_incidents(enriched: DataFrame, clock: str = "processing", late: str =
     known = with_flags(enriched.where(F.col("temperature_upper_limit").isNotNull()))
     emitted = known.groupBy("freezer_id").transformWithState(
         statefulProcessor=IncidentProcessor(payload, clock, late, ttl_ms),
-        outputStructType=T.StructType(payload.fields + incidents._EMITTED.fields),
+        outputStructType=T.StructType(payload.fields + incidents.EMITTED.fields),
         outputMode=output_mode,
         timeMode="None" if clock == "event" else "ProcessingTime",
     )

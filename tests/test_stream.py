@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coldwatch import schemas as S
 from coldwatch.operators import alerts, fleet, incidents
 from coldwatch.sources import control
+from coldwatch.sources import events as event_source
 from coldwatch.sources import telemetry_tables as tt
 from coldwatch.streaming import jobs, listener, sinks
 from coldwatch.streaming.processor import stream_incidents
@@ -101,6 +102,20 @@ def test_stateless_consumer_equals_the_batch(spark, small, feed, tmp_path):
     assert sent == {r["event_id"] for r in alerts.judge(batch).select("event_id").collect()}
 
 
+def test_message_stream_is_decoded_and_checked(spark, feed, tmp_path):
+    df, _ = feed
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    sent = event_source.as_messages(df)
+    broken = sent.limit(5).withColumn("value", F.lit("{"))
+    sent.unionByName(broken).write.parquet(inbox)
+    arriving = event_source.read_events(spark, "parquet", {"path": inbox}, sent.schema)
+    assert arriving.isStreaming
+    sinks.start(arriving, "parquet", str(tmp_path / "cp"), {"path": out}).awaitTermination()
+    got = spark.read.schema(arriving.schema).parquet(out)
+    assert got.count() == df.count()
+    assert got.exceptAll(df.select(*S.EVENT_COLUMNS, "input_kafka_ts")).isEmpty()
+
+
 def test_batch_table_is_idempotent(spark, tmp_path):
     write = sinks.batch_table(str(tmp_path / "t"), lambda b: b.withColumn("x", F.lit(1)))
     for _ in range(2):
