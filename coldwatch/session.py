@@ -46,11 +46,14 @@ def local_session(cores: int = 8, app: str = "coldwatch", shuffle_partitions: in
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared checkpoint folder the cluster names.
 
-    Only where the cluster names none (tests, laptops) a folder of our own is made and
-    recorded in the session, so every later call agrees on it.
+    A session on one machine (tests, laptops) that names none gets a folder of its own,
+    recorded in the session so every later call agrees on it. A cluster must name shared
+    storage: a folder of one machine would lose rows there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="coldwatch-")
         spark.conf.set(OWN_FOLDER, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

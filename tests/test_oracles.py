@@ -3,6 +3,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check_oracles import compare, open_tables
+from coldwatch.plans.queries import QUERIES
+from oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -11,10 +13,10 @@ def con(small):
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, small, name):
     assert compare(spark, con, name, contract.queries()[name], contract.oracle_sql()[name], small) is None
 
