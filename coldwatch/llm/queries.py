@@ -1,8 +1,10 @@
 """The text operators as queries over whole tables, and their SQL where SQL can express them."""
 from __future__ import annotations
 
+from coldwatch.llm.pieces import op7_pieces
+from coldwatch.llm.token_counts import op5_token_counts
 from coldwatch.llm.token_records import op4_token_records
 
-QUERIES = {f.__name__: f for f in (op4_token_records,)}
+QUERIES = {f.__name__: f for f in (op4_token_records, op5_token_counts, op7_pieces)}
 
 ORACLES: dict[str, str] = {}
