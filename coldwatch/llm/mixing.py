@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import documents
+from coldwatch.llm.tables import documents, partitions
 from coldwatch.session import freeze
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -160,7 +160,8 @@ def shards(quota: DataFrame, seed: int = SEED) -> DataFrame:
 def mix(sizes: DataFrame, quota: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix: shard, slot, source, block, row, start, words; a row for each document piece in a slot."""
     slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
-    slots = shards(quota, seed).select("*", slot.alias("slot")).select(
+    dealt = shards(quota, seed).repartition(partitions(sizes.sparkSession), "shard", "source")
+    slots = dealt.select("*", slot.alias("slot")).select(
         "shard", "slot", "source",
         permuted(F.col("slot") % F.col("blocks"), F.col("blocks"),
                  F.xxhash64(F.lit(seed), "source", F.floor(F.col("slot") / F.col("blocks")))).alias("block"),
