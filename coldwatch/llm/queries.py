@@ -7,9 +7,10 @@ from coldwatch.llm.minhash import op2_minhash
 from coldwatch.llm.mixing import op1_mixing
 from coldwatch.llm.pieces import op7_pieces
 from coldwatch.llm.secrets import op6_secret_scan
+from coldwatch.llm.suffixes import op8_suffix_dedup
 from coldwatch.llm.token_counts import op5_token_counts
 from coldwatch.llm.token_records import op4_token_records
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_minhash, op4_token_records, op5_token_counts, op6_secret_scan, op7_pieces, op9_fingerprints, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_minhash, op4_token_records, op5_token_counts, op6_secret_scan, op7_pieces, op8_suffix_dedup, op9_fingerprints, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
