@@ -10,7 +10,8 @@ from coldwatch.llm.secrets import op6_secret_scan
 from coldwatch.llm.suffixes import op8_suffix_dedup
 from coldwatch.llm.token_counts import op5_token_counts
 from coldwatch.llm.token_records import op4_token_records
+from coldwatch.llm.vectors import op3_vectors
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_minhash, op4_token_records, op5_token_counts, op6_secret_scan, op7_pieces, op8_suffix_dedup, op9_fingerprints, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_minhash, op3_vectors, op4_token_records, op5_token_counts, op6_secret_scan, op7_pieces, op8_suffix_dedup, op9_fingerprints, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
