@@ -221,6 +221,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The given rows of one document of each group, and of all that have no duplicate.
+
+    Of rows that share the kept doc_id one stays if they have equal texts, too.
+    """
+    # the few that go are joined away; nothing but their ids travels
+    gone = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"])
+
+
 def largest(nodes: DataFrame) -> DataFrame:
     """node, largest: the component with most members in each node."""
     sizes = nodes.groupBy("node", "component").count()

@@ -144,6 +144,21 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", name: str = "deco
     return rows.withColumn(name, texts(ids))
 
 
+def encoded_and_decoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """All columns but text, with ids and decoded; ids stay in one task between the two."""
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def round_trip(texts: pa.Array) -> pa.Array:
+        words = encoder(vocabulary)
+        ids, decoded = [], []
+        for text in texts.to_pylist():
+            ids.append([*words.encode(text), words.end_id])
+            decoded.append(words.library.decode(ids[-1]))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    others = [c for c in docs.columns if c != "text"]
+    return docs.withColumn("__pair", round_trip("text")).select(*(F.col(f"`{c}`") for c in others), "__pair.*")
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, and hashes of the ids and of the text they decode to.
 

@@ -1,13 +1,58 @@
-"""A training corpus from `documents`: each stage works on all that the one before kept."""
+"""A training corpus from `documents`: each stage works on all that the one before kept.
+
+1. languages: documents whose language is rejected go, all others stay.
+2. near_duplicates: one document of each group linked at a similarity of 0.8 over five-word shingles stays, the one of smallest doc_id.
+3. secrets: all documents stay; the characters of secrets become a mark.
+4. mixture: documents stay as often as the mix takes them, up to three times; those it takes no copy of, and those without words, go.
+5. pieces: the corpus as piece ids, with the text that these decode to.
+
+Stages 1 to 4 return the columns of their input. Rows alike in every column are rows of their own.
+"""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from coldwatch.llm import languages, minhash, mixing, pieces, secrets
 from coldwatch.session import freeze
 
-STAGES: list = []
+VOCABULARY = "piece_bpe_32k.model"
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the documents that are not held out, keeps those near enough to a language."""
+    model = languages.train(languages.learnt_from(docs))
+    judged = languages.predict(docs, model)
+    return judged.where(~F.col("rejected")).drop("lang_pred", "score", "rejected")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redacted(docs)
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.copies(docs)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids, decoded: what a trainer reads, and the text it stands for."""
+    return pieces.encoded_and_decoded(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("languages", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secrets", secret_stage),
+    ("mixture", mixture_stage),
+    ("pieces", piece_stage),
+]
 
-# No stage but the counting ones can be written as SQL; tests/llm compares run() with brute force.
+# SQL expresses neither the language model nor the vocabulary; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
