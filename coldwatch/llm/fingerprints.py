@@ -56,12 +56,12 @@ def written(hashes: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, 1.0).otherwise(both / either)
+    return F.when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1)))
 
 
 def containment(a: Column, b: Column) -> Column:
     """Which share of ``a`` lies in ``b``."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
 
 
 def in_ranges(docs: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def pieces(sizes: DataFrame) -> DataFrame:
 
 def quotas(target: DataFrame, seed: int = SEED) -> DataFrame:
     """Each source's blocks and slots, and how many words its last slot holds."""
-    size, block = F.col("source_size"), F.lit(BLOCK)
+    size, block = F.greatest(F.col("source_size"), F.lit(1)), F.lit(BLOCK)
     short = size - (F.col("blocks") - 1) * BLOCK
     near = F.col("part") <= F.col("gap") * BLOCK
     some = F.col("part") - F.col("gap") * BLOCK

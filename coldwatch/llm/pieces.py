@@ -126,20 +126,20 @@ def encoder(vocabulary: str) -> PieceEncoder:
 
 def encode(docs: DataFrame, vocabulary: str, name: str = "ids") -> DataFrame:
     """All columns and ``name``: the text's ids and the end id."""
-    @F.pandas_udf("array<int>")
-    def ids(texts):
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
         words = encoder(vocabulary)
-        return texts.map(lambda t: [*words.encode(t), words.end_id])
+        return pa.array([[*words.encode(t), words.end_id] for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return docs.withColumn(name, ids("text"))
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns and ``name``: the text of ``ids``; NULL ids give the empty text."""
-    @F.pandas_udf("string")
-    def texts(column):
+    @F.arrow_udf("string")
+    def texts(column: pa.Array) -> pa.Array:
         library = encoder(vocabulary).library
-        return column.map(lambda i: library.decode([] if i is None else i.tolist()))
+        return pa.array([library.decode(i or []) for i in column.to_pylist()], pa.string())
 
     return rows.withColumn(name, texts(ids))
 

@@ -141,8 +141,9 @@ def tested(candidates: DataFrame) -> DataFrame:
     df = k - 1
     chi_z = (F.pow(F.col("chi") / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     sides = 2 * F.col("above") * (n - F.col("above")) / n
-    runs_z = (F.col("runs") - sides - 1) / F.sqrt(sides * (sides - 1) / (n - 1))
-    serial_z = (F.col("along") / F.col("spread") + 1 / n) * F.sqrt(n)
+    # strings of one symbol have no spread: NULL, so no noise
+    runs_z = F.try_divide(F.col("runs") - sides - 1, F.sqrt(F.try_divide(sides * (sides - 1), n - 1)))
+    serial_z = (F.try_divide(F.col("along"), F.col("spread")) + 1 / n) * F.sqrt(n)
     noise = (
         (F.col("above") > 0) & (F.col("above") < n) & (sides > 1) & (F.col("spread") > 0)
         & (tail(chi_z) > REJECT / 3) & (2 * tail(F.abs(runs_z)) > REJECT / 3) & (2 * tail(F.abs(serial_z)) > REJECT / 3))
@@ -150,7 +151,7 @@ def tested(candidates: DataFrame) -> DataFrame:
     q = repeats / k
     like_text = df + (n - 1) * (repeats - 1)
     pairs = n * (n - 1) / 2 * q * (1 - q) + n * (n - 1) * (n - 2) * 0.3 * q * q
-    text_z = (like_text - F.col("chi")) / (2 * k / n * F.sqrt(pairs))
+    text_z = F.try_divide(like_text - F.col("chi"), 2 * k / n * F.sqrt(pairs))
     return measured.select(
         "row", "start", "end", "n",
         F.when(noise, -F.log(F.greatest(tail(text_z), F.lit(math.exp(-MOST_LOG))))).otherwise(0.0).alias("log_p"))

@@ -227,10 +227,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
 
 def with_prefix_counts(docs: DataFrame, vocabulary: str, name: str = "prefix_tokens") -> DataFrame:
     """All columns and ``name``: for each i from 0 to the text's length, the tokens of its first i code points."""
-    @F.pandas_udf("array<int>")
-    def prefixes(texts):
+    @F.arrow_udf("array<int>")
+    def prefixes(texts: pa.Array) -> pa.Array:
         words = counter(vocabulary)
-        return texts.map(lambda t: words.prefix_counts(t or ""))
+        return pa.array([words.prefix_counts(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return docs.withColumn(name, prefixes("text"))
 
