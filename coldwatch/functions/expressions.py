@@ -1,39 +1,10 @@
 """Small column helpers shared by the operators."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hash_draw(modulus: int, *parts: Column) -> Column:
-    """A repeatable integer in [0, modulus) from the first 32 bits of an md5."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % modulus
-
-
-def noise(*parts: Column) -> Column:
-    """A repeatable double in [0, 1) with 32 bits: stands in for an unseeded random draw."""
-    return hash_draw(1 << 32, *parts) / F.lit(float(1 << 32))
-
-
-def unit_draw(*parts: Column) -> Column:
-    """A repeatable double in [0, 1) with four decimals."""
-    return hash_draw(10_000, *parts) / F.lit(10_000.0)
-
-
-def pick_weighted(draw: Column, names: list[str], weights: list[int]) -> Column:
-    """The name whose cumulative weight first exceeds ``draw`` (in [0, sum(weights)))."""
-    edges, total = [], 0
-    for weight in weights:
-        total += weight
-        edges.append(total)
-    return reduce(
-        lambda rest, item: F.when(draw < item[1], F.lit(item[0])).otherwise(rest),
-        reversed(list(zip(names, edges))), F.lit(names[-1]))
-
-
 def app_mode(source_mode: Column) -> Column:
     """View name of an engine: ``mb`` for the micro-batch engine, ``rtm`` for all else."""
     return F.when(source_mode == "microbatch", F.lit("mb")).otherwise(F.lit("rtm"))

@@ -1,7 +1,7 @@
 """The static side: fleet assembly, quality checks, enrichment, misses."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coldwatch import schemas as S
@@ -62,9 +62,14 @@ def enrich(events: DataFrame, fleet: DataFrame, broadcast_rows: int = BROADCAST_
     return events.join(dim, "freezer_id", "left")
 
 
+def is_miss() -> Column:
+    """An enriched reading that can never alert: its unit is unknown or has no limit."""
+    return F.col("temperature_upper_limit").isNull()
+
+
 def misses(events: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Readings of units the fleet does not know (they can never alert)."""
-    return events.join(fleet.select("freezer_id"), "freezer_id", "left_anti")
+    """Readings, stream or table, that can never alert."""
+    return enrich(events, fleet).where(is_miss()).select(*events.columns)
 
 
 def with_index(fleet: DataFrame) -> DataFrame:
@@ -94,9 +99,25 @@ def with_index(fleet: DataFrame) -> DataFrame:
 
 
 def misses_by_unit(events: DataFrame, fleet: DataFrame) -> DataFrame:
-    """How many readings each unknown unit sent, and when."""
-    return misses(events, fleet).groupBy("freezer_id").agg(
+    """How many readings each unit without limits sent, and when.
+
+    Readings are counted per unit first: the fleet is joined to a row per unit.
+    """
+    per_unit = events.groupBy("freezer_id").agg(
         F.count("*").alias("readings"),
         F.min("event_ts").alias("first_ts"),
         F.max("event_ts").alias("last_ts"),
     )
+    return per_unit.join(fleet.where(~is_miss()).select("freezer_id"), "freezer_id", "left_anti")
+
+
+def accounts(decoded: DataFrame, fleet: DataFrame) -> DataFrame:
+    """messages, quarantined, missed, judged: nothing that came in is in none of the last three, or in two."""
+    per_unit = decoded.groupBy("freezer_id").agg(
+        F.count("*").alias("messages"), F.count_if(F.col("problem").isNotNull()).alias("quarantined"))
+    known = fleet.where(~is_miss()).select("freezer_id", F.lit(True).alias("known"))
+    good = F.col("messages") - F.col("quarantined")
+    total = lambda rows, name: F.coalesce(F.sum(rows), F.lit(0)).alias(name)
+    return per_unit.join(known, "freezer_id", "left").agg(
+        total(F.col("messages"), "messages"), total(F.col("quarantined"), "quarantined"),
+        total(F.when(F.col("known").isNull(), good), "missed"), total(F.when(F.col("known"), good), "judged"))

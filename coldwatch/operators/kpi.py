@@ -5,7 +5,7 @@ after ``as_of_ms`` is looked at. All groupings combine before the shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldwatch import schemas as S
@@ -32,17 +32,20 @@ def _arrival() -> Column:
 def open_units(alerts: DataFrame, as_of_ms: int) -> DataFrame:
     """Units in alert per view: their newest record is not a RESOLVED and is under 60 s old.
 
-    The detection latencies are those last measured for the unit, so they survive heartbeats.
+    The detection latencies are those last measured for the incident, so they survive heartbeats
+    and end with it.
     """
     record = F.struct(
         "lifecycle_event", "alert_type", "alert_severity", "site_id", "site_name",
         "incident_id", F.col("alert_kafka_ts").alias("ts"))
     seen = latency.with_segments(_until(alerts, as_of_ms))
-    latest = seen.groupBy("mode", "freezer_id").agg(
-        F.max_by(record, _arrival()).alias("r"),
+    per_incident = seen.groupBy("mode", "freezer_id", "incident_id").agg(
+        F.max(_arrival()).alias("at"), F.max_by(record, _arrival()).alias("r"),
         F.max_by("lat_a", F.when(F.col("lat_a").isNotNull(), _arrival())).alias("lat_a"),
         F.max_by("lat_b", F.when(F.col("lat_b").isNotNull(), _arrival())).alias("lat_b"),
     )
+    latest = per_incident.groupBy("mode", "freezer_id").agg(
+        F.max_by(F.struct("r", "lat_a", "lat_b"), "at").alias("u")).select("mode", "freezer_id", "u.*")
     return (
         latest.select("mode", "freezer_id", "r.*", "lat_a", "lat_b")
         .where((F.col("lifecycle_event") != S.RESOLVED) & (F.col("ts") >= as_of_ms - ACTIVE_MS))
@@ -55,7 +58,7 @@ def open_units(alerts: DataFrame, as_of_ms: int) -> DataFrame:
 def _zero_filled(counts: DataFrame, column: str, names: list[str]) -> DataFrame:
     grid = counts.sparkSession.createDataFrame(
         [(m, n) for m in ("rtm", "mb") for n in names], f"mode string, {column} string")
-    return F.broadcast(grid).join(counts, ["mode", column], "left").select(
+    return grid.join(F.broadcast(counts), ["mode", column], "left").select(  # a row per view and name
         "mode", column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -80,26 +83,32 @@ def site_heat(units: DataFrame, sites: DataFrame) -> DataFrame:
         "mode", "store", F.coalesce("worst", F.lit(0)).alias("status"))
 
 
-def alert_feed(units: DataFrame, as_of_ms: int, mode: str, rows: int = FEED_ROWS) -> DataFrame:
-    """Newest open units first."""
+def _first_rows(df: DataFrame, rows: int, *order) -> DataFrame:
+    """The first ``rows`` rows of each view; Spark cuts each task's share to as many before the shuffle."""
+    return df.withColumn("_row", F.row_number().over(Window.partitionBy("mode").orderBy(*order))).where(
+        F.col("_row") <= rows).drop("_row")
+
+
+def alert_feed(units: DataFrame, as_of_ms: int, rows: int = FEED_ROWS) -> DataFrame:
+    """Newest open units of each view."""
     label = F.create_map(*[F.lit(x) for kv in S.TYPE_LABELS.items() for x in kv])
     ago = F.greatest(F.lit(0), F.bround((as_of_ms - F.col("ts")) / F.lit(1000.0)).cast("bigint"))
     return (
-        units.where(F.col("mode") == mode).orderBy(F.desc("ts"), "freezer_id").limit(rows)
-        .select(label[F.col("alert_type")].alias("label"), F.col("alert_severity").alias("severity"),
+        _first_rows(units, rows, F.desc("ts"), "freezer_id")
+        .select("mode", label[F.col("alert_type")].alias("label"), F.col("alert_severity").alias("severity"),
                 F.col("site_name").alias("site"), F.col("freezer_id").alias("device"),
                 F.col("lat_b").alias("lat_ms"), "ts", ago.alias("ago_s"))
     )
 
 
-def top_sites(alerts: DataFrame, as_of_ms: int, mode: str, rows: int = TOP_SITES) -> DataFrame:
-    """Sites with the most incidents opened."""
-    return (
+def top_sites(alerts: DataFrame, as_of_ms: int, rows: int = TOP_SITES) -> DataFrame:
+    """Sites with the most incidents opened, per view."""
+    opened = (
         _until(alerts, as_of_ms)
-        .where((F.col("lifecycle_event") == S.OPENED) & (F.col("mode") == mode))
-        .groupBy(F.coalesce("site_name", F.lit("")).alias("site")).agg(F.count("*").alias("opened"))
-        .orderBy(F.desc("opened"), "site").limit(rows)
+        .where(F.col("lifecycle_event") == S.OPENED)
+        .groupBy("mode", F.coalesce("site_name", F.lit("")).alias("site")).agg(F.count("*").alias("opened"))
     )
+    return _first_rows(opened, rows, F.desc("opened"), "site")
 
 
 def business(alerts: DataFrame, as_of_ms: int) -> DataFrame:

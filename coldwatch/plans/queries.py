@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from coldwatch import schemas as S
 from coldwatch.functions import rules
 from coldwatch.operators import (
-    alerts, fleet, fleet_generator, incidents, kpi, latency, metrics, scenarios, signals,
+    alerts, fleet, incidents, kpi, latency, metrics, signals,
 )
 from coldwatch.operators.skew import assign_slices
 from coldwatch.session import scratch_path
@@ -21,9 +21,6 @@ from coldwatch.streaming.processor import stream_incidents
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-AS_OF_MS = tt.BASE_MS + 2_400_000      # 40 minutes into the incident readings
-RATE_AS_OF_MS = tt.BASE_MS + 360_000   # 6 minutes into the plain readings
-MODE = "rtm"
 LOG_COLUMNS = ["site_id", "site_name", "source_mode", "input_kafka_ts", "scenario_name"]
 
 
@@ -46,6 +43,11 @@ def _incident_input(spark: SparkSession, d: str, **kw) -> DataFrame:
     return fleet.enrich(tt.incident_readings(spark, d, **kw), tt.fleet(spark, d))
 
 
+def _as_of(spark: SparkSession, d: str) -> int:
+    """Just after the newest incident reading."""
+    return tt.newest_ms(spark, d, tt.INCIDENT_SQUEEZE) + 1
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     return tt.incident_log(incidents.replay(_incident_input(spark, d), carry=LOG_COLUMNS))
 
@@ -83,26 +85,24 @@ def fleet_index(spark, d):
     return fleet.with_index(tt.fleet(spark, d)).select("idx", "freezer_id")
 
 
-@query
-def fleet_generate(spark, d):
-    sites = tt.table(spark, d, "nation").count()
-    ids = tt.table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("id"))
-    site_ids = tt.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
-    return fleet_generator.generate_units(ids, sites).join(
-        fleet_generator.generate_sites(site_ids, sites), "site_id")
-
-
 @query
 def enrich_events(spark, d):
-    return fleet.enrich(tt.readings(spark, d), tt.fleet_with_gaps(spark, d)).select(
+    return fleet.enrich(tt.readings(spark, d), tt.fleet(spark, d)).select(
         "event_id", "event_ts", "freezer_id", "site_id", "temperature_c", *S.ENRICHMENT_COLUMNS)
 
 
 @query
 def enrich_misses(spark, d):
+    """Of a fleet that lacks some units and the limits of others."""
     return fleet.misses_by_unit(tt.readings(spark, d), tt.fleet_with_gaps(spark, d))
 
 
+@query
+def reading_accounts(spark, d):
+    """Every message is quarantined, missed or judged."""
+    return fleet.accounts(event_source.decode_json(_messages(spark, d)), tt.fleet_with_gaps(spark, d))
+
+
 # --- messages ---------------------------------------------------------------------------------
 
 def _messages(spark, d):
@@ -269,7 +269,7 @@ def incident_summary(spark, d):
 # --- fleet KPIs -----------------------------------------------------------------------------------------
 
 def _open(spark, d):
-    return kpi.open_units(_log(spark, d), AS_OF_MS)
+    return kpi.open_units(_log(spark, d), _as_of(spark, d))
 
 
 @query
@@ -294,22 +294,22 @@ def site_heat(spark, d):
 
 @query
 def alert_feed(spark, d):
-    return kpi.alert_feed(_open(spark, d), AS_OF_MS, MODE)
+    return kpi.alert_feed(_open(spark, d), _as_of(spark, d))
 
 
 @query
 def top_sites(spark, d):
-    return kpi.top_sites(_log(spark, d), AS_OF_MS, MODE)
+    return kpi.top_sites(_log(spark, d), _as_of(spark, d))
 
 
 @query
 def kpi_business(spark, d):
-    return kpi.business(_log(spark, d), AS_OF_MS)
+    return kpi.business(_log(spark, d), _as_of(spark, d))
 
 
 @query
 def kpi_tech(spark, d):
-    return kpi.volumes(_log(spark, d), tt.incident_readings(spark, d), AS_OF_MS)
+    return kpi.volumes(_log(spark, d), tt.incident_readings(spark, d), _as_of(spark, d))
 
 
 # --- latency ----------------------------------------------------------------------------------------------
@@ -322,27 +322,27 @@ def latency_segments(spark, d):
 
 @query
 def latency_percentiles(spark, d):
-    return latency.percentiles(_log(spark, d), AS_OF_MS)
+    return latency.percentiles(_log(spark, d), _as_of(spark, d))
 
 
 @query
 def latency_buckets(spark, d):
-    return latency.buckets(_log(spark, d), AS_OF_MS)
+    return latency.buckets(_log(spark, d), _as_of(spark, d))
 
 
 @query
 def latency_series(spark, d):
-    return latency.series(_log(spark, d), AS_OF_MS)
+    return latency.series(_log(spark, d), _as_of(spark, d))
 
 
 @query
 def throughput_series(spark, d):
-    return latency.input_rate(tt.readings(spark, d), RATE_AS_OF_MS)
+    return latency.input_rate(tt.readings(spark, d), tt.newest_ms(spark, d, tt.PLAIN_SQUEEZE) + 1)
 
 
 @query
 def alert_rate_series(spark, d):
-    return latency.alert_rate(_log(spark, d), AS_OF_MS)
+    return latency.alert_rate(_log(spark, d), _as_of(spark, d))
 
 
 @query
@@ -353,7 +353,7 @@ def mode_comparison(spark, d):
 # --- query metrics ------------------------------------------------------------------------------------------
 
 def _progress(spark, d):
-    """Progress JSON of two engines, one record per engine and second of readings."""
+    """Fixture: progress JSON of two engines, one record per engine and second of readings."""
     second = F.floor(F.col("event_ts") / 1000)
     per_second = tt.readings(spark, d).groupBy("source_mode", second.alias("second")).agg(
         F.count("*").alias("n"), F.max(F.col("event_id").cast("bigint")).alias("top"))
@@ -411,16 +411,6 @@ def scenario_resolve(spark, d):
         chosen.alias("scenario"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts")))
 
 
-@query
-def scenario_events(spark, d):
-    indexed = fleet.broadcast_if_small(fleet.with_index(tt.fleet(spark, d)))
-    ticks = tt.as_source_events(tt.table(spark, d, "events")).select(
-        F.col("event_id").alias("tick"), _scenario_of(F.col("event_type")).alias("scenario"),
-        (F.lit(tt.BASE_MS) + F.floor((F.col("ms") - tt.BASE_MS) / 600)).alias("now_ms"))
-    assigned = scenarios.assign_round_robin(ticks, indexed, indexed.count())
-    return scenarios.build_events(assigned, F.col("scenario"))
-
-
 # --- streams ----------------------------------------------------------------------------------------------------
 
 def _event_stream(spark, d):

@@ -11,30 +11,31 @@ _STR, _LONG, _INT = T.StringType(), T.LongType(), T.IntegerType()
 _DBL, _BOOL = T.DoubleType(), T.BooleanType()
 
 
-def _record(required: dict, optional: dict, order: list[str]) -> T.StructType:
-    kinds = {**required, **optional}
-    return T.StructType([T.StructField(n, kinds[n], n in optional) for n in order])
-
-
 # --- sensor event: one JSON object per message ---------------------------------------
-EVENT_COLUMNS = [
-    "event_id", "event_ts", "device_id", "freezer_id", "site_id", "temperature_c",
-    "humidity_pct", "door_open", "door_open_seconds", "compressor_on",
-    "compressor_health", "power_state", "battery_pct", "ambient_temp_c",
-    "defrost_cycle_active", "scenario_name", "synthetic_severity", "producer_ts",
-]
-_OPTIONAL_EVENT = {
-    "humidity_pct": _DBL, "ambient_temp_c": _DBL,
-    "defrost_cycle_active": _BOOL, "synthetic_severity": _STR,
-}
-_REQUIRED_EVENT = {
-    "event_id": _STR, "event_ts": _LONG, "device_id": _STR, "freezer_id": _STR,
-    "site_id": _STR, "temperature_c": _DBL, "door_open": _BOOL,
-    "door_open_seconds": _INT, "compressor_on": _BOOL, "compressor_health": _DBL,
-    "power_state": _STR, "battery_pct": _DBL, "scenario_name": _STR, "producer_ts": _LONG,
-}
-EVENT_SCHEMA = _record(_REQUIRED_EVENT, _OPTIONAL_EVENT, EVENT_COLUMNS)
-REQUIRED_EVENT_COLUMNS = [n for n in EVENT_COLUMNS if n in _REQUIRED_EVENT]
+EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", _STR, False),
+    T.StructField("event_ts", _LONG, False),
+    T.StructField("device_id", _STR, False),
+    T.StructField("freezer_id", _STR, False),
+    T.StructField("site_id", _STR, False),
+    T.StructField("temperature_c", _DBL, False),
+    T.StructField("humidity_pct", _DBL),
+    T.StructField("door_open", _BOOL, False),
+    T.StructField("door_open_seconds", _INT, False),
+    T.StructField("compressor_on", _BOOL, False),
+    T.StructField("compressor_health", _DBL, False),
+    T.StructField("power_state", _STR, False),
+    T.StructField("battery_pct", _DBL, False),
+    T.StructField("ambient_temp_c", _DBL),
+    T.StructField("defrost_cycle_active", _BOOL),
+    T.StructField("scenario_name", _STR, False),
+    T.StructField("synthetic_severity", _STR),
+    T.StructField("producer_ts", _LONG, False),
+])
+EVENT_COLUMNS = EVENT_SCHEMA.names
+REQUIRED_EVENT_COLUMNS = [f.name for f in EVENT_SCHEMA.fields if not f.nullable]
+# What a control record may name.
+SCENARIOS = ["normal", "door_open", "compressor_failure", "power_outage", "fleet_hot_zone"]
 
 # --- static dimensions -----------------------------------------------------------------
 UNIT_COLUMNS = ["freezer_id", "freezer_type", "site_id", "maintenance_priority", "inventory_value_band"]

@@ -1,19 +1,21 @@
 """The scenario control folder: small append-only JSON records, the newest one counts."""
 from __future__ import annotations
 
+import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import PySparkException
 
-from coldwatch.operators.scenarios import SCENARIOS, scenario_column
+from coldwatch.schemas import SCENARIOS
 
 CONTROL_SCHEMA = "scenario string, ts bigint"
 
 
 def append_scenario(spark: SparkSession, folder: str, scenario: str, ts_ms: int | None = None) -> None:
-    scenario_column(scenario)  # refuses unknown names
+    if scenario not in SCENARIOS:
+        raise ValueError(f"unknown scenario {scenario!r}; known: {', '.join(SCENARIOS)}")
     ts_ms = int(time.time() * 1000) if ts_ms is None else ts_ms
     spark.createDataFrame([(scenario, ts_ms)], CONTROL_SCHEMA).write.mode("append").json(folder)
 
@@ -33,6 +35,7 @@ def current_scenario(spark: SparkSession, folder: str | None, default: str) -> s
         return default
     try:
         row = newest(spark.read.schema(CONTROL_SCHEMA).json(folder)).first()
-    except AnalysisException:  # no folder yet
+    except PySparkException as problem:  # no folder yet, or one that can't be read now
+        print(f"control folder not read: {type(problem).__name__}", file=sys.stderr)
         return default
     return row["scenario"] or default

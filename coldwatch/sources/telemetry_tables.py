@@ -65,8 +65,19 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fleet_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fleet without every unit whose number ends in 9."""
-    return fleet(spark, sf_dir).where(~F.col("freezer_id").endswith("9"))
+    """The fleet without every unit whose number ends in 9, and with no limits where it ends in 4."""
+    known = F.when(~F.col("freezer_id").endswith("4"), F.col("temperature_upper_limit"))
+    return fleet(spark, sf_dir).where(~F.col("freezer_id").endswith("9")).withColumn("temperature_upper_limit", known)
+
+
+PLAIN_SQUEEZE, INCIDENT_SQUEEZE = 3600, 600
+
+
+def newest_ms(spark: SparkSession, sf_dir: str, squeeze: int) -> int:
+    """Event time of the newest reading, from one column of the source."""
+    ms = F.unix_millis(F.max("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").agg(
+        (F.lit(BASE_MS) + F.floor((ms - F.lit(BASE_MS)) / F.lit(squeeze))).cast("bigint")).first()[0]
 
 
 def _source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +143,7 @@ def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """One reading per event, 30 days squeezed to 12 minutes. ``events`` may be a stream."""
     src = _source_events(spark, sf_dir) if events is None else as_source_events(events)
-    return _readings(src, _limits(spark, sf_dir), 3600, False)
+    return _readings(src, _limits(spark, sf_dir), PLAIN_SQUEEZE, False)
 
 
 def incident_readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None,
@@ -144,7 +155,7 @@ def incident_readings(spark: SparkSession, sf_dir: str, events: DataFrame | None
     src = _source_events(spark, sf_dir) if events is None else as_source_events(events)
     if one_hot_unit:
         src = src.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, F.lit(3)).otherwise(F.col("user_id")))
-    return _readings(src, _limits(spark, sf_dir), 600, True)
+    return _readings(src, _limits(spark, sf_dir), INCIDENT_SQUEEZE, True)
 
 
 def incident_log(incidents: DataFrame) -> DataFrame:

@@ -1,14 +1,12 @@
-"""The running jobs: alerting consumers and the telemetry producer."""
+"""The running jobs: alerting consumers."""
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from coldwatch.operators import alerts, fleet, scenarios
-from coldwatch.sources import control
+from coldwatch.operators import alerts, fleet
 from coldwatch.streaming import sinks
 from coldwatch.streaming.processor import stream_incidents
 
@@ -42,36 +40,3 @@ def run_consumer(events: DataFrame, fleet_df: DataFrame, source_mode: str, sink:
         records = alerts.alert_records(events, fleet_df, source_mode)
     return sinks.start(alerts.to_payload(records), sink, checkpoint, sink_options, trigger,
                        mode.lower(), f"{source_mode}-consumer")
-
-
-def producer_batch(spark: SparkSession, indexed_fleet: DataFrame, units: int, control_folder: str | None,
-                   default: str, write: Callable[[DataFrame, int], None],
-                   seed: int = 42) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function turning rate ticks into event messages.
-
-    The control folder is read anew each batch; the last good scenario stays in force.
-    """
-    scenario = {"now": default}
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        scenario["now"] = control.current_scenario(spark, control_folder, scenario["now"])
-        ticks = batch.select(F.col("value").alias("tick"),
-                             F.unix_millis(F.current_timestamp()).alias("now_ms"))
-        assigned = scenarios.assign_round_robin(ticks, indexed_fleet, units)
-        events = scenarios.build_events(assigned, scenario["now"], seed=seed)
-        write(alerts.to_payload(events, key="freezer_id"), batch_id)
-
-    return publish
-
-
-def run_producer(spark: SparkSession, fleet_df: DataFrame, write: Callable[[DataFrame, int], None],
-                 checkpoint: str, control_folder: str | None = None, scenario: str = "normal",
-                 events_per_second: int = 200, partitions: int = 4,
-                 trigger: Mapping[str, object] = MICRO_BATCH) -> StreamingQuery:
-    scenarios.scenario_column(scenario)
-    indexed = fleet.broadcast_if_small(fleet.with_index(fleet_df))
-    ticks = (spark.readStream.format("rate").option("rowsPerSecond", events_per_second)
-             .option("numPartitions", partitions).load())
-    publish = producer_batch(spark, indexed, indexed.count(), control_folder, scenario, write)
-    return (ticks.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
-            .trigger(**trigger).start())

@@ -7,6 +7,9 @@ shuffle (``with_flags``), and the lifecycle steps are the ones the batch replay
 ``clock="processing"`` fires heartbeats and stale closings from processing-time timers.
 ``clock="event"`` fires them from the unit's own next reading, on event time: the result is
 then the same however the input is cut into micro-batches, and equal to the batch replay.
+
+A reading older than its unit's newest is judged like any other (a step of at least a second);
+``late="drop"`` leaves it out.
 """
 from __future__ import annotations
 
@@ -87,12 +90,14 @@ class Signals:
 
 
 class IncidentProcessor(StatefulProcessor):
-    def __init__(self, payload: T.StructType, clock: str = "processing", late: str = "drop",
+    def __init__(self, payload: T.StructType, clock: str = "processing", late: str = "keep",
                  ttl_ms: int | None = None):
         if clock not in ("processing", "event") or late not in ("drop", "keep"):
             raise ValueError("clock is 'processing' or 'event'; late is 'drop' or 'keep'")
         if ttl_ms is not None and clock == "event":
             raise ValueError("a time-to-live needs the processing clock")
+        if ttl_ms is not None and ttl_ms <= S.STALE_MS:
+            raise ValueError(f"a time-to-live up to {S.STALE_MS} ms would drop open incidents before they close")
         self._payload = payload
         self._event_clock = clock == "event"
         self._drop_late = late == "drop"
@@ -190,7 +195,7 @@ class IncidentProcessor(StatefulProcessor):
         pass
 
 
-def stream_incidents(enriched: DataFrame, clock: str = "processing", late: str = "drop",
+def stream_incidents(enriched: DataFrame, clock: str = "processing", late: str = "keep",
                      output_mode: str = "Update", ttl_ms: int | None = None) -> DataFrame:
     """Enriched stream to incident stream: one shuffle, on the unit."""
     payload = T.StructType([T.StructField(f.name, f.dataType) for f in enriched.schema.fields])

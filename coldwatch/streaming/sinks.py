@@ -19,13 +19,15 @@ def start(df: DataFrame, fmt: str, checkpoint: str, options: Mapping[str, str] |
 
 def batch_table(folder: str, shape: Callable[[DataFrame], DataFrame] | None = None,
                 fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function writing each micro-batch to its own subfolder.
+    """A ``foreachBatch`` function writing each micro-batch to its own subfolder of its query's.
 
-    A batch that is run again after a failure overwrites its own folder: no row twice.
+    A batch that is run again after a failure overwrites its own folder: no row twice. A query
+    with a new checkpoint has a new id, so it leaves what earlier ones wrote.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         out = shape(batch) if shape else batch
-        out.write.mode("overwrite").format(fmt).save(f"{folder}/batch_id={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        out.write.mode("overwrite").format(fmt).save(f"{folder}/query_id={query}/batch_id={batch_id}")
 
     return write
 

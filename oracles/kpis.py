@@ -1,9 +1,8 @@
 """Latency and fleet KPIs over the incident log."""
 from oracles.incidents import lifecycle
-from oracles.views import BASE, READINGS
+from oracles.views import READINGS
 
-AS_OF = BASE + 2_400_000
-RATE_AS_OF = BASE + 360_000
+AS_OF = "(SELECT as_of FROM clock)"
 
 _TYPES = ("(VALUES ('TEMP_HIGH','Temperature high'), ('DOOR_OPEN_TOO_LONG','Door open too long'), "
           "('COMPRESSOR_FAILURE_RISK','Compressor failure risk'), ('POWER_AND_WARMING','Power + warming'), "
@@ -27,10 +26,10 @@ newest AS (
             ORDER BY alert_kafka_ts DESC, emit_ts DESC, step DESC, incident_id DESC) AS r FROM past
 ),
 first_seen AS (
-  SELECT mode, freezer_id,
+  SELECT mode, freezer_id, incident_id,
     arg_max(lat_a, (alert_kafka_ts, emit_ts, step, incident_id)) FILTER (lat_a IS NOT NULL) AS lat_a,
     arg_max(lat_b, (alert_kafka_ts, emit_ts, step, incident_id)) FILTER (lat_b IS NOT NULL) AS lat_b
-  FROM past GROUP BY mode, freezer_id
+  FROM past GROUP BY mode, freezer_id, incident_id
 ),
 units AS (
   SELECT n.mode, n.freezer_id, alert_type, alert_severity, site_id, site_name, incident_id, alert_kafka_ts AS ts,
@@ -38,7 +37,7 @@ units AS (
     CAST(list_position(['warning','serious','critical'], alert_severity) AS INT) AS status,
     CASE WHEN regexp_replace(site_id, '[^0-9]', '', 'g') <> '' THEN regexp_replace(site_id, '[^0-9]', '', 'g')
          ELSE coalesce(nullif(site_name, ''), '?') END AS store
-  FROM newest n JOIN first_seen f USING (mode, freezer_id)
+  FROM newest n JOIN first_seen f USING (mode, freezer_id, incident_id)
   WHERE r = 1 AND lifecycle_event <> 'RESOLVED' AND alert_kafka_ts >= {AS_OF} - 60000
 )"""
 
@@ -55,7 +54,7 @@ def _ranked(source: str, keys: str, value: str, percents=(50, 95, 99)) -> str:
 _WINDOW = f"alert_kafka_ts BETWEEN {AS_OF} - 300000 AND {AS_OF}"
 _BUCKETS = ("count(*) FILTER (lat_b <= 250) AS le_250ms, count(*) FILTER (lat_b > 250 AND lat_b <= 1000) AS le_1s, "
             "count(*) FILTER (lat_b > 1000 AND lat_b <= 5000) AS le_5s, count(*) FILTER (lat_b > 5000) AS gt_5s")
-_SLOTS = f"SELECT unnest(generate_series({AS_OF // 1000 - 59}, {AS_OF // 1000})) AS slot"
+_SLOTS = "SELECT unnest(generate_series(as_of // 1000 - 59, as_of // 1000)) AS slot FROM clock"
 
 SQL = {
     "latency_segments": f"WITH RECURSIVE {_LOG} SELECT incident_id, lifecycle_event, emit_ts, lat_a, lat_b, lat_ig FROM alerts",
@@ -84,7 +83,8 @@ FROM ({_SLOTS}) s CROSS JOIN {_MODES} LEFT JOIN points p ON p.mode = m.mode AND
 """,
     "throughput_series": f"""
 WITH {READINGS},
-slots AS (SELECT unnest(generate_series({RATE_AS_OF // 1000 - 59}, {RATE_AS_OF // 1000})) AS slot)
+clock AS (SELECT max(event_ts) + 1 AS as_of FROM readings),
+slots AS ({_SLOTS})
 SELECT slot, CAST(round_even(count(event_id) / CAST(5 AS DOUBLE), 0) AS BIGINT) AS events_per_s
 FROM slots LEFT JOIN readings ON input_kafka_ts BETWEEN slot * 1000 - 5000 AND slot * 1000 GROUP BY slot
 """,
@@ -125,14 +125,14 @@ GROUP BY m.mode, n_nationkey
 """,
     "alert_feed": f"""
 WITH RECURSIVE {_OPEN}
-SELECT t.label, alert_severity AS severity, site_name AS site, freezer_id AS device, lat_b AS lat_ms, ts,
+SELECT mode, t.label, alert_severity AS severity, site_name AS site, freezer_id AS device, lat_b AS lat_ms, ts,
        CAST(greatest(0, round_even(({AS_OF} - ts) / CAST(1000 AS DOUBLE), 0)) AS BIGINT) AS ago_s
-FROM units JOIN {_TYPES} USING (alert_type) WHERE mode = 'rtm' ORDER BY ts DESC, freezer_id LIMIT 30
+FROM units JOIN {_TYPES} USING (alert_type) QUALIFY row_number() OVER (PARTITION BY mode ORDER BY ts DESC, freezer_id) <= 30
 """,
     "top_sites": f"""
 WITH RECURSIVE {_OPEN}
-SELECT coalesce(site_name, '') AS site, count(*) AS opened FROM past
-WHERE lifecycle_event = 'OPENED' AND mode = 'rtm' GROUP BY 1 ORDER BY opened DESC, site LIMIT 4
+SELECT mode, coalesce(site_name, '') AS site, count(*) AS opened FROM past
+WHERE lifecycle_event = 'OPENED' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY mode ORDER BY opened DESC, site) <= 4
 """,
     "kpi_business": f"""
 WITH RECURSIVE {_OPEN},

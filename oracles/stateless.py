@@ -1,7 +1,7 @@
 """Fleet, messages, stateless rules."""
 from oracles.views import FLEET, PREDICATES, READINGS, STATELESS
 
-_GAPPY = "(SELECT * FROM fleet WHERE right(freezer_id, 1) <> '9')"
+_JUDGED = "SELECT freezer_id FROM fleet WHERE right(freezer_id, 1) NOT IN ('4', '9')"
 _ENRICHMENT = ("site_name, site_region, freezer_type, temperature_upper_limit, "
                "door_open_limit_seconds, maintenance_priority, inventory_value_band")
 
@@ -49,12 +49,18 @@ UNION ALL SELECT 'unit_without_site', count(*) FROM units WHERE site_id NOT IN (
 WITH {READINGS},
 bare AS (SELECT event_id, event_ts, freezer_id, site_id, temperature_c FROM readings)
 SELECT bare.*, {_ENRICHMENT}
-FROM bare LEFT JOIN (SELECT freezer_id, {_ENRICHMENT} FROM {_GAPPY}) USING (freezer_id)
+FROM bare LEFT JOIN (SELECT freezer_id, {_ENRICHMENT} FROM fleet) USING (freezer_id)
 """,
     "enrich_misses": f"""
 WITH {READINGS}
 SELECT freezer_id, count(*) AS readings, min(event_ts) AS first_ts, max(event_ts) AS last_ts
-FROM readings WHERE freezer_id NOT IN (SELECT freezer_id FROM {_GAPPY}) GROUP BY freezer_id
+FROM readings WHERE freezer_id NOT IN ({_JUDGED}) GROUP BY freezer_id
+""",
+    "reading_accounts": f"""
+WITH {_PARSED}
+SELECT count(*) AS messages, count(problem) AS quarantined,
+  count(*) FILTER (problem IS NULL AND freezer_id NOT IN ({_JUDGED})) AS missed,
+  count(*) FILTER (problem IS NULL AND freezer_id IN ({_JUDGED})) AS judged FROM messages
 """,
     "events_parse": f"""
 WITH {_PARSED}

@@ -35,7 +35,7 @@ def test_open_alert_counts(spark):
     assert kinds["rtm", "DOOR_OPEN_TOO_LONG"]["n"] == 1 and kinds["mb", "DOOR_OPEN_TOO_LONG"]["n"] == 0
     assert len(kinds) == 10
     assert by(kpi.open_by_severity(units), "mode", "alert_severity")["rtm", "serious"]["n"] == 1
-    feed = kpi.alert_feed(units, T, "rtm").first()
+    feed = kpi.alert_feed(units, T).where("mode = 'rtm'").first()
     assert (feed["device"], feed["severity"], feed["label"]) == ("FZ-0142-01", "serious", "Door open too long")
 
 
@@ -142,5 +142,5 @@ def test_input_rate(spark):
 def test_top_sites_break_ties_by_name(spark):
     alerts = log(spark, *[dict(site_name=s, incident_id=f"{s}{i}") for s, n in
                           [("a", 1), ("b", 2), ("c", 1), ("d", 3), ("e", 1)] for i in range(n)])
-    top = [(r["site"], r["opened"]) for r in kpi.top_sites(alerts, T, "rtm").collect()]
+    top = [(r["site"], r["opened"]) for r in kpi.top_sites(alerts, T).where("mode = 'rtm'").collect()]
     assert top == [("d", 3), ("b", 2), ("a", 1), ("c", 1)]

@@ -1,11 +1,11 @@
-"""Decoding, quarantine, control folder, CSV fleet, generators, metrics records."""
+"""Decoding, quarantine, control folder, CSV fleet, metrics records."""
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from coldwatch import schemas as S
-from coldwatch.operators import alerts, fleet, fleet_generator, metrics, scenarios
+from coldwatch.operators import fleet, metrics
 from coldwatch.sources import control, events, fleet_csv
 from samples import BASE, T0, frame, reading
 
@@ -49,18 +49,29 @@ def test_control_folder(spark, tmp_path):
         control.append_scenario(spark, folder, "siesta")
 
 
-def test_generated_fleet_loads_from_csv(spark, tmp_path):
-    folder = str(tmp_path / "fleet")
-    fleet_generator.write_fleet(spark, folder, sites=20, units=90)
-    loaded = fleet_csv.load_fleet(spark, folder, suffix="")
-    rows = loaded.collect()
-    assert len(rows) == 90 == len({r["freezer_id"] for r in rows})
-    assert len({r["site_id"] for r in rows}) == 20
-    assert all(r["temperature_upper_limit"] is not None and r["site_name"] for r in rows)
-    again = fleet_generator.generate_units(spark.range(90), 20)
-    assert {r["freezer_id"] for r in again.collect()} == {r["freezer_id"] for r in rows}
-    with pytest.raises(ValueError):
-        fleet_generator.write_fleet(spark, str(tmp_path / "x"), sites=5, units=4)
+def test_fleet_loads_from_csv(spark, tmp_path):
+    tables = {
+        "freezer_metadata": "freezer_id,freezer_type,site_id,maintenance_priority,inventory_value_band\na,dairy_case,S1,low,high\nb,toaster,S2,low,low\n",
+        "device_thresholds": "freezer_type,temperature_upper_limit,door_open_limit_seconds\ndairy_case,4.0,60\n",
+        "site_metadata": "site_id,site_name,site_region\nS1,one,TX\n",
+    }
+    for name, text in tables.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows = {r["freezer_id"]: r for r in fleet_csv.load_fleet(spark, str(tmp_path)).collect()}
+    assert rows["a"]["temperature_upper_limit"] == 4.0 and rows["a"]["site_name"] == "one"
+    assert rows["b"]["temperature_upper_limit"] is None and rows["b"]["site_region"] is None
+
+
+def test_every_reading_is_judged_or_missed(spark):
+    readings = frame(spark, [reading(freezer_id=f, event_id=f"{f}{i}") for f in ("known", "bare", "absent") for i in range(4)]).select(*S.EVENT_COLUMNS)
+    blank = {n: F.lit(None).cast("string") for n in S.ENRICHMENT_COLUMNS}
+    dims = spark.createDataFrame([("known", -15.0), ("bare", None)], "freezer_id string, temperature_upper_limit double").withColumns(
+        {n: c for n, c in blank.items() if n != "temperature_upper_limit"})
+    assert {r["freezer_id"]: r["readings"] for r in fleet.misses_by_unit(readings, dims).collect()} == {"bare": 4, "absent": 4}
+    assert fleet.misses(readings, dims).columns == readings.columns
+    assert fleet.misses(readings, dims).count() == 8
+    counted = fleet.accounts(readings.withColumn("problem", F.when(F.col("event_id") == "bare1", "malformed")), dims).first()
+    assert counted.asDict() == {"messages": 12, "quarantined": 1, "missed": 7, "judged": 4}
 
 
 def test_fleet_joins_and_index(spark):
@@ -93,41 +104,6 @@ def test_enrich_broadcasts_only_what_is_small(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def _ticks(spark, n=4000):
-    return spark.range(n).select(
-        F.concat(F.lit("FZ-"), "id").alias("freezer_id"), F.lit("S1").alias("site_id"),
-        F.lit(-15.0).alias("temperature_upper_limit"), F.lit(120).alias("door_open_limit_seconds"),
-        F.lit("low").alias("maintenance_priority"), F.lit("low").alias("inventory_value_band"),
-        F.lit("walk_in_freezer").alias("freezer_type"), F.lit("one").alias("site_name"), F.lit("TX").alias("site_region"),
-        F.col("id").alias("tick"), F.lit(1_704_067_200_000).alias("now_ms"))
-
-
-@pytest.mark.parametrize("scenario", scenarios.SCENARIOS)
-def test_scenarios_shape_events(spark, scenario):
-    made = scenarios.build_events(_ticks(spark), scenario)
-    assert [(f.name, f.dataType) for f in made.schema] == [(f.name, f.dataType) for f in S.EVENT_SCHEMA]
-    stressed = made.where("synthetic_severity = 'elevated'").count() / 4000
-    assert abs(stressed - scenarios.STRESS_SHARE[scenario]) < 0.03
-    enriched = made.join(_ticks(spark).select("freezer_id", *S.ENRICHMENT_COLUMNS), "freezer_id")
-    kinds = {r["alert_type"] for r in alerts.judge(enriched).select("alert_type").distinct().collect()}
-    expected = {"normal": set(), "door_open": {"DOOR_OPEN_TOO_LONG"}, "fleet_hot_zone": {"TEMP_HIGH"},
-                "compressor_failure": {"COMPRESSOR_FAILURE_RISK", "TEMP_HIGH"},
-                "power_outage": {"POWER_AND_WARMING", "TEMP_HIGH"}}[scenario]
-    assert expected <= kinds and (scenario != "normal" or not kinds)
-
-
-def test_scenario_draws_repeat_and_churn(spark):
-    one, two = (scenarios.build_events(_ticks(spark), "door_open").orderBy("freezer_id").collect() for _ in range(2))
-    assert one == two
-    later = scenarios.build_events(_ticks(spark).withColumn("now_ms", F.col("now_ms") + 240_000), "door_open")
-    hit = lambda rows: {r["freezer_id"] for r in rows if r["door_open"]}
-    assert hit(later.collect()) != hit(one)
-    with pytest.raises(ValueError):
-        scenarios.build_events(_ticks(spark), "siesta")
-    unknown = scenarios.build_events(_ticks(spark), F.lit("siesta")).where("synthetic_severity = 'elevated'").count()
-    assert abs(unknown / 4000 - 0.03) < 0.02
-
-
 PROGRESS = {
     "name": "c", "id": "q", "runId": "r", "batchId": 5, "timestamp": "2026-09-21T00:00:05.000Z",
     "numInputRows": 1000, "inputRowsPerSecond": 200.0, "processedRowsPerSecond": 205.0,

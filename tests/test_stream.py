@@ -122,7 +122,7 @@ def test_batch_table_is_idempotent(spark, tmp_path):
         write(spark.range(5), 3)
     write(spark.range(2), 4)
     back = spark.read.parquet(str(tmp_path / "t"))
-    assert back.count() == 7 and set(back.columns) == {"id", "x", "batch_id"}
+    assert back.count() == 7 and set(back.columns) == {"id", "x", "query_id", "batch_id"}
 
 
 def test_row_sender(spark, feed, tmp_path):
@@ -193,25 +193,3 @@ def test_listener_warns_once_and_goes_on(capsys):
     watch.onQueryProgress(Event)
     watch.onQueryProgress(Event)
     assert capsys.readouterr().err.count("metrics not published") == 1
-
-
-def test_producer_follows_the_control_folder(spark, small, tmp_path):
-    folder = str(tmp_path / "control")
-    indexed = fleet.with_index(tt.fleet(spark, small))
-    units = indexed.count()
-    sent = []
-    publish = jobs.producer_batch(spark, indexed, units, folder, "normal",
-                                  lambda batch, batch_id: sent.append(batch.collect()))
-    ticks = spark.range(300).select(F.current_timestamp().alias("timestamp"), F.col("id").alias("value"))
-    publish(ticks, 0)
-    control.append_scenario(spark, folder, "fleet_hot_zone")
-    publish(ticks, 1)
-    before, after = ([json.loads(r["value"]) for r in batch] for batch in sent)
-    assert len(before) == len(after) == 300
-    assert {e["scenario_name"] for e in before} == {"normal"}
-    assert {e["scenario_name"] for e in after} == {"fleet_hot_zone"}
-    assert all(r["key"] == json.loads(r["value"])["freezer_id"] for r in sent[1])
-    counts = {}
-    for e in after:
-        counts[e["freezer_id"]] = counts.get(e["freezer_id"], 0) + 1
-    assert set(counts.values()) == {300 // units}
