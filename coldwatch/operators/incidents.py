@@ -67,8 +67,9 @@ def judged_readings(enriched: DataFrame, max_rows: int = MAX_ROWS,
 
 def classified(enriched: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Every known reading with its signals and its sustained verdict."""
-    judged, _ = judged_readings(enriched, max_rows)
-    return judged.where(~F.col("is_context"))
+    judged, any_hot = judged_readings(enriched, max_rows)
+    whole = signals.with_carried_runs(judged) if any_hot else judged
+    return whole.where(~F.col("is_context")).drop("next_ts", signals.BLOCK)
 
 
 def entry_states(judged: DataFrame) -> DataFrame:

@@ -196,6 +196,61 @@ def with_quiet_run(classified: DataFrame, part: list[str] = UNIT) -> DataFrame:
         "quiet_since", F.when(F.col("_quiet"), _run_since(df, part, "_quiet"))).drop("_quiet")
 
 
+RUNS = {  # flag of a run: its start column, and its length column if it has one
+    "is_over": ("over_since", "consecutive_over"),
+    "compressor_bad": ("health_bad_since", None),
+    "_quiet": ("quiet_since", None),
+}
+
+
+def with_carried_runs(judged: DataFrame) -> DataFrame:
+    """The own rows of sliced readings, with runs and defrosting as the unit's whole past gives them.
+
+    Context settles every verdict but not when a long run began. A row whose run has no break in its
+    slice takes start and length from a summary, one row per slice: the run open at the end of
+    the slice before, carried over slices that it fills.
+    """
+    part = ["freezer_id", "slice"]
+    own = judged.where(~F.col("is_context")).withColumn("_quiet", F.col("alert_type").isNull())
+    so_far = _so_far(own, part)
+    own = own.withColumn("_own", F.row_number().over(_in_time(own, part)))
+    own = own.withColumns({f"_last_{f}": F.max(F.when(~F.col(f), F.col("_own"))).over(so_far) for f in RUNS})
+    # rows behind the same break are one run
+    own = own.withColumns({f"_since_{f}": F.min(F.when(F.col(f), F.col("event_ts"))).over(
+        Window.partitionBy(*part, f"_last_{f}")) for f in RUNS})
+    tails = [F.max_by(F.struct(F.col(f"_last_{f}").alias("last"), F.col(f"_since_{f}").alias("since")), "_own").alias(f) for f in RUNS]
+    slices = own.groupBy(*part).agg(F.count("*").alias("n"), F.min("event_ts").alias("first_ts"),
+                                    F.max("defrost_until_ts").alias("defrost"), *tails)
+    in_order = Window.partitionBy("freezer_id").orderBy("slice")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumns({
+        "upto": F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "next_first": F.lead("first_ts").over(in_order), "unit_first": F.first("first_ts").over(in_order),
+        "_defrost": F.max("defrost").over(earlier)})
+    carried = ["freezer_id", "slice", "_defrost"]
+    for f in RUNS:
+        broken = F.last(F.when(F.col(f)["last"].isNotNull(), F.struct(
+            "upto", "next_first", (F.col("n") - F.col(f)["last"]).alias("open"), F.col(f)["since"].alias("since")
+        )), ignorenulls=True).over(earlier)
+        before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+        slices = slices.withColumns({f"_b_{f}": broken, "_before": before}).withColumns({
+            f"_count_{f}": F.when(F.col(f"_b_{f}").isNull(), F.col("_before")).otherwise(
+                F.col("_before") - F.col(f"_b_{f}.upto") + F.col(f"_b_{f}.open")),
+            f"_start_{f}": F.when(F.col(f"_b_{f}").isNull(), F.col("unit_first")).when(
+                F.col(f"_b_{f}.open") > 0, F.col(f"_b_{f}.since")).otherwise(F.col(f"_b_{f}.next_first"))})
+        carried += [f"_count_{f}", f"_start_{f}"]
+    out = own.join(slices.select(*carried), part).withColumn(
+        "defrost_until_ts", F.greatest("defrost_until_ts", "_defrost"))
+    for f, (since, length) in RUNS.items():
+        leading = F.col(f"_last_{f}").isNull() & (F.col(f"_count_{f}") > 0)
+        start = F.when(leading, F.col(f"_start_{f}")).otherwise(F.col(f"_since_{f}"))
+        out = out.withColumn(since, F.when(F.col(f), start))
+        if length:
+            rows = F.col("_own") - F.coalesce(f"_last_{f}", F.lit(0)) + F.when(leading, F.col(f"_count_{f}")).otherwise(0)
+            out = out.withColumn(length, F.when(F.col(f), rows).otherwise(0))
+    return out.select(*judged.columns)
+
+
 def runs(flagged: DataFrame, flag: str) -> DataFrame:
     """One row per unbroken run of ``flag``: its unit, ``since``, ``until`` and ``readings``.
 

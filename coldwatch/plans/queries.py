@@ -223,10 +223,28 @@ def compressor_runs(spark, d):
     return _held(signals.runs(flagged, "compressor_bad"), S.COMPRESSOR_HOLD_MS, None)
 
 
+def _slice_rows(spark, d) -> int:
+    """So that the hot unit has about ten slices at any scale."""
+    return max(100, tt.table(spark, d, "events").count() // 30)
+
+
+def _signal_columns(classified: DataFrame) -> DataFrame:
+    return classified.select(
+        "event_id", "freezer_id", "alert_type", "alert_severity", F.round("temp_ewma", 6).alias("temp_ewma"),
+        "prev_ts", "in_defrost", "defrost_until_ts", "is_over", "over_since",
+        F.col("consecutive_over").cast("bigint").alias("consecutive_over"), "compressor_bad", "health_bad_since", "quiet_since")
+
+
 @query
 def classified_readings(spark, d):
-    return incidents.classified(_incident_input(spark, d)).select(
-        "event_id", "freezer_id", "alert_type", "alert_severity")
+    return _signal_columns(incidents.classified(_incident_input(spark, d)))
+
+
+@query
+def classified_readings_skewed(spark, d):
+    """One unit holds a third of the readings and is judged in slices."""
+    source = _incident_input(spark, d, one_hot_unit=True)
+    return _signal_columns(incidents.classified(source, max_rows=_slice_rows(spark, d)))
 
 
 # --- incidents ---------------------------------------------------------------------------------------
@@ -256,8 +274,7 @@ def incident_heartbeats(spark, d):
 def incident_lifecycle_skewed(spark, d):
     """One unit holds a third of the readings and is replayed in slices."""
     source = _incident_input(spark, d, one_hot_unit=True)
-    slice_rows = max(100, tt.table(spark, d, "events").count() // 30)
-    return _lifecycle_columns(incidents.replay(source, max_rows=slice_rows, carry=[]))
+    return _lifecycle_columns(incidents.replay(source, max_rows=_slice_rows(spark, d), carry=[]))
 
 
 @query

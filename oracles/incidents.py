@@ -185,6 +185,18 @@ SELECT *, {held} AS held FROM runs
 """
 
 
+def _classified(one_hot_unit: bool = False) -> str:
+    return f"""
+WITH RECURSIVE {signal_steps(one_hot_unit)},
+stretches AS (SELECT *, count(prec) OVER (PARTITION BY freezer_id ORDER BY rn) AS alerts_so_far FROM signals)
+SELECT event_id, freezer_id, {TYPE_NAME.format('prec')} AS alert_type, {SEV_NAME.format('sev')} AS alert_severity,
+  round(e, 6) AS temp_ewma, prev_ts, in_defrost, defrost_until AS defrost_until_ts, e > temperature_upper_limit AS is_over,
+  over_since, CAST(over_n AS BIGINT) AS consecutive_over, bad_since IS NOT NULL AS compressor_bad, bad_since AS health_bad_since,
+  CASE WHEN prec IS NULL THEN min(event_ts) FILTER (prec IS NULL) OVER (PARTITION BY freezer_id, alerts_so_far) END AS quiet_since
+FROM stretches
+"""
+
+
 SQL = {
     "temp_ewma": f"WITH RECURSIVE {signal_steps()} SELECT event_id, freezer_id, round(e, 6) AS temp_ewma FROM signals",
     "temp_slope": f"""
@@ -207,11 +219,8 @@ SELECT event_id, freezer_id, defrost_until AS defrost_until_ts, in_defrost FROM
 """,
     "over_limit_runs": _runs("over_since", "until - since >= 15000 OR readings >= 3"),
     "compressor_runs": _runs("bad_since", "until - since >= 10000"),
-    "classified_readings": f"""
-WITH RECURSIVE {signal_steps()}
-SELECT event_id, freezer_id, {TYPE_NAME.format('prec')} AS alert_type, {SEV_NAME.format('sev')} AS alert_severity
-FROM signals
-""",
+    "classified_readings": _classified(),
+    "classified_readings_skewed": _classified(one_hot_unit=True),
     "incident_lifecycle": f"""
 WITH RECURSIVE {lifecycle()}
 SELECT {_COLUMNS}, closed_by, trend_points FROM log WHERE lifecycle_event <> 'HEARTBEAT'

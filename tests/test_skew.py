@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from check_oracles import _table, open_tables
 from coldwatch.operators import fleet, incidents, signals, skew
-from coldwatch.plans.queries import _lifecycle_columns
+from coldwatch.plans.queries import _lifecycle_columns, _signal_columns
 from coldwatch.sources import telemetry_tables as tt
-from oracles.incidents import _COLUMNS, _runs, lifecycle, signal_steps
+from oracles.incidents import _COLUMNS, SQL, _runs, lifecycle, signal_steps
 
 START = dt.datetime(2024, 1, 1)
 # around every time limit of the rules, in ms of reading time
@@ -75,6 +75,14 @@ def test_signals(world):
     assert _got(judged) == _want(con, f"WITH RECURSIVE {signal_steps()} SELECT event_id, round(e, 6) AS e FROM signals")
 
 
+@pytest.mark.parametrize("max_rows", [10_000, 700, 150, 40])
+def test_every_signal_is_the_same_sliced(world, max_rows):
+    """Among the readings is a unit that alerts without end: runs far longer than any context."""
+    con, enriched = world
+    got = _got(_signal_columns(incidents.classified(enriched, max_rows=max_rows)))
+    assert got == _want(con, SQL["classified_readings"])
+
+
 @pytest.mark.parametrize("max_rows", [10_000, 40])
 def test_runs(world, max_rows):
     con, enriched = world
