@@ -24,7 +24,7 @@ from coldwatch import schemas as S
 from coldwatch.functions import rules
 from coldwatch.operators import lifecycle as L
 from coldwatch.operators import signals
-from coldwatch.operators.skew import CONTEXT_ROWS, MAX_ROWS, assign_slices
+from coldwatch.operators.skew import CONTEXT_ROWS, MAX_ROWS, cold_and_hot
 
 PART = ["freezer_id", "slice"]
 _ENTRY = T.StructType([
@@ -53,23 +53,24 @@ _ALWAYS = ["freezer_id", "event_id", "event_ts", "temperature_c"]
 
 
 def judged_readings(enriched: DataFrame, max_rows: int = MAX_ROWS,
-                    context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, bool]:
-    """Sliced readings with signals, verdict ranks and quiet runs. Readings of units without
-    limits are left out: they can never alert."""
-    known = enriched.where(F.col("temperature_upper_limit").isNotNull())
-    sliced, any_hot = assign_slices(known, max_rows, context_rows)
-    judged = signals.with_quiet_run(signals.classify(sliced, PART), PART)
-    return judged.withColumns({
-        "verdict_type": rules.rank_of("alert_type", S.ALERT_TYPES),
-        "verdict_level": rules.rank_of("alert_severity", S.SEVERITIES),
-    }), any_hot
+                    context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Readings of ordinary and of hot units (None if there are none) with signals, verdict
+    ranks and quiet runs. Readings without limits are left out: they can never alert."""
+    def judged(sliced: DataFrame) -> DataFrame:
+        return signals.with_quiet_run(signals.classify(sliced, PART), PART).withColumns({
+            "verdict_type": rules.rank_of("alert_type", S.ALERT_TYPES),
+            "verdict_level": rules.rank_of("alert_severity", S.SEVERITIES),
+        })
+
+    cold, hot = cold_and_hot(enriched.where(F.col("temperature_upper_limit").isNotNull()), max_rows, context_rows)
+    return judged(cold), None if hot is None else judged(hot)
 
 
 def classified(enriched: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Every known reading with its signals and its sustained verdict."""
-    judged, any_hot = judged_readings(enriched, max_rows)
-    whole = signals.with_carried_runs(judged) if any_hot else judged
-    return whole.where(~F.col("is_context")).drop("next_ts", signals.BLOCK)
+    cold, hot = judged_readings(enriched, max_rows)
+    every = cold if hot is None else cold.unionByName(signals.with_carried_runs(hot))
+    return every.drop("next_ts", signals.BLOCK)
 
 
 def entry_states(judged: DataFrame) -> DataFrame:
@@ -219,20 +220,24 @@ def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX
         as_of = enriched.agg(F.max("event_ts") + 1).scalar()
     else:
         as_of = F.lit(as_of_ms).cast("bigint")
-    judged, any_hot = judged_readings(enriched, max_rows, context_rows)
-    if any_hot:
-        judged = judged.join(entry_states(judged), PART, "left")
     keep = [*payload, "slice", "is_context", "last_slice", "verdict_type", "verdict_level", "quiet_since"]
-    entry = [n for n in _ENTRY.names if n.startswith("entry_")] if any_hot else []
-    order = signals.time_order(judged)
-    rows = judged.select(*keep, signals.BLOCK, *entry).withColumn("as_of_ms", as_of)
-    if any_hot:
-        # the join above may have been split for skew; bring each slice back together
-        rows = rows.repartition(*PART)
-    # Without it the windows' own exchange already holds each unit in one partition.
-    ordered = rows.sortWithinPartitions(*PART, *order).drop(signals.BLOCK)
+    entry = [n for n in _ENTRY.names if n.startswith("entry_")]
     schema = T.StructType([enriched.schema[n] for n in payload] + EMITTED.fields)
-    return finish(ordered.mapInArrow(_replay(payload, any_hot), schema))
+
+    def stepped(rows: DataFrame, has_entry: bool) -> DataFrame:
+        picked = rows.select(*keep, signals.BLOCK, *(entry if has_entry else [])).withColumn("as_of_ms", as_of)
+        if has_entry:
+            # the join of entries may have been split for skew; bring each slice back together
+            picked = picked.repartition(*PART)
+        # Without it the windows' own exchange already holds each unit in one partition.
+        ordered = picked.sortWithinPartitions(*PART, *signals.time_order(rows)).drop(signals.BLOCK)
+        return ordered.mapInArrow(_replay(payload, has_entry), schema)
+
+    cold, hot = judged_readings(enriched, max_rows, context_rows)
+    emitted = stepped(cold, False)
+    if hot is not None:
+        emitted = emitted.unionByName(stepped(hot.join(entry_states(hot), PART, "left"), True))
+    return finish(emitted)
 
 
 def finish(emitted: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _until(alerts: DataFrame, as_of_ms: int) -> DataFrame:
             .withColumn("mode", app_mode(F.col("source_mode"))))
 
 
-def _arrival() -> Column:
+def arrival() -> Column:
     """Total order of alert records: log time, then emit time, step and incident."""
     return F.struct("alert_kafka_ts", "emit_ts", rules.rank_of("lifecycle_event", _STEPS), "incident_id")
 
@@ -40,9 +40,9 @@ def open_units(alerts: DataFrame, as_of_ms: int) -> DataFrame:
         "incident_id", F.col("alert_kafka_ts").alias("ts"))
     seen = latency.with_segments(_until(alerts, as_of_ms))
     per_incident = seen.groupBy("mode", "freezer_id", "incident_id").agg(
-        F.max(_arrival()).alias("at"), F.max_by(record, _arrival()).alias("r"),
-        F.max_by("lat_a", F.when(F.col("lat_a").isNotNull(), _arrival())).alias("lat_a"),
-        F.max_by("lat_b", F.when(F.col("lat_b").isNotNull(), _arrival())).alias("lat_b"),
+        F.max(arrival()).alias("at"), F.max_by(record, arrival()).alias("r"),
+        F.max_by("lat_a", F.when(F.col("lat_a").isNotNull(), arrival())).alias("lat_a"),
+        F.max_by("lat_b", F.when(F.col("lat_b").isNotNull(), arrival())).alias("lat_b"),
     )
     latest = per_incident.groupBy("mode", "freezer_id").agg(
         F.max_by(F.struct("r", "lat_a", "lat_b"), "at").alias("u")).select("mode", "freezer_id", "u.*")
@@ -129,7 +129,7 @@ def business(alerts: DataFrame, as_of_ms: int) -> DataFrame:
         F.max(opening & critical).cast("int").alias("critical_incidents"),
         F.count_if(measured).alias("measured"),
         F.count_if(measured & (F.col("lat_b") <= latency.BUCKET_EDGES["le_250ms"])).alias("fresh"),
-        F.max(F.struct(_arrival().alias("at"), "lifecycle_event")).alias("newest"))
+        F.max(F.struct(arrival().alias("at"), "lifecycle_event")).alias("newest"))
     sums = ["alerts", *[f"opened_{s}" for s in S.SEVERITIES], "critical_incidents", "measured", "fresh"]
     per_unit = per_incident.groupBy("mode", "freezer_id").agg(
         *[F.sum(n).alias(n) for n in sums], F.max("newest").alias("newest"))
@@ -147,7 +147,7 @@ def volumes(alerts: DataFrame, events: DataFrame, as_of_ms: int) -> DataFrame:
     """Readings in, alert records out and the newest scenario seen, per view."""
     out = _until(alerts, as_of_ms).groupBy("mode").agg(
         F.count("*").alias("vol_out"),
-        F.max_by("scenario_name", F.when(F.col("scenario_name").isNotNull(), _arrival())).alias("scenario_name"))
+        F.max_by("scenario_name", F.when(F.col("scenario_name").isNotNull(), arrival())).alias("scenario_name"))
     into = (events.where(F.col("input_kafka_ts") <= as_of_ms)
             .groupBy(app_mode(F.col("source_mode")).alias("mode")).agg(F.count("*").alias("vol_in")))
     return into.join(out, "mode", "full").select(

@@ -61,20 +61,27 @@ def buckets(alerts: DataFrame, as_of_ms: int | None = None) -> DataFrame:
         F.count_if(name == bucket).alias(bucket) for bucket in [*BUCKET_EDGES, "gt_5s"]])
 
 
-def _chart_slots(df: DataFrame, ts: str, keys: list[str], as_of_ms: int, span_ms: int) -> DataFrame:
-    """Count rows per whole-second chart slot t that has them within [t - span, t].
+def per_second(df: DataFrame, ts: str, keys: list[str], span_ms: int) -> DataFrame:
+    """Rows counted by the first and last whole-second chart slot t that has them within [t - span, t].
 
-    Rows are counted per second before they are copied to the slots they show up in, so the
-    copies are of per-second counts. A row exactly on a second reaches one slot further.
+    A row exactly on a second reaches one slot further.
     """
     first = F.ceil(F.col(ts) / F.lit(1000.0)).cast("bigint")
     last = F.floor((F.col(ts) + span_ms) / F.lit(1000.0)).cast("bigint")
+    return df.groupBy(*keys, first.alias("_first"), last.alias("_last")).agg(F.count("*").alias("hits"))
+
+
+def _chart_slots(df: DataFrame, ts: str, keys: list[str], as_of_ms: int, span_ms: int) -> DataFrame:
+    """Count rows per chart slot. Rows are counted per second before they are copied to the slots
+    they show up in, so the copies are of per-second counts."""
+    oldest = as_of_ms // 1000 - SERIES_POINTS + 1
+    recent = df.where(F.col(ts).between(oldest * 1000 - span_ms, as_of_ms))
+    return _slots(per_second(recent, ts, keys, span_ms), keys, as_of_ms)
+
+
+def _slots(seconds: DataFrame, keys: list[str], as_of_ms: int) -> DataFrame:
     newest = as_of_ms // 1000
     oldest = newest - SERIES_POINTS + 1
-    seconds = (
-        df.where(F.col(ts).between(oldest * 1000 - span_ms, as_of_ms))
-        .groupBy(*keys, first.alias("_first"), last.alias("_last")).agg(F.count("*").alias("hits"))
-    )
     lo, hi = F.greatest("_first", F.lit(oldest)), F.least("_last", F.lit(newest))
     return (seconds.where(lo <= hi)
             .select(*keys, "hits", F.explode(F.sequence(lo, hi)).alias("slot"))
@@ -108,7 +115,15 @@ def input_rate(events: DataFrame, as_of_ms: int) -> DataFrame:
 def alert_rate(alerts: DataFrame, as_of_ms: int) -> DataFrame:
     """Alert records per second and view over the trailing 5 s, to one decimal."""
     moded = alerts.withColumn("mode", app_mode(F.col("source_mode")))
-    counted = _chart_slots(moded, "alert_kafka_ts", ["mode"], as_of_ms, RATE_MS)
+    return _alert_rate(_chart_slots(moded, "alert_kafka_ts", ["mode"], as_of_ms, RATE_MS), as_of_ms)
+
+
+def alert_rate_of(seconds: DataFrame, as_of_ms: int) -> DataFrame:
+    """The same from counts of ``per_second`` (by view, over ``RATE_MS``)."""
+    return _alert_rate(_slots(seconds, ["mode"], as_of_ms), as_of_ms)
+
+
+def _alert_rate(counted: DataFrame, as_of_ms: int) -> DataFrame:
     rate = F.round(F.coalesce("hits", F.lit(0)) / F.lit(RATE_MS / 1000.0), 1)
     return _every_slot(counted, as_of_ms, ["rtm", "mb"]).select("mode", "slot", rate.alias("alerts_per_s"))
 

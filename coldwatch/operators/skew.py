@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldwatch.schemas import DEFROST_GRACE_MS
+from coldwatch.session import freeze
 
 GRAINS_MS = (60_000, 1_000)  # slices begin on a minute, or on a second where minutes are too full
 CONTEXT_ROWS = 256
@@ -74,25 +75,33 @@ def slice_plan(readings: DataFrame, hot: DataFrame, grain_ms: int = GRAINS_MS[0]
     return ahead.select("freezer_id", "grain", F.inline(F.concat(own, context)))
 
 
-def assign_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
-                  context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, bool]:
-    """Readings with ``slice``, ``is_context`` and ``last_slice``; and whether any unit is hot.
+def whole(readings: DataFrame) -> DataFrame:
+    """Readings as one slice per unit."""
+    return readings.withColumns({"slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True)})
+
+
+def cold_and_hot(readings: DataFrame, max_rows: int = MAX_ROWS,
+                 context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Readings of ordinary units as they are, and those of hot units in slices (None if no unit is hot).
 
-    One count per unit over two pruned columns decides up front; without a hot unit the
-    readings pass through with constants and nothing is joined or copied.
+    One count per unit over two pruned columns decides up front and is written once: at most rows / max_rows
+    units. Without a hot unit the readings pass through with constants and nothing is joined or copied.
     """
-    hot = hot_units(readings, max_rows)
+    hot = freeze(hot_units(readings, max_rows), "hot-units")
     fastest = hot.agg(F.max(F.col("rows_per_ms") / F.col("slice_rows"))).first()[0]
     if fastest is None:
-        return readings.withColumns({
-            "slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True),
-        }), False
+        return whole(readings), None
     coarse, fine = GRAINS_MS
     grain_ms = coarse if fastest * coarse <= 0.25 else fine
+    names = hot.select("freezer_id")
     plan = slice_plan(readings, hot, grain_ms, context_rows)
-    keyed = readings.withColumn("grain", F.floor(F.col("event_ts") / grain_ms))
-    return keyed.join(plan, ["freezer_id", "grain"], "left").withColumns({
-        "slice": F.coalesce("slice", F.lit(0)),
-        "is_context": F.coalesce("is_context", F.lit(False)),
-        "last_slice": F.coalesce("last_slice", F.lit(True)),
-    }).drop("grain"), True
+    mine = readings.join(names, "freezer_id", "left_semi").withColumn("grain", F.floor(F.col("event_ts") / grain_ms))
+    sliced = mine.join(plan, ["freezer_id", "grain"]).drop("grain")
+    return whole(readings.join(names, "freezer_id", "left_anti")), sliced
+
+
+def assign_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
+                  context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, bool]:
+    """Readings with ``slice``, ``is_context`` and ``last_slice``; and whether any unit is hot."""
+    cold, hot = cold_and_hot(readings, max_rows, context_rows)
+    return (cold, False) if hot is None else (cold.unionByName(hot), True)

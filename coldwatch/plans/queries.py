@@ -15,7 +15,7 @@ from coldwatch.operators.skew import assign_slices
 from coldwatch.session import scratch_path
 from coldwatch.sources import control, events as event_source
 from coldwatch.sources import telemetry_tables as tt
-from coldwatch.streaming import sinks
+from coldwatch.streaming import live, sinks
 from coldwatch.streaming.processor import stream_incidents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,6 +452,27 @@ def stream_alerts(spark, d):
     return _run_to_table(alerts.as_record(stamped).drop("temp_trend"), "stream-alerts")
 
 
+def _follow_log(spark, d, reduction: str) -> tuple[str, int]:
+    """A stream over the incident log, cut into files, that arrived by the newest reading; the reduced
+    folder and that time."""
+    as_of, root = _as_of(spark, d), scratch_path(spark, f"live-{reduction}")
+    log = _log(spark, d).where(F.col("alert_kafka_ts") <= as_of)
+    log.repartition(5, "incident_id", "emit_ts").write.parquet(f"{root}/log")
+    records = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    live.follow(records, reduction, f"{root}/parts", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/parts", as_of
+
+
+@query
+def stream_open_units(spark, d):
+    return live.open_units(spark, *_follow_log(spark, d, "unit_states"))
+
+
+@query
+def stream_alert_rate(spark, d):
+    return live.alert_rate(spark, *_follow_log(spark, d, "second_counts"))
+
+
 @query
 def stream_incidents_log(spark, d):
     """The stateful consumer over a file stream of the events, on the event clock."""

@@ -56,7 +56,16 @@ _BUCKETS = ("count(*) FILTER (lat_b <= 250) AS le_250ms, count(*) FILTER (lat_b
             "count(*) FILTER (lat_b > 1000 AND lat_b <= 5000) AS le_5s, count(*) FILTER (lat_b > 5000) AS gt_5s")
 _SLOTS = "SELECT unnest(generate_series(as_of // 1000 - 59, as_of // 1000)) AS slot FROM clock"
 
+_ALERT_RATE = f"""
+WITH RECURSIVE {_LOG}
+SELECT m.mode, s.slot, round(count(a.incident_id) / CAST(5 AS DOUBLE), 1) AS alerts_per_s
+FROM ({_SLOTS}) s CROSS JOIN {_MODES}
+LEFT JOIN alerts a ON a.mode = m.mode AND a.alert_kafka_ts BETWEEN s.slot * 1000 - 5000 AND s.slot * 1000
+GROUP BY m.mode, s.slot
+"""
+
 SQL = {
+    "stream_open_units": f"WITH RECURSIVE {_OPEN} SELECT * FROM units",
     "latency_segments": f"WITH RECURSIVE {_LOG} SELECT incident_id, lifecycle_event, emit_ts, lat_a, lat_b, lat_ig FROM alerts",
     "latency_percentiles": f"""
 WITH RECURSIVE {_LOG},
@@ -88,13 +97,8 @@ slots AS ({_SLOTS})
 SELECT slot, CAST(round_even(count(event_id) / CAST(5 AS DOUBLE), 0) AS BIGINT) AS events_per_s
 FROM slots LEFT JOIN readings ON input_kafka_ts BETWEEN slot * 1000 - 5000 AND slot * 1000 GROUP BY slot
 """,
-    "alert_rate_series": f"""
-WITH RECURSIVE {_LOG}
-SELECT m.mode, s.slot, round(count(a.incident_id) / CAST(5 AS DOUBLE), 1) AS alerts_per_s
-FROM ({_SLOTS}) s CROSS JOIN {_MODES}
-LEFT JOIN alerts a ON a.mode = m.mode AND a.alert_kafka_ts BETWEEN s.slot * 1000 - 5000 AND s.slot * 1000
-GROUP BY m.mode, s.slot
-""",
+    "alert_rate_series": _ALERT_RATE,
+    "stream_alert_rate": _ALERT_RATE,
     "mode_comparison": f"""
 WITH RECURSIVE {_LOG},
 ranked AS ({_ranked('alerts', 'mode', 'lat_b')}),
