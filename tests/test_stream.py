@@ -1,4 +1,4 @@
-"""Streams end to end: micro-batches, restart from a checkpoint, sinks, listener, producer."""
+"""Streams end to end: micro-batches, restart from a checkpoint, sinks, listener, timers, live KPIs."""
 import json
 import os
 import time
@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from coldwatch import schemas as S
-from coldwatch.operators import alerts, fleet, incidents
-from coldwatch.sources import control
+from coldwatch.operators import alerts, fleet, incidents, kpi, latency
 from coldwatch.sources import events as event_source
 from coldwatch.sources import telemetry_tables as tt
-from coldwatch.streaming import jobs, listener, sinks
-from coldwatch.streaming.processor import stream_incidents
+from coldwatch.streaming import jobs, listener, live, sinks
+from coldwatch.streaming.processor import IncidentProcessor, stream_incidents
+from samples import frame, reading
 
 KEY = ["incident_id", "lifecycle_event", "emit_ts", "event_id", "alert_type", "escalation_level"]
 
@@ -193,3 +193,48 @@ def test_listener_warns_once_and_goes_on(capsys):
     watch.onQueryProgress(Event)
     watch.onQueryProgress(Event)
     assert capsys.readouterr().err.count("metrics not published") == 1
+
+
+def test_timers_fire_on_the_engine(spark, tmp_path):
+    """One alerting reading, then silence: the engine's own timer brings the heartbeat."""
+    inbox = str(tmp_path / "inbox")
+    frame(spark, [reading(door_open=True, door_open_seconds=200)]).write.parquet(inbox)
+    source = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+    query = sinks.start(stream_incidents(source), "memory", str(tmp_path / "cp"), trigger={"processingTime": "1 second"},
+                        output_mode="update", name="beats")
+    try:
+        deadline = time.time() + 90
+        while time.time() < deadline:
+            events = [r["lifecycle_event"] for r in spark.table("beats").orderBy("emit_ts").collect()]
+            if "HEARTBEAT" in events:
+                break
+            time.sleep(2)
+    finally:
+        query.stop()
+    assert events[:2] == ["OPENED", "HEARTBEAT"]
+
+
+def test_time_to_live_outlasts_open_incidents(spark):
+    with pytest.raises(ValueError, match="open incidents"):
+        IncidentProcessor(S.ENRICHED_SCHEMA, ttl_ms=S.STALE_MS)
+
+
+def test_live_kpis_and_compaction(spark, small, tmp_path):
+    readings = fleet.enrich(tt.incident_readings(spark, small), tt.fleet(spark, small))
+    log = tt.incident_log(incidents.replay(readings)).cache()
+    # in the middle of the log, too
+    span = log.agg(F.min("alert_kafka_ts"), F.max("alert_kafka_ts")).first()
+    for at in (span[1], (span[0] + span[1]) // 2):
+        folder = tmp_path / str(at)
+        log.where(F.col("alert_kafka_ts") <= at).repartition(4).write.parquet(str(folder / "log"))
+        records = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "log"))
+        for name in live.REDUCTIONS:
+            live.follow(records, name, str(folder / name), str(folder / f"{name}-cp")).awaitTermination()
+            live.compact(spark, str(folder / name), name, str(folder / f"{name}-compact"))
+        for suffix in ("", "-compact"):
+            same(live.open_units(spark, str(folder / f"unit_states{suffix}"), at), kpi.open_units(log, at))
+            same(live.alert_rate(spark, str(folder / f"second_counts{suffix}"), at), latency.alert_rate(log, at))
+
+
+def same(one, other):
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
