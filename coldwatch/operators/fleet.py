@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from coldwatch import schemas as S
 from coldwatch.session import freeze
 
-_ENRICH = ["freezer_id", *S.ENRICHMENT_COLUMNS]
-
-
 def thresholds(spark: SparkSession) -> DataFrame:
     """The five types as a local relation: its size is known, so joins to it are broadcast."""
     rows = ", ".join(f"('{name}', {limit}D, {seconds})" for name, limit, seconds in S.DEVICE_THRESHOLDS)
@@ -47,19 +44,15 @@ def quality(units: DataFrame, limits: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-BROADCAST_ROWS = 500_000  # about 100 MB of fleet rows in an executor
-
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``dim`` for broadcast when a bounded count shows it to be small; else leave the
-    choice to Spark (a shuffle join, where AQE splits skewed partitions)."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+def dimension(fleet: DataFrame) -> DataFrame:
+    """What enrichment needs of the fleet, written once: joins then know its size in bytes, and
+    broadcast it below ``spark.sql.autoBroadcastJoinThreshold``; above, they shuffle, and AQE splits skew."""
+    return freeze(fleet.select("freezer_id", *S.ENRICHMENT_COLUMNS), "fleet")
 
 
-def enrich(events: DataFrame, fleet: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def enrich(events: DataFrame, fleet: DataFrame) -> DataFrame:
     """Left join on the unit; the event keeps its own site id."""
-    dim = broadcast_if_small(fleet.select(*_ENRICH), broadcast_rows)
-    return events.join(dim, "freezer_id", "left")
+    return events.join(dimension(fleet), "freezer_id", "left")
 
 
 def is_miss() -> Column:

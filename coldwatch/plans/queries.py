@@ -32,7 +32,7 @@ def query(fn: Query) -> Query:
 # --- shared inputs ------------------------------------------------------------------------
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
-    return fleet.enrich(tt.readings(spark, d), tt.fleet(spark, d))
+    return tt.readings(spark, d, enriched=True)
 
 
 def _judged_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _judged_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _incident_input(spark: SparkSession, d: str, **kw) -> DataFrame:
-    return fleet.enrich(tt.incident_readings(spark, d, **kw), tt.fleet(spark, d))
+    return tt.incident_readings(spark, d, enriched=True, **kw)
 
 
 def _as_of(spark: SparkSession, d: str) -> int:

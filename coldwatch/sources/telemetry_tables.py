@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coldwatch import schemas as S
 from coldwatch.operators import fleet as fleets
-from coldwatch.session import prepare
+from coldwatch.session import freeze, prepare
 
 BASE_MS = 1_704_067_200_000  # start of the events table
 
@@ -92,8 +92,12 @@ def as_source_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _readings(src: DataFrame, limits: DataFrame, squeeze: int, episodes: bool) -> DataFrame:
-    """Shape source events into sensor readings; ``squeeze`` shortens the time axis."""
+def _readings(src: DataFrame, limits: DataFrame, squeeze: int, episodes: bool, enriched: bool) -> DataFrame:
+    """Shape source events into sensor readings; ``squeeze`` shortens the time axis.
+
+    Their temperatures derive from the unit's limit; where ``limits`` is the fleet, the same join
+    can bring its other columns.
+    """
     ts = F.lit(BASE_MS) + F.floor((F.col("ms") - F.lit(BASE_MS)) / F.lit(squeeze))
     df = src.withColumn("event_ts", ts.cast("bigint")).withColumn("freezer_id", unit_id(F.col("user_id")))
     warm = cold_fault = F.lit(0.0)
@@ -131,23 +135,29 @@ def _readings(src: DataFrame, limits: DataFrame, squeeze: int, episodes: bool) -
         F.col("event_ts").alias("producer_ts"),
         (F.col("event_ts") + (F.col("event_id") * 37) % 900).alias("input_kafka_ts"),
         F.when(F.col("event_id") % 2 == 0, "rtm").otherwise("microbatch").alias("source_mode"),
+        *(S.ENRICHMENT_COLUMNS if enriched else []),
     )
 
 
-def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _limits(spark: SparkSession, sf_dir: str, enriched: bool) -> DataFrame:
+    if enriched:
+        return freeze(fleet(spark, sf_dir), "fleet")
     limit_of = F.create_map(*[F.lit(x) for name, limit, _ in S.DEVICE_THRESHOLDS for x in (name, limit)])
     return units(spark, sf_dir).select(
         "freezer_id", "site_id", limit_of[F.col("freezer_type")].alias("temperature_upper_limit"))
 
 
-def readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """One reading per event, 30 days squeezed to 12 minutes. ``events`` may be a stream."""
+def readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, enriched: bool = False) -> DataFrame:
+    """One reading per event, 30 days squeezed to 12 minutes. ``events`` may be a stream.
+
+    ``enriched`` adds the fleet's columns, as enrichment would.
+    """
     src = _source_events(spark, sf_dir) if events is None else as_source_events(events)
-    return _readings(src, _limits(spark, sf_dir), PLAIN_SQUEEZE, False)
+    return _readings(src, _limits(spark, sf_dir, enriched), PLAIN_SQUEEZE, False, enriched)
 
 
 def incident_readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None,
-                      one_hot_unit: bool = False) -> DataFrame:
+                      one_hot_unit: bool = False, enriched: bool = False) -> DataFrame:
     """One reading per event over 72 minutes, with recurring heat and compressor episodes.
 
     ``one_hot_unit`` gives a third of all readings to a single unit.
@@ -155,7 +165,7 @@ def incident_readings(spark: SparkSession, sf_dir: str, events: DataFrame | None
     src = _source_events(spark, sf_dir) if events is None else as_source_events(events)
     if one_hot_unit:
         src = src.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, F.lit(3)).otherwise(F.col("user_id")))
-    return _readings(src, _limits(spark, sf_dir), INCIDENT_SQUEEZE, True)
+    return _readings(src, _limits(spark, sf_dir, enriched), INCIDENT_SQUEEZE, True, enriched)
 
 
 def incident_log(incidents: DataFrame) -> DataFrame:

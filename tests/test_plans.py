@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coldwatch.functions import rules
 from coldwatch.operators import alerts, fleet, incidents
+from coldwatch.plans.queries import QUERIES
 from coldwatch.sources import events
 from coldwatch.sources import telemetry_tables as tt
 
@@ -30,6 +31,15 @@ def test_stateless_alerts_do_not_shuffle(spark, small):
     assert "BatchEvalPython" not in plan(df) and "ArrowEvalPython" not in plan(df)
 
 
+def test_a_large_fleet_is_joined_once(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["alerts_stateless"](spark, small))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("SortMergeJoin") == 1 and text.count("Exchange hash") == 2
+
+
 def test_replay_shuffles_once_and_sorts_twice(enriched):
     df = incidents.replay(enriched, as_of_ms=0)
     text = plan(df)

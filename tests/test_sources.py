@@ -95,11 +95,11 @@ def test_enrich_broadcasts_only_what_is_small(spark):
     readings = frame(spark, [reading()]).select(*S.EVENT_COLUMNS, "input_kafka_ts")
     dims = spark.range(50).select(F.concat(F.lit("FZ-"), "id").alias("freezer_id"),
                                   *[F.lit(None).cast("string").alias(n) for n in S.ENRICHMENT_COLUMNS])
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(fleet.enrich(readings, dims))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
     try:
-        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan(fleet.enrich(readings, dims, broadcast_rows=50))
-        assert "SortMergeJoin" in plan(fleet.enrich(readings, dims, broadcast_rows=49))
+        assert "SortMergeJoin" in plan(fleet.enrich(readings, dims))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
