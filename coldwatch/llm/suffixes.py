@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import documents, partitions
+from coldwatch.llm.tables import documents, long_rows, partitions
 from coldwatch.session import freeze
 
 LENGTH = 400
@@ -131,7 +131,8 @@ def suffixes(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     the anchor to deal them out by."""
     wanted = kinds.groupBy("doc_id", "text_id").agg(
         F.collect_list(F.struct("anchor", "content", "single", "first", "windows", "at")).alias("wanted"))
-    joined = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_id") == F.col("w.text_id"))).select(
+    # texts stream past a hash table of what is wanted, instead of being sorted
+    joined = docs.alias("d").join(wanted.hint("shuffle_hash").alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_id") == F.col("w.text_id"))).select(
         "d.doc_id", "d.text_id", "d.text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +316,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row per row of ``docs``."""
+    long_rows(docs.sparkSession)
     known = identified(docs)
     spans = repeated(known).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = known.alias("d").join(
-        spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_id") == F.col("s.text_id")), "left"
+        spans.hint("shuffle_hash").alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_id") == F.col("s.text_id")), "left"
     ).select("d.doc_id", "d.text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def long_rows(spark: SparkSession, most: int = 1000) -> None:
+    """Lets Arrow batches hold fewer rows than Spark's 10,000, as rows with whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 class Buckets:
     """Consecutive ranges of a whole-number key with about equal rows each.
 
