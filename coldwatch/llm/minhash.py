@@ -9,10 +9,10 @@ LEAST_SIMILARITY`` on average), and the class goes on to the child named by node
 its token there. A pair at the limit so keeps one common child a level on average, and at depth ``DEPTH`` meets in
 a tree with probability 0.64: all ten trees miss it once in 27,000. The nodes of a class depend on it alone, so no shuffle is needed until the leaves.
 
-In a node, a member links to the node's least class first (a line of comparisons, not a square). Nodes whose members
-are then in one component have nothing more to say about components. In the others, small ones (``SMALL``) compare all
-members of different components; larger ones branch on, ``DEEPEST`` levels at most, after which
-they compare their members outside their largest component with all others.
+In a node, members link to the node's first class first (a line of comparisons, not a square). Nodes whose members
+are then in one component have nothing more to say about components. In the others, members outside the largest
+component are compared with all members of other components if the node, or their number, is small (``SMALL``); larger
+nodes branch on while that takes them apart, to ``DEEPEST`` levels at most, after which they compare so, too.
 Comparisons within a node first ask for sizes within the limit and, of 64 one-bit tokens, for ``AGREE`` agreeing ones;
 what is left is confirmed on full shingle sets.
 
@@ -37,9 +37,10 @@ TOKENS = 64
 TREES = 10
 DEPTH, DEEPEST = 3, 9
 SMALL = 100
+FIRSTS = 5
 AGREE = 44
 LEAST_PERCENT = 80
-WORDS = 300_000
+SETS = 4000
 ROWS = 2000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)  # fixed values: odd multipliers
 
@@ -51,25 +52,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@cache
-def word_values() -> Memo:
-    import xxhash
-
-    return Memo(xxhash.xxh3_64_intdigest, WORDS)
-
-
 @cache
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mixed(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64) * np.uint64(MIX[0]))
-    return seeds[:TOKENS] | np.uint64(1), seeds[TOKENS:]
+    seeds = (mixed(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64) * np.uint64(MIX[0])) >> np.uint64(32)).astype(np.uint32)
+    return seeds[:TOKENS] | np.uint32(1), seeds[TOKENS:]
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's runs of ``size`` words; A-Z count as a-z."""
+    import xxhash
+
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    values = np.fromiter(map(word_values().__getitem__, words), np.uint64, len(words))
+    values = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(values) - size + 1)
     out = np.full(n, np.uint64(min(len(words), size)))
     for k in range(min(size, len(values))):
@@ -80,10 +76,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 def tokens(values: np.ndarray) -> np.ndarray:
     """Minwise tokens of a set: for each place the least of 32-bit hashes."""
     factor, shift = multipliers()
-    least = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(values), 4096):
-        hashes = (values[at:at + 4096, None] * factor + shift) >> np.uint64(32)
-        least = np.minimum(least, hashes.min(0).astype(np.uint32))
+    least, short = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32), (values >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        hashes = short[at:at + 1024, None] * factor
+        hashes += shift
+        least = np.minimum(least, hashes.min(0))
     return least
 
 
@@ -139,8 +136,13 @@ def branched(rows: DataFrame, start: str | None, levels: int) -> DataFrame:
 
 
 def shared(nodes: DataFrame) -> DataFrame:
-    """Nodes with more than one member, written once: node, id, n, bits, members, low (the least id)."""
-    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low")).where("members > 1")
+    """Nodes with more than one member, written once: node, id, n, bits, members, low (the first member).
+
+    Which member is first differs among ``FIRSTS`` kinds of nodes: where a large group meets in many nodes, those
+    that the first member of one doesn't link find that of another.
+    """
+    order = F.xxhash64("id", F.pmod("node", F.lit(FIRSTS)))
+    counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", order).alias("low")).where("members > 1")
     return freeze(nodes.join(counts, "node"), "nodes")
 
 
@@ -157,27 +159,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Memo(lambda text: shingles(text, shingle), SETS)  # a text is in many pairs
         for batch in batches:
-            keep, left, values = [], None, None
+            keep = []
             for one, other in zip(batch.column("text"), batch.column("other")):
-                one = one.as_py()
-                if values is None or one != left:
-                    left, values = one, shingles(one, shingle)
-                others = shingles(other.as_py(), shingle)
+                values, others = sets[one.as_py()], sets[other.as_py()]
                 both = len(np.intersect1d(values, others, assume_unique=True))
                 keep.append(100 * both >= LEAST_PERCENT * (len(values) + len(others) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first = pairs.join(texts.withColumnRenamed("id", "a"), "a")
     second = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
-    return second.select("a", "b", "text", "other").mapInArrow(compare, "a long, b long")
+    return second.sortWithinPartitions("b", "a").select("a", "b", "text", "other").mapInArrow(compare, "a long, b long")
 
 
-def labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Adds component (the id itself where it has no link) and mixed: whether the node has more than one."""
+def several_components(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Nodes whose members are in more than one component (an id without link is its own), with
+    component, largest (the one with most members) and outsiders (how many are in others)."""
     named = nodes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = named.groupBy("node").agg((F.min("component") < F.max("component")).alias("mixed"))
-    return named.join(spread, "node")
+    sizes = named.groupBy("node", "component").count()
+    spread = sizes.groupBy("node").agg(
+        F.max_by("component", F.struct("count", "component")).alias("largest"),
+        (F.sum("count") - F.max("count")).alias("outsiders")).where("outsiders > 0")
+    return freeze(named.join(spread, "node"), "open")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -191,24 +195,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
         F.col("doc_id").alias("a"), F.col("id").alias("b"))
     several = rows.where("n > 0").groupBy("doc_id").agg(F.countDistinct("set1", "set2").alias("sets")).where("sets > 1")
     links = freeze(aliases.join(several, F.col("a") == F.col("doc_id"), "left_semi"), "links")
-    nodes, depth = shared(branched(classes, None, DEPTH)), DEPTH
+    nodes, depth, before = shared(branched(classes, None, DEPTH)), DEPTH, None
     while True:
         stars = nodes.alias("x").where("id <> low").join(
             nodes.where("id = low").alias("y"), F.col("x.node") == F.col("y.node")).where(near("x", "y"))
-        pairs = freeze(stars.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "pairs")
+        pairs = freeze(stars.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
         links = links.unionByName(freeze(confirmed(pairs, docs, shingle), "links"))
         parts = components(links)
-        open_nodes = freeze(labelled(nodes, parts).where("mixed"), "open")
-        ready = open_nodes.where(F.lit(depth >= DEEPEST) | (F.col("members") <= SMALL))
+        open_nodes = several_components(nodes, parts)
+        large = open_nodes.where(F.least("members", "outsiders") > SMALL).select("node", "id")
+        n_large = large.count()
+        # another level helps only if the last one took the large nodes apart
+        last = depth >= DEEPEST or not n_large or (before is not None and 2 * n_large > before)
+        # with few outsiders their comparisons are a few lines, however large the node
+        ready = open_nodes if last else open_nodes.where(F.least("members", "outsiders") <= SMALL)
         apart = F.col("x.component") != F.col("y.component")
-        outside = ready.alias("x").join(largest(ready).alias("l"), F.col("x.node") == F.col("l.node")).where("component <> largest").select("x.*")
-        rest = outside.alias("x").join(ready.alias("y"), (F.col("x.node") == F.col("y.node")) & apart & near("x", "y"))
+        rest = ready.where("component <> largest").alias("x").join(
+            ready.alias("y"), (F.col("x.node") == F.col("y.node")) & apart & near("x", "y"))
         pairs = freeze(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
         links = links.unionByName(freeze(confirmed(pairs, docs, shingle), "links"))
-        large = open_nodes.where(F.col("members") > SMALL).select("node", "id")
-        if depth >= DEEPEST or large.isEmpty():
+        if last:
             break
-        depth += 1
+        depth, before = depth + 1, n_large
         deeper = large.join(classes.select("id", "n", "tokens"), "id")
         nodes = shared(branched(deeper, "node", 1))
     parts = components(links)
@@ -232,11 +240,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return left.dropDuplicates(["doc_id", "text"])
 
 
-def largest(nodes: DataFrame) -> DataFrame:
-    """node, largest: the component with most members in each node."""
-    sizes = nodes.groupBy("node", "component").count()
-    return sizes.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-
-
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=2)
