@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from coldwatch.llm.tables import Memo, documents
 
-CHUNKS, STRETCHES = 200_000, 400_000
+CHUNKS, STRETCHES = 300_000, 600_000
 ROWS = 500
 SPACE = "▁"  # fixed value: how pieces show a space
 MARKS = ".,;:!?\n"
@@ -51,58 +51,83 @@ class PieceEncoder:
         self.library = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         self.end_id = self.library.eos_id()
         self.ids = {p.piece: i for i, p in enumerate(model.pieces)}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        order = {score: rank for rank, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {piece: order[score] for piece, score in scores.items()}
+        self.unchecked, self.fresh = [], False
         self.bytes = [self.ids[f"<0x{b:02X}>"] for b in range(256)]
-        if any(SPACE in p.lstrip(SPACE) for p in self.scores):
+        if any(SPACE in p.lstrip(SPACE) for p in scores):
             raise ValueError("pieces that go on across the start of a space are not supported")
-        marks = "".join(m for m in MARKS if not any(re.search("[A-Za-z]" + re.escape(m), p) for p in self.scores))
+        marks = "".join(m for m in MARKS if not any(re.search("[A-Za-z]" + re.escape(m), p) for p in scores))
         self.border = re.compile(f"(?<=[A-Za-z])(?=[{re.escape(marks)}])" if marks else "$^")
         self.chunks = Memo(self._chunk, CHUNKS)
         self.stretches = Memo(self._stretch, STRETCHES)
 
     def merged(self, text: str) -> list[str]:
-        """The symbols of ``text`` when its agenda has run empty."""
-        symbols, scores = list(text), self.scores
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        agenda = []
-
-        def note(left: int, right: int) -> None:
-            pair = symbols[left] + symbols[right]
-            score = scores.get(pair)
-            if score is not None:
-                heapq.heappush(agenda, (-score, left, right, pair))
+        """The symbols of ``text`` when its agenda has run empty.
 
-        for left in range(len(symbols) - 1):
-            note(left, left + 1)
+        An entry of the agenda is one number, a pair's rank and the place of its left symbol.
+        """
+        symbols, rank = list(text), self.ranks.get
+        size = len(symbols)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        agenda = []
+        for left in range(size - 1):
+            r = rank(symbols[left] + symbols[left + 1])
+            if r is not None:
+                agenda.append(r << 32 | left)
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, pair = heapq.heappop(agenda)
-            if after[left] != right or symbols[left] + symbols[right] != pair:
+            entry = heapq.heappop(agenda)
+            left = entry & 0xFFFFFFFF
+            right = after[left]
+            if right >= size or not symbols[left]:
+                continue
+            pair = symbols[left] + symbols[right]
+            if rank(pair) != entry >> 32:
                 continue  # lapsed: one of the two has merged since
             symbols[left], symbols[right] = pair, ""
-            after[left] = after[right]
-            if after[left] < len(symbols):
-                before[after[left]] = left
-                note(left, after[left])
-            if before[left] >= 0:
-                note(before[left], left)
+            right = after[left] = after[right]
+            if right < size:
+                before[right] = left
+                r = rank(pair + symbols[right])
+                if r is not None:
+                    heapq.heappush(agenda, r << 32 | left)
+            left = before[left]
+            if left >= 0:
+                r = rank(symbols[left] + pair)
+                if r is not None:
+                    heapq.heappush(agenda, r << 32 | left)
         return [s for s in symbols if s]
 
     def _stretch(self, text: str) -> list[int]:
+        self.fresh = True
         ids = []
         for symbol in self.merged(text):
-            if symbol in self.scores:
+            if symbol in self.ranks:
                 ids.append(self.ids[symbol])
             else:
                 ids += [self.bytes[b] for b in symbol.encode()]
         return ids
 
     def _chunk(self, chunk: str) -> list[int]:
-        """Ids of a stretch without its space in front, checked against the library."""
-        ids = [*chain.from_iterable(map(self.stretches.__getitem__, self.border.split(SPACE + chunk)))]
-        if ids != self.library.encode(chunk):
-            raise ValueError(f"the library encodes {chunk!r} in another way")
+        """Ids of what stands between two spaces, noted for the check if a stretch in it is new."""
+        self.fresh = False
+        parts = self.border.split(SPACE + chunk)
+        ids = self.stretches[parts[0]] if len(parts) == 1 else [*chain.from_iterable(map(self.stretches.__getitem__, parts))]
+        if self.fresh:
+            self.unchecked.append((chunk, ids))
         return ids
 
+    def check(self) -> None:
+        """Compares what is new since the last check with the library."""
+        if self.unchecked:
+            chunks, ids = zip(*self.unchecked)
+            self.unchecked.clear()
+            for chunk, own, theirs in zip(chunks, ids, self.library.encode(list(chunks), num_threads=1)):
+                if own != theirs:
+                    raise ValueError(f"the library encodes {chunk!r} in another way")
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without the end id."""
         if not text:
@@ -129,7 +154,9 @@ def encode(docs: DataFrame, vocabulary: str, name: str = "ids") -> DataFrame:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         words = encoder(vocabulary)
-        return pa.array([[*words.encode(t), words.end_id] for t in texts.to_pylist()], pa.list_(pa.int32()))
+        out = pa.array([[*words.encode(t), words.end_id] for t in texts.to_pylist()], pa.list_(pa.int32()))
+        words.check()
+        return out
 
     return docs.withColumn(name, ids("text"))
 
@@ -153,6 +180,7 @@ def encoded_and_decoded(docs: DataFrame, vocabulary: str) -> DataFrame:
         for text in texts.to_pylist():
             ids.append([*words.encode(text), words.end_id])
             decoded.append(words.library.decode(ids[-1]))
+        words.check()
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     others = [c for c in docs.columns if c != "text"]
@@ -174,6 +202,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                     decoded = words.library.decode(ids)
                     rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
                                  hashlib.sha256(decoded.encode()).hexdigest()))
+                words.check()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), *(pa.array(column) for column in zip(*rows))],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
