@@ -4,16 +4,19 @@ Documents with the same shingle set are one class; everything below is about cla
 minwise tokens: place i holds the least of its shingles' i-th hashes, so two classes agree at
 a place with probability equal to their Jaccard similarity.
 
-Each of ``TREES`` independent trees branches a class recursively: the hash of a node picks one or two places (``1 /
+Each tree branches a class recursively: the hash of a node picks one or two places (``1 /
 LEAST_SIMILARITY`` on average), and the class goes on to the child named by node, place and
-its token there. A pair at the limit so keeps one common child a level on average, and at depth ``DEPTH`` meets in
-a tree with probability 0.64: all ten trees miss it once in 27,000. The nodes of a class depend on it alone, so no shuffle is needed until the leaves.
+its token there. A pair at the limit so keeps one common child a level on average; it meets in a tree with probability 0.64 at
+depth ``DEPTH`` and 0.38 at ``DEEPEST``. ``TREES`` says how many trees each depth takes: so many that all of them miss a pair at
+the limit at most once in 27,000, counting that they share the tokens (averaged over how many of a pair's tokens agree).
+The nodes of a class depend on it alone, so no shuffle is needed until the leaves.
 
 In a node, members link to the node's first class first (a line of comparisons, not a square). Nodes whose members
 are then in one component have nothing more to say about components. In the others, members outside the largest
 component are compared with all members of other components if the node, or their number, is small (``SMALL``); larger
-nodes branch on while that takes them apart, to ``DEEPEST`` levels at most, after which they compare so, too.
-Comparisons within a node first ask for sizes within the limit and, of 64 one-bit tokens, for ``AGREE`` agreeing ones;
+nodes branch on while that takes them apart, to ``DEEPEST`` levels at most, after which they compare so, too. With each level
+the classes of large nodes get further trees from the root, up to that depth's number, for the pairs that the level parts.
+Comparisons within a node first ask for sizes within the limit and, of ``SKETCH`` one-bit tokens, for ``AGREE`` agreeing ones;
 what is left is confirmed on full shingle sets.
 
 NULL texts and texts without words have the empty set, which links with nothing. Rows that share a doc_id
@@ -33,12 +36,13 @@ from coldwatch.llm.components import components
 from coldwatch.llm.tables import Memo, documents
 from coldwatch.session import freeze
 
-TOKENS = 64
-TREES = 10
-DEPTH, DEEPEST = 3, 9
+TOKENS = 128
+DEPTH = 3
+TREES = (12, 15, 18, 21, 26, 30, 36)  # by depth from DEPTH on
+DEEPEST = DEPTH + len(TREES) - 1
 SMALL = 100
 FIRSTS = 5
-AGREE = 44
+SKETCH, AGREE = 64, 44
 LEAST_PERCENT = 80
 SETS = 4000
 ROWS = 2000
@@ -104,32 +108,41 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
         sign, "doc_id long, n long, set1 long, set2 long, tokens binary")
 
 
+def roots(trees: range, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row in the root of each tree: row and node."""
+    return np.repeat(np.arange(rows), len(trees)), np.tile(mixed(np.array(trees, np.uint64) + np.uint64(1)), rows)
 
-def branched(rows: DataFrame, start: str | None, levels: int) -> DataFrame:
-    """Nodes ``levels`` deeper than ``start`` (the trees' roots without it) for rows of id, n, tokens."""
+
+def descended(table: np.ndarray, row: np.ndarray, node: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and node ``levels`` deeper, for a table of tokens."""
+    places = table.shape[1]
+    for _ in range(levels):
+        draw = mixed(node * np.uint64(MIX[2]) + np.uint64(1))
+        first = (draw % np.uint64(places)).astype(int)
+        second = (first + 1 + ((draw >> np.uint64(8)) % np.uint64(places - 1)).astype(int)) % places
+        twice = (draw >> np.uint64(32)) % np.uint64(LEAST_PERCENT) < np.uint64(100 - LEAST_PERCENT)
+        place = np.concatenate([first, second[twice]])
+        row, node = np.concatenate([row, row[twice]]), np.concatenate([node, node[twice]])
+        node = mixed(mixed(node + place.astype(np.uint64) * np.uint64(MIX[0])) + table[row, place].astype(np.uint64))
+    return row, node
+
+
+def branched(rows: DataFrame, start: str | None, levels: int, trees: range = range(0)) -> DataFrame:
+    """Nodes ``levels`` deeper than ``start`` (the roots of ``trees`` without it) for rows of id, n, tokens."""
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            bits = np.packbits((table & 1).astype(np.uint8), axis=1).view("<i8").ravel()
-            row = np.arange(batch.num_rows)
-            if start:
-                node = batch.column(start).to_numpy().view(np.uint64)
-            else:
-                row = np.repeat(row, TREES)
-                node = np.tile(mixed(np.arange(1, TREES + 1, dtype=np.uint64)), batch.num_rows)
-            for _ in range(levels):
-                draw = mixed(node * np.uint64(MIX[2]) + np.uint64(1))
-                first = (draw % np.uint64(TOKENS)).astype(int)
-                second = (first + 1 + ((draw >> np.uint64(8)) % np.uint64(TOKENS - 1)).astype(int)) % TOKENS
-                twice = (draw >> np.uint64(32)) % np.uint64(LEAST_PERCENT) < np.uint64(100 - LEAST_PERCENT)
-                place = np.concatenate([first, second[twice]])
-                row, node = np.concatenate([row, row[twice]]), np.concatenate([node, node[twice]])
-                node = mixed(mixed(node + place.astype(np.uint64) * np.uint64(MIX[0])) + table[row, place].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), batch.column("id").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(bits[row])],
-                ["node", "id", "n", "bits"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                table = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+                bits = np.packbits((table[:, :SKETCH] & 1).astype(np.uint8), axis=1).view("<i8").ravel()
+                if start:
+                    row, node = np.arange(batch.num_rows), batch.column(start).to_numpy().view(np.uint64)
+                else:
+                    row, node = roots(trees, batch.num_rows)
+                row, node = descended(table, row, node, levels)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node.view(np.int64)), batch.column("id").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(bits[row])],
+                    ["node", "id", "n", "bits"])
 
     columns = ["id", "n", "tokens", *([start] if start else [])]
     return rows.select(*columns).mapInArrow(branch, "node long, id long, n long, bits long").dropDuplicates(["node", "id"])
@@ -150,7 +163,7 @@ def near(a: str, b: str) -> Column:
     """Sizes and one-bit tokens that a pair at the limit would have."""
     col = lambda side, name: F.col(f"{side}.{name}")
     sizes = 100 * F.least(col(a, "n"), col(b, "n")) >= LEAST_PERCENT * F.greatest(col(a, "n"), col(b, "n"))
-    return sizes & (F.bit_count(col(a, "bits").bitwiseXOR(col(b, "bits"))) <= TOKENS - AGREE)
+    return sizes & (F.bit_count(col(a, "bits").bitwiseXOR(col(b, "bits"))) <= SKETCH - AGREE)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -195,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
         F.col("doc_id").alias("a"), F.col("id").alias("b"))
     several = rows.where("n > 0").groupBy("doc_id").agg(F.countDistinct("set1", "set2").alias("sets")).where("sets > 1")
     links = freeze(aliases.join(several, F.col("a") == F.col("doc_id"), "left_semi"), "links")
-    nodes, depth, before = shared(branched(classes, None, DEPTH)), DEPTH, None
+    nodes, depth, before = shared(branched(classes, None, DEPTH, range(TREES[0]))), DEPTH, None
     while True:
         stars = nodes.alias("x").where("id <> low").join(
             nodes.where("id = low").alias("y"), F.col("x.node") == F.col("y.node")).where(near("x", "y"))
@@ -205,8 +218,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
         open_nodes = several_components(nodes, parts)
         large = open_nodes.where(F.least("members", "outsiders") > SMALL).select("node", "id")
         n_large = large.count()
-        # another level helps only if the last one took the large nodes apart
-        last = depth >= DEEPEST or not n_large or (before is not None and 2 * n_large > before)
+        # another level helps only if the last one took the large nodes of a tree apart
+        a_tree = n_large / TREES[depth - DEPTH]
+        last = depth >= DEEPEST or not n_large or (before is not None and 2 * a_tree > before)
         # with few outsiders their comparisons are a few lines, however large the node
         ready = open_nodes if last else open_nodes.where(F.least("members", "outsiders") <= SMALL)
         apart = F.col("x.component") != F.col("y.component")
@@ -216,9 +230,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
         links = links.unionByName(freeze(confirmed(pairs, docs, shingle), "links"))
         if last:
             break
-        depth, before = depth + 1, n_large
-        deeper = large.join(classes.select("id", "n", "tokens"), "id")
-        nodes = shared(branched(deeper, "node", 1))
+        depth, before = depth + 1, a_tree
+        signs = classes.select("id", "n", "tokens")
+        deeper = branched(large.join(signs, "id"), "node", 1)
+        further = branched(signs.join(large.select("id").distinct(), "id", "left_semi"), None, depth, range(*TREES[depth - DEPTH - 1:depth - DEPTH + 1]))
+        nodes = shared(deeper.unionByName(further))
     parts = components(links)
     return (
         rows.join(classes.select("set1", "set2", "id"), ["set1", "set2"], "left")

@@ -82,6 +82,23 @@ def test_large_groups(spark, monkeypatch):
     assert sorted_rows(got) == sorted(want, key=str)
 
 
+def missed(agree, trees, depth):
+    """How many pairs with these agreeing tokens meet in no node of this depth."""
+    draw = np.random.default_rng(8)
+    one = draw.integers(0, 1 << 32, agree.shape, np.uint32)
+    other = np.where(agree, one, draw.integers(0, 1 << 32, agree.shape, np.uint32))
+    (row, node), (row_2, node_2) = (minhash.descended(t, *minhash.roots(range(trees), len(t)), depth) for t in (one, other))
+    keys, keys_2 = (minhash.mixed(r.astype(np.uint64)) ^ n for r, n in ((row, node), (row_2, node_2)))
+    return len(agree) - len(np.unique(row[np.isin(keys, keys_2)]))
+
+
+@pytest.mark.parametrize("depth", [3, 4, 6, 9])
+def test_recall_at_depth(depth):
+    """Pairs at exactly the limit meet at each depth that large nodes are branched to, given that depth's trees."""
+    agree = np.random.default_rng(7).random((6000, minhash.TOKENS)) < 0.8
+    assert missed(agree, minhash.TREES[depth - minhash.DEPTH], depth) <= 2
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, " one "), (6, "a b"), (7, "a b"), (7, "a b"), (8, "b a"), (None, "a b"), (9, "É é"), (10, "é É")]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, n int, node string")
