@@ -8,7 +8,8 @@ anchors at the same place, and comparing what surrounds equal anchors finds ever
 1.  Consecutive windows with one anchor form a *region*: the anchor's hash, a hash of all its bytes.
     Regions whose anchor occurs once hold no repeat. Of those left, regions that occur twice as a whole repeat in all their windows.
 2.  For anchors with other regions besides, one region of each content goes to a suffix array: sampled splitters
-    range-partition suffixes by their leading tokens (the anchor, then the bytes behind it); each bucket sorts its suffixes by
+    range-partition suffixes by the anchor, the bytes behind it, then those before it, so that a bucket takes no more than
+    its share also where all suffixes go on alike; each bucket sorts its suffixes in the same order by
     multikey quicksort, a word of eight bytes at a time and only among ties; neighbours are compared, also the last of
     a bucket and the first of the next. The same is done with the bytes before the anchor, read backwards.
     Two neighbours that agree for L bytes before and R bytes behind the anchor share all windows within.
@@ -123,12 +124,11 @@ def found_regions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(find, REGION)
 
 
-SUFFIX = "anchor long, content long, single boolean, doc_id long, text_id long, first int, windows int, at int, before binary, behind binary, lead_before binary, lead_behind binary"
+SUFFIX = "anchor long, content long, single boolean, doc_id long, text_id long, first int, windows int, at int, before binary, behind binary"
 
 
 def suffixes(kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes around each wanted region's anchor: ``before`` (backwards) and ``behind``, with the first of each beyond
-    the anchor to deal them out by."""
+    """The bytes around each wanted region's anchor: ``before`` (backwards) and ``behind``."""
     wanted = kinds.groupBy("doc_id", "text_id").agg(
         F.collect_list(F.struct("anchor", "content", "single", "first", "windows", "at")).alias("wanted"))
     # texts stream past a hash table of what is wanted, instead of being sorted
@@ -146,8 +146,8 @@ def suffixes(kinds: DataFrame, docs: DataFrame) -> DataFrame:
                         before = text[w["first"]:w["at"]][::-1]
                         behind = text[w["at"]:w["first"] + w["windows"] - 1 + LENGTH]
                         out.append((w["anchor"], w["content"], w["single"], row["doc_id"], row["text_id"], w["first"], w["windows"], w["at"],
-                                    before, behind, before[:16], behind[GRAM:GRAM + 16]))
-                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                                    before, behind))
+                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -206,7 +206,8 @@ def compared(table: pa.Table, side: str) -> tuple[pa.Table, np.ndarray]:
     how far the side agreed; and the order."""
     anchor, content = table.column("anchor").to_numpy(), table.column("content").to_numpy()
     bytes_, sizes = zip(*(matrix(table.column(name), SIDES[name]) for name in SIDES))
-    order = multikey(anchor, bytes_[list(SIDES).index(side)])
+    at = list(SIDES).index(side)
+    order = multikey(anchor, np.hstack([bytes_[at], bytes_[1 - at]]))
     one, other = order[:-1], order[1:]
     same = (anchor[one] == anchor[other]) & (content[one] != content[other])
     one, other = one[same], other[same]
@@ -219,9 +220,14 @@ def compared(table: pa.Table, side: str) -> tuple[pa.Table, np.ndarray]:
     return out, order
 
 
+def dealt(found: DataFrame, side: str) -> DataFrame:
+    """Suffixes in buckets of about equal size, by all that tells them apart: however many share an anchor and what follows."""
+    other = next(name for name in SIDES if name != side)
+    return found.repartitionByRange(max(12, partitions(found.sparkSession)), "anchor", side, other)
+
+
 def neighbours(found: DataFrame, side: str) -> DataFrame:
     """Shared windows of neighbours in one order of suffixes, bucket by bucket and across buckets."""
-    dealt = found.repartitionByRange(max(12, partitions(found.sparkSession)), "anchor", f"lead_{side}")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -239,7 +245,7 @@ def neighbours(found: DataFrame, side: str) -> DataFrame:
              ends.column("before"), ends.column("behind")], schema=MATCH)
         yield from edge.to_batches()
 
-    matches = freeze(dealt.mapInArrow(sort, MATCH_DDL), "neighbours")
+    matches = freeze(dealt(found, side).mapInArrow(sort, MATCH_DDL), "neighbours")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]

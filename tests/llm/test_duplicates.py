@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coldwatch.llm import minhash, suffixes, vectors
 from coldwatch.llm.queries import QUERIES
@@ -133,6 +134,23 @@ def test_repeats(spark, small):
     assert sorted_rows(QUERIES["op8_suffix_dedup"](spark, small)) == repeats(rows)
 
 
+def test_passage_in_most_documents(spark):
+    """One passage amid different words: its suffixes agree on a side far beyond a few bytes, and are still dealt to many buckets."""
+    draw = random.Random(9)
+    text = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(n))
+    passage = text(160)
+    rows = [(i, f"{text(60)} {passage} {text(60)}" if i % 10 else text(150)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = suffixes.identified(df)
+    anchors = suffixes.found_regions(known).groupBy("anchor").count().where("count > 300").select("anchor")
+    every = suffixes.found_regions(known).join(anchors, "anchor").withColumn("single", F.lit(True))
+    found = suffixes.suffixes(every.dropDuplicates(["anchor", "content"]), known)
+    for side in suffixes.SIDES:
+        sizes = [r["count"] for r in suffixes.dealt(found, side).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 3 * sum(sizes) / max(12, suffixes.partitions(spark))
+    assert sorted_rows(suffixes.without_repeats(df)) == repeats(rows)
+
+
 @pytest.mark.parametrize("stretch", [1 << 21, 700])
 def test_planted_repeats(spark, monkeypatch, stretch):
     monkeypatch.setattr(suffixes, "AT_ONCE", stretch)
