@@ -5,9 +5,9 @@ DataFrame functions only. Spans are code points, end exclusive.
 *Patterns* (leftmost matches that don't overlap, per kind): assignments of at least 8 characters to a
 password-like name, cloud access keys of at least 16, hex strings of at least 32. A match that is too short still uses up its text.
 
-*Random strings.* Candidates are runs of at least ``SHORTEST`` characters of the base-64 alphabets
-with letters of both cases and a digit, or only hex digits. The characters say the encoding:
-hex (16 symbols), letters and digits (62), or base 64 (64). On the symbols' places in their alphabet three
+*Random strings.* Candidates are all runs of at least ``SHORTEST`` characters of the base-64 alphabets. The characters say
+the encoding, the smallest that holds them: hex (16 symbols), base 32 (32), letters of one case and digits (36), letters and
+digits (62), or base 64 (64); the first three in either case. On the symbols' places in their alphabet three
 tests ask whether the string could be uniform noise:
 
 - chi-squared against equal frequencies (Wilson-Hilferty normal),
@@ -43,12 +43,16 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 SHORTEST = 20
-CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST
-HEX_SYMBOLS = "0123456789abcdef"
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,6}" % SHORTEST
+ONE_CASE = {  # symbols and form, smallest first
+    "0123456789abcdef": "^(?:[0-9a-f]+|[0-9A-F]+)$",
+    "abcdefghijklmnopqrstuvwxyz234567": "^(?:[a-z2-7]+|[A-Z2-7]+)=*$",
+    "0123456789abcdefghijklmnopqrstuvwxyz": "^(?:[a-z0-9]+|[A-Z0-9]+)=*$",
+}
 SYMBOLS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"
 REJECT = 0.001
 FALSE_RATE = 0.01
-TEXT_REPEATS = {16: 1.6, 62: 3.2, 64: 3.2}
+TEXT_REPEATS = {16: 1.6, 32: 2.1, 36: 2.3, 62: 3.2, 64: 3.2}
 GRID, MOST_LOG = 8, 60
 SPAN = "struct<start:int,end:int,kind:string,what:string>"
 NONE = f"array<{SPAN}>"
@@ -95,9 +99,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", CANDIDATE)):
         text = with_spans(text, name, pattern, name)
     long_enough = F.filter("assign", lambda s: F.length(F.regexp_extract(s["what"], ASSIGN, 1)) >= ASSIGN_LEAST)
-    coded = lambda s: (
-        s["what"].rlike("[0-9]") & s["what"].rlike("[a-z]") & s["what"].rlike("[A-Z]")) | s["what"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    found = text.select("doc_id", ordered(F.concat(long_enough, "access", "hex")).alias("base"), F.filter("random", coded).alias("candidates"))
+    found = text.select("doc_id", ordered(F.concat(long_enough, "access", "hex")).alias("base"), F.col("random").alias("candidates"))
     apart = lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     return freeze(found.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.filter("candidates", apart).alias("candidates")), "scanned")
@@ -113,16 +115,16 @@ def tail(z: Column) -> Column:
 def tested(candidates: DataFrame) -> DataFrame:
     """Adds log_p, minus ln of the p-value against ordinary text; 0 where a test rejects noise."""
     what, n, k = F.col("what"), F.col("n"), F.col("k")
-    is_hex = what.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    plain = F.when(is_hex, F.lower(what)).otherwise(F.translate(F.rtrim(what, F.lit("=")), "-_", "+/"))
-    alphabet = F.when(F.col("k") == 16, F.lit(HEX_SYMBOLS)).otherwise(F.lit(SYMBOLS))
+    alphabet = F.coalesce(*(F.when(what.rlike(form), F.lit(symbols)) for symbols, form in ONE_CASE.items()), F.lit(SYMBOLS))
+    bare = F.rtrim(what, F.lit("="))
+    plain = F.when(F.col("alphabet") != SYMBOLS, F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
     places = F.transform(F.split("symbols", ""), lambda c: F.position(c, F.col("alphabet")) - 1)
     times = lambda p: F.size(F.filter("places", lambda x: x == p))
     total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda acc, x: acc + f(x))
     coded = (
-        candidates.withColumn("symbols", plain)
-        .withColumn("k", F.when(is_hex, 16).when(F.col("symbols").rlike("[+/]"), 64).otherwise(62))
-        .withColumn("alphabet", alphabet).withColumn("places", places)
+        candidates.withColumn("alphabet", alphabet).withColumn("symbols", plain)
+        .withColumn("k", F.when(F.col("alphabet") != SYMBOLS, F.length("alphabet")).when(F.col("symbols").rlike("[+/]"), 64).otherwise(62))
+        .withColumn("places", places)
         .withColumn("n", F.size("places")).where(n >= 2)
         .withColumn("squares", total(F.array_distinct("places"), lambda p: times(p) * times(p)))
         .withColumn("above", total("places", lambda x: F.when(x * 2 >= k, 1.0).otherwise(0.0)))

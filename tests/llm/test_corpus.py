@@ -116,6 +116,21 @@ def test_odd_secrets(spark):
     assert secrets.secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_of_other_encodings(spark):
+    """Random base 32, letters of one case with digits, and letters without digits are found; long words and names aren't."""
+    draw = random.Random(6)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [upper + "234567", lower + "234567", lower + "0123456789", upper + "0123456789", lower + upper]
+    rows = [(i, f"see {''.join(draw.choice(kinds[i % 5]) for _ in range(72))} there") for i in range(500)]
+    words = "the of and to in that is was for it with as his on be at by had not are but from or have an they which one you were her all she there would".split()
+    rows += [(i, f"see {''.join(draw.choice(words) for _ in range(20))} there") for i in range(500, 600)]
+    rows += [(i, f"see {'_'.join(draw.choice(words).upper() for _ in range(12))} there") for i in range(600, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in secrets.secrets(df).where("exists(spans, s -> s.kind = 'random')").collect()}
+    assert [sum(i % 5 == kind for i in got if i < 500) > 85 for kind in range(5)] == [True] * 5
+    assert not any(i >= 500 for i in got)
+
+
 def shingles(text):
     words = WORD.findall(text.lower())
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
