@@ -2,13 +2,14 @@
 
 A text's vector counts its runs of one to three characters (lower case; what is no letter is one
 blank), hashed to ``BUCKETS`` places, damped by logarithm, weighted by inverse document frequency and
-normalised. ``train`` clusters each language's vectors by spherical k-means into ``CENTROIDS``
-centroids, from about ``PER_LANGUAGE`` documents of each language, drawn by a hash of doc_id: the one bounded sample
+normalised. ``train`` clusters each language's vectors by spherical k-means into at most ``CENTROIDS``
+centroids of ``MEMBERS`` texts or more, from about ``PER_LANGUAGE`` documents of each language, drawn by a hash of doc_id: the one bounded sample
 here. ``predict`` reads whole texts; the language is that of the nearest centroid by cosine, the score that cosine.
 
-A text is rejected if it has no letter (``und``, score 0), or if its cosine is below ``LEAST`` times the least that
-the centroid's own training vectors have; as short texts have few n-grams and so low cosines, the limit is lowered
-by n / (n + ``FEW``) for n n-grams. Rejection is a column; the prediction stays.
+A text is rejected if it has no letter (``und``, score 0), or if its cosine is below the limit of its length class (numbers of
+n-grams from one power of two to the next). The limit is the ``QUANTILE`` of held-back cosines: half of each language's
+sample against centroids of the other half, and the other way round, whole and cut to each length. Classes with fewer than
+``SEEN`` of them are taken together with shorter ones. Rejection is a column; the prediction stays.
 
 NULL text has no letter. NULL labels aren't learnt from. Without any training document all predictions
 are ``und``. Repeated rows are kept; ``predict`` keeps the given columns (its own names must be free).
@@ -32,8 +33,11 @@ BUCKETS = 4096
 CENTROIDS = 4
 PER_LANGUAGE = 400
 ROUNDS = 12
-LEAST = 0.5
-FEW = 600
+MEMBERS = 5
+QUANTILE = 0.01
+SEEN = 400
+CUTS = range(2, 16)  # powers of two
+CLASSES = 40
 UNKNOWN = "und"
 CHARS_AT_ONCE, TEXTS_AT_ONCE = 1 << 18, 64
 FACTORS = tuple(np.uint32(f) for f in (2654435761, 2246822519, 3266489917))  # fixed values: odd multipliers
@@ -95,24 +99,59 @@ def blocks(texts: list[str]) -> Iterator[np.ndarray]:
 class Model:
     languages: list[str]
     centroids: np.ndarray
-    floors: np.ndarray
+    limits: np.ndarray
     idf: np.ndarray
 
 
-def clusters(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out starts; centroids and each one's least cosine."""
-    starts = [0]
+def clusters(rows: np.ndarray, k: int) -> np.ndarray:
+    """Centroids of spherical k-means, from k-means++ starts; those of fewer than ``MEMBERS`` rows give way to the others."""
+    draw = np.random.default_rng(k)
+    starts = [int(draw.integers(len(rows)))]
     while len(starts) < min(k, len(rows)):
-        starts.append(int((rows @ rows[starts].T).max(1).argmin()))
+        far = np.maximum(1 - (rows @ rows[starts].T).max(1), 0)
+        if far.sum() < 1e-9:
+            break
+        starts.append(int(draw.choice(len(rows), p=far / far.sum())))
     centroids = rows[starts]
     for _ in range(ROUNDS):
         nearest = (rows @ centroids.T).argmax(1)
-        sums = np.stack([rows[nearest == i].sum(0) if (nearest == i).any() else centroids[i] for i in range(len(centroids))])
+        size = np.bincount(nearest, minlength=len(centroids))
+        sums = np.stack([rows[nearest == i].sum(0) for i in np.flatnonzero(size >= min(MEMBERS, size.max()))])
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    cosines = rows @ centroids.T
-    nearest = cosines.argmax(1)
-    floors = np.array([cosines[nearest == i, i].min() if (nearest == i).any() else 1.0 for i in range(len(centroids))])
-    return centroids, floors
+    return centroids
+
+
+def length_class(size: np.ndarray) -> np.ndarray:
+    """The class of texts with so many n-grams."""
+    return np.minimum(np.log2(np.maximum(size, 1)).astype(int), CLASSES - 1)
+
+
+def held_back(texts: list[str], rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length classes and cosines of each half of the texts, whole and cut, with centroids of the other half."""
+    half = np.random.default_rng(0).permutation(len(texts)) % 2
+    classes, cosines = [np.empty(0, int)], [np.empty(0)]
+    for side in (0, 1):
+        if not (half != side).any():
+            continue
+        centroids = clusters(rows[half != side], CENTROIDS)
+        own = [t for t, h in zip(texts, half) if h == side]
+        for raw in blocks([*own, *(t[:1 << c] for t in own for c in CUTS if len(t) > 1 << c)]):
+            block = weighted(raw, idf)
+            known = block.any(1)
+            classes.append(length_class(raw.sum(1))[known])
+            cosines.append((block @ centroids.T).max(1)[known])
+    return np.concatenate(classes), np.concatenate(cosines)
+
+
+def limits(classes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The limit of each length class; 0 where nothing is known of it or of shorter ones."""
+    out = np.zeros(CLASSES)
+    for c in range(CLASSES):
+        low = next((x for x in range(c, 0, -1) if ((classes >= x) & (classes <= c)).sum() >= SEEN), 0)
+        seen = cosines[(classes >= low) & (classes <= c)]
+        if len(seen):
+            out[c] = np.quantile(seen, QUANTILE, method="lower")
+    return out
 
 
 def train(labelled: DataFrame) -> Model:
@@ -135,17 +174,20 @@ def train(labelled: DataFrame) -> Model:
     idf = np.log((total + 1) / (have + 1)) + 1
 
     def cluster(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.vstack([*vectors(frame["text"].sort_values().tolist(), idf)])
-        rows = rows[rows.any(1)]
+        texts = frame["text"].sort_values().tolist()
+        rows = np.vstack([*vectors(texts, idf)])
+        texts, rows = [t for t, known in zip(texts, rows.any(1)) if known], rows[rows.any(1)]
         if not len(rows):
-            return pd.DataFrame({"lang": [], "floor": [], "centroid": []})
-        found, floors = clusters(rows, CENTROIDS)
-        return pd.DataFrame({"lang": key[0], "floor": floors, "centroid": found.tolist()})
+            return pd.DataFrame({"lang": [], "centroid": [], "classes": [], "cosines": []})
+        classes, cosines = held_back(texts, rows, idf)
+        found = clusters(rows, CENTROIDS).tolist()
+        nothing = [[]] * (len(found) - 1)
+        return pd.DataFrame({"lang": key[0], "centroid": found, "classes": [classes.tolist(), *nothing], "cosines": [cosines.tolist(), *nothing]})
 
-    rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, floor double, centroid array<double>").collect()
+    rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, classes array<int>, cosines array<double>").collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.centroid))  # CENTROIDS rows per language
-    return Model([r.lang for r in rows], np.array([r.centroid for r in rows], np.float32).reshape(-1, BUCKETS),
-                 np.array([r.floor for r in rows]), idf)
+    classes, cosines = (np.array([x for r in rows for x in r[name]]) for name in ("classes", "cosines"))
+    return Model([r.lang for r in rows], np.array([r.centroid for r in rows], np.float32).reshape(-1, BUCKETS), limits(classes, cosines), idf)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -168,8 +210,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best, score = np.full(len(block), -1), np.zeros(len(block))
             empty = ~block.any(1)
             best, score = np.where(empty, len(known.languages), best), np.where(empty, 0.0, score)
-            floor = np.append(known.floors, 1.0)[best] * LEAST * size / (size + FEW)
-            out.append((names[best], score, empty | (score < floor)))
+            out.append((names[best], score, empty | (score < known.limits[length_class(size)])))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
 

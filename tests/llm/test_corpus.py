@@ -172,6 +172,22 @@ def test_languages(spark, small):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_foreign_texts(spark):
+    """Random letters, base 64 and Latin-script languages that weren't learnt are rejected; clean documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = languages.train(languages.learnt_from(docs))
+    draw = random.Random(2)
+    noise = lambda n: " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(n))
+    italian = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era e cosa dura "
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    blob = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4000))
+    foreign = [noise(100), noise(1000), italian * 8, finnish * 8, blob]
+    rows = spark.createDataFrame([*enumerate(foreign)], "doc_id long, text string")
+    assert [r.rejected for r in languages.predict(rows, model).orderBy("doc_id").collect()] == [True] * len(foreign)
+    assert languages.predict(docs.where(languages.held_out()), model).where(
+        "rejected AND size(array_distinct(split(text, ' '))) >= 10").count() == 0  # others repeat a word or two throughout
+
+
 def test_odd_languages(spark):
     good = [(i, "the cat and the dog " * 20, "en") for i in range(1, 60)] + [(i, "le chat et la souris " * 20, "fr") for i in range(60, 120)]
     odd = [(900, None, "en"), (901, "", None), (902, "12 34 !", "fr"), (None, "the cat and the dog", "en"), (903, "щука и карась " * 300, None), (904, "the dog", None)]
