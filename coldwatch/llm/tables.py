@@ -22,6 +22,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def long_rows(spark: SparkSession, most: int = 1000) -> None:
     """Lets Arrow batches hold fewer rows than Spark's 10,000, as rows with whole texts are long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
