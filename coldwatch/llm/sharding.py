@@ -48,6 +48,11 @@ def size_step(size: Column) -> Column:
     return (bits * 16 + shifted(size * 32, bits) - 16).cast("int")
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def hilbert(place: Column, dimensions: int, bits: int) -> Column:
     """The index on the curve of a cell (an array of whole numbers below ``2 ** bits``).
 
@@ -67,19 +72,25 @@ def hilbert(place: Column, dimensions: int, bits: int) -> Column:
     cell = place.cast("array<int>")
     if bits > 1:
         cell = F.aggregate(F.sequence(F.lit(0), F.lit((bits - 1) * dimensions - 1)), cell, turn)
-    # each axis takes in those before it
-    gray = F.transform(F.sequence(F.lit(1), F.lit(dimensions)),
-                       lambda n: F.aggregate(F.slice(cell, F.lit(1), n), F.lit(0), lambda a, b: a.bitwiseXOR(b)))
     powers = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
 
-    def flip(done: Column, power: Column) -> Column:
-        bit = shifted(F.lit(1), power, left=True)
-        return F.when(F.element_at(gray, -1).bitwiseAND(bit) != 0, done.bitwiseXOR(bit - 1)).otherwise(done)
+    def gray(cell: Column) -> Column:
+        """Each axis takes in those before it."""
+        return F.transform(F.sequence(F.lit(1), F.lit(dimensions)),
+                           lambda n: F.aggregate(F.slice(cell, F.lit(1), n), F.lit(0), lambda a, b: a.bitwiseXOR(b)))
+
+    def flips(code: Column) -> Column:
+        def flip(done: Column, power: Column) -> Column:
+            bit = shifted(F.lit(1), power, left=True)
+            return F.when(F.element_at(code, -1).bitwiseAND(bit) != 0, done.bitwiseXOR(bit - 1)).otherwise(done)
+
+        return F.aggregate(powers, F.lit(0), flip)
 
-    def digits(done: Column, power: Column) -> Column:
-        return F.aggregate(gray, done, lambda d, v: d * 2 + shifted(v.bitwiseXOR(F.aggregate(powers, F.lit(0), flip)), power).bitwiseAND(F.lit(1)))
+    def digits(code: Column) -> Column:
+        return F.aggregate(powers, F.lit(0).cast("long"), lambda done, power: F.aggregate(
+            code, done, lambda d, v: d * 2 + shifted(v, power).bitwiseAND(F.lit(1))))
 
-    return F.aggregate(powers, F.lit(0).cast("long"), digits)
+    return once(once(cell, gray), lambda code: once(once(flips(code), lambda f: F.transform(code, lambda v: v.bitwiseXOR(f))), digits))
 
 
 def quantised(profile: DataFrame, names: list[str], bits: int) -> DataFrame:
