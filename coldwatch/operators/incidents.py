@@ -1,22 +1,23 @@
 """Batch replay of the incident lifecycle over a table of enriched readings.
 
-Signals and the verdict of each reading are window expressions; what is left to step in
-order is small (open, escalate, beat, close) and runs as one streaming pass over rows that
-are already partitioned and sorted: one exchange, constant memory per unit. The clock of the
-replay is event time: before a reading at t, every timer that expires before t has fired;
-after a unit's last reading, those before ``as_of_ms``.
-
-A unit too large for one task is cut into slices (see ``skew``). Each slice then starts from
-the incident that was open when it began, worked out from a per-slice summary.
+Signals and the verdict of each reading are window expressions, and so is nearly all of the lifecycle: an incident's
+type, level and peak only ratchet, so between two possible closings they are running maxima. What has to be
+stepped is which incident is still open where a new stretch begins. For that each unit's readings are first reduced to a row
+per stretch between possible closings, and these are folded (``carried_incidents``). Joined to the readings, the fold's result
+lets each reading name the events on it and the timers that fire before the next one.
+
+The clock of the replay is event time: before a reading at t, every timer that expires before t
+has fired; after a unit's last reading, those before ``as_of_ms``.
+
+A unit too large for one task is cut into slices (see ``skew``); each slice's first reading begins a stretch, so the fold
+carries incidents from slice to slice as it does within one.
 """
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,15 +25,13 @@ from coldwatch import schemas as S
 from coldwatch.functions import rules
 from coldwatch.operators import lifecycle as L
 from coldwatch.operators import signals
-from coldwatch.operators.skew import CONTEXT_ROWS, MAX_ROWS, cold_and_hot
+from coldwatch.operators.skew import CONTEXT_ROWS, MAX_ROWS, cold_and_hot, plan_slices, sliced_by
+from coldwatch.session import freeze
 
 PART = ["freezer_id", "slice"]
-_ENTRY = T.StructType([
-    T.StructField("freezer_id", T.StringType()), T.StructField("slice", T.LongType()),
-    T.StructField("entry_started", T.LongType()), T.StructField("entry_type", T.IntegerType()),
-    T.StructField("entry_level", T.IntegerType()), T.StructField("entry_peak", T.DoubleType()),
-    T.StructField("entry_beat", T.LongType()),
-])
+KEY = [*PART, "stretch"]
+HELD = ("_opened", "_type", "_level", "_peak")  # of an incident: opening, type, level, peak
+
 EMITTED = T.StructType([
     T.StructField("type_rank", T.IntegerType()), T.StructField("escalation_level", T.IntegerType()),
     T.StructField("incident_started_ts", T.LongType()), T.StructField("peak_temp_c", T.DoubleType()),
@@ -41,168 +40,199 @@ EMITTED = T.StructType([
     T.StructField("temp_trend", T.ArrayType(T.StructType([
         T.StructField("ts", T.LongType()), T.StructField("temp", T.DoubleType())]))),
 ])
-_TREND_ARROW = pa.list_(pa.struct([("ts", pa.int64()), ("temp", pa.float64())]))
-_EMITTED_ARROW = {
-    "type_rank": pa.int32(), "escalation_level": pa.int32(), "incident_started_ts": pa.int64(),
-    "peak_temp_c": pa.float64(), "lifecycle_event": pa.string(), "emit_ts": pa.int64(),
-    "closed_by": pa.string(), "temp_trend": _TREND_ARROW,
-}
 
 
+_WORKING = {"slice", "stretch", "is_context", "last_slice", "verdict_type", "verdict_level", "prev_ts", "next_ts", "_alert", "_begins",
+            "_silence", "_recovered", "_before_own", *HELD}
 _ALWAYS = ["freezer_id", "event_id", "event_ts", "temperature_c"]
 
 
-def judged_readings(enriched: DataFrame, max_rows: int = MAX_ROWS,
-                    context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Readings of ordinary and of hot units (None if there are none) with signals, verdict
-    ranks and quiet runs. Readings without limits are left out: they can never alert."""
-    def judged(sliced: DataFrame) -> DataFrame:
-        return signals.with_quiet_run(signals.classify(sliced, PART), PART).withColumns({
-            "verdict_type": rules.rank_of("alert_type", S.ALERT_TYPES),
-            "verdict_level": rules.rank_of("alert_severity", S.SEVERITIES),
-        })
+def judged(sliced: DataFrame) -> DataFrame:
+    """Sliced readings with signals, verdict ranks and quiet runs."""
+    return signals.with_quiet_run(signals.classify(sliced, PART), PART).withColumns({
+        "verdict_type": rules.rank_of("alert_type", S.ALERT_TYPES),
+        "verdict_level": rules.rank_of("alert_severity", S.SEVERITIES),
+    })
+
 
-    cold, hot = cold_and_hot(enriched.where(F.col("temperature_upper_limit").isNotNull()), max_rows, context_rows)
-    return judged(cold), None if hot is None else judged(hot)
+def _known(enriched: DataFrame) -> DataFrame:
+    """Readings without limits are left out: they can never alert."""
+    return enriched.where(F.col("temperature_upper_limit").isNotNull())
 
 
 def classified(enriched: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Every known reading with its signals and its sustained verdict."""
-    cold, hot = judged_readings(enriched, max_rows)
-    every = cold if hot is None else cold.unionByName(signals.with_carried_runs(hot))
+    cold, hot = cold_and_hot(_known(enriched), max_rows)
+    every = judged(cold) if hot is None else judged(cold).unionByName(signals.with_carried_runs(judged(hot)))
     return every.drop("next_ts", signals.BLOCK)
 
 
-def entry_states(judged: DataFrame) -> DataFrame:
-    """The incident open at the start of each later slice of a hot unit.
+def with_stretches(readings: DataFrame) -> DataFrame:
+    """Judged readings cut into ``stretch``es at possible closings, and what each stretch held before a reading.
 
-    An incident's type, level and peak only ratchet, so all readings between two possible
-    closings act as one: the earliest alert, the highest type, level and temperature. A
-    possible closing is a silence of 90 s or the first reading 30 s into a quiet run, so a
-    unit has at most one such stretch per 30 s and slice, however many readings it has.
+    A stretch begins with a slice's first own reading, after a silence long enough to close an incident, or 30 s into a quiet run.
+    The running columns are maxima of codes that grow with the stretch, so all share one sort: an older
+    stretch's code is told by its number and counts as none.
     """
-    hot_slices = judged.where(~F.col("is_context"))
-    in_time = Window.partitionBy(*PART).orderBy(*signals.time_order(judged))
-    silence = F.coalesce(F.col("event_ts") - F.col("prev_ts") > S.STALE_MS, F.lit(False))
+    in_time = Window.partitionBy(*PART).orderBy(*signals.time_order(readings))
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = in_time.rowsBetween(Window.unboundedPreceding, -1)
+    own, ts = ~F.col("is_context"), F.col("event_ts")
+    silence = F.coalesce(ts - F.col("prev_ts") > S.STALE_MS, F.lit(False))
     recovered = F.coalesce(
-        (F.col("event_ts") - F.col("quiet_since") >= S.RECOVERY_MS)
+        (ts - F.col("quiet_since") >= S.RECOVERY_MS)
         & (F.coalesce("prev_ts", "quiet_since") - F.col("quiet_since") < S.RECOVERY_MS), F.lit(False))
-    alert_ts = F.when(F.col("verdict_type").isNotNull(), F.col("event_ts"))
-    alert_temp = F.when(F.col("verdict_type").isNotNull(), F.col("temperature_c"))
-    stretches = (
-        hot_slices.withColumn("_silence", silence).withColumn("_recovered", recovered)
-        .withColumn("stretch", F.sum((F.col("_silence") | F.col("_recovered")).cast("int")).over(
-            in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .groupBy(*PART, "stretch")
-        .agg(F.min(F.when(F.col("_silence"), F.col("prev_ts"))).alias("silent_from"),
-             F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"),
-             F.max("_recovered").alias("recovered"),
-             F.min(alert_ts).alias("alert_ts"), F.min("verdict_type").alias("type_rank"),
-             F.max("verdict_level").alias("level"), F.max(alert_temp).alias("peak"))
-    )
-    return (
-        stretches.repartition("freezer_id").sortWithinPartitions(*PART, "stretch")
-        .mapInPandas(_carry_over_stretches, _ENTRY)
-    )
-
-
-def _carry_over_stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    unit = part = last_ts = None
-    open_ = None
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            if row.freezer_id != unit:
-                unit, part, open_ = row.freezer_id, row.slice, None
-            elif row.slice != part:
-                part = row.slice
-                if open_ is not None:
-                    out.append((unit, part, open_.started_ts, open_.type_rank, open_.level, open_.peak,
-                                L.beat_after(open_.started_ts, last_ts)))
-            if open_ is not None and (row.recovered or (
-                    pd.notna(row.silent_from)
-                    and L.stale_at(open_.started_ts, int(row.silent_from)) < row.first_ts)):
-                open_ = None
-            if pd.notna(row.alert_ts):
-                found = (int(row.type_rank), int(row.level), float(row.peak))
-                if open_ is None:
-                    open_ = L.Incident(int(row.alert_ts), *found, 0)
-                else:
-                    open_.absorb(*found)
-            last_ts = int(row.last_ts)
-        yield pd.DataFrame(out, columns=_ENTRY.names)
-
-
-def _replay(payload: list[str], has_entry: bool):
-    """The pass over sorted rows; emits lifecycle rows built on the reading they refer to."""
-    needed = ["freezer_id", "slice", "is_context", "last_slice", "event_ts", "temperature_c",
-              "verdict_type", "verdict_level", "quiet_since", "as_of_ms"]
-    entry = ["entry_started", "entry_type", "entry_level", "entry_peak", "entry_beat"] if has_entry else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, open_, fresh, as_of, last_slice, seen = None, None, True, None, False, None
-        ring: deque = deque(maxlen=S.TREND_POINTS)
-        tail = None
-        rows, out = [], {}
-
-        def emit(i: int, event: str, at: int, incident: L.Incident, closed_by: str | None) -> None:
-            rows.append(i)
-            for name, value in zip(_EMITTED_ARROW, (
-                    incident.type_rank, incident.level, incident.started_ts, incident.peak,
-                    event, at, closed_by, [{"ts": t, "temp": c} for t, c in ring])):
-                out[name].append(value)
-
-        def fire(i: int, incident: L.Incident, until: int) -> L.Incident | None:
-            for at, event in incident.beats(seen, until):
-                emit(i, event, at, incident, "stale" if event == S.RESOLVED else None)
-                if event == S.RESOLVED:
-                    return None
-            return incident
+    df = readings.withColumns({
+        "_first": own & F.coalesce(F.lag("is_context").over(in_time), F.lit(True)),
+        "_before_own": F.col("is_context") & F.coalesce(~F.lead("is_context").over(in_time), F.lit(False)),
+    }).withColumns({"_silence": own & silence, "_recovered": own & recovered})
+    df = df.withColumn("_begins", F.col("_first") | F.col("_silence") | F.col("_recovered"))
+    df = df.withColumns({"stretch": F.sum(F.col("_begins").cast("long")).over(so_far),
+                         "_ends": own & F.coalesce(F.lead("_begins").over(in_time), F.lit(True))})
+    # can an incident reach into the stretch? Not over a recovery or a silence that outlasts any beat
+    reached = F.col("prev_ts").isNotNull() & ~F.col("_recovered") & (ts - F.col("prev_ts") < S.STALE_MS + S.HEARTBEAT_MS)
+    alert = own & F.col("verdict_type").isNotNull()
+    code = F.col("stretch") * 8
+    df = df.withColumn("_alert", alert).withColumns({
+        "_reached": F.max(F.when(F.col("_begins"), F.col("stretch") * 2 + reached.cast("long"))).over(so_far),
+        "_opened": F.max(F.when(alert, F.struct("stretch", (-ts).alias("value")))).over(earlier),
+        "_type": F.max(F.when(alert, code + len(S.ALERT_TYPES) - F.col("verdict_type"))).over(earlier),
+        "_level": F.max(F.when(alert, code + 1 + F.col("verdict_level"))).over(earlier),
+        "_peak": F.max(F.when(alert, F.struct("stretch", F.col("temperature_c").alias("value")))).over(earlier),
+    })
+
+    def here(name: str, value: Column) -> Column:
+        number = F.col(f"{name}.stretch") if name in ("_opened", "_peak") else F.shiftright(name, 3)
+        return F.when(number == F.col("stretch"), value)
+
+    return df.withColumns({
+        "_reached": F.coalesce(F.col("_reached").bitwiseAND(1) == 1, F.lit(False)),
+        "_opened": here("_opened", -F.col("_opened.value")),
+        "_type": here("_type", (len(S.ALERT_TYPES) - F.col("_type").bitwiseAND(7)).cast("int")),
+        "_level": here("_level", (F.col("_level").bitwiseAND(7) - 1).cast("int")),
+        "_peak": here("_peak", F.col("_peak.value")),
+    })
+
+
+def _absorbed() -> dict[str, Column]:
+    """What an incident holds after a reading, from what it held before."""
+    def own(name: str) -> Column:
+        return F.when(F.col("_alert"), F.col(name))
+
+    return {"_opened": F.coalesce("_opened", own("event_ts")), "_type": F.least("_type", own("verdict_type")),
+            "_level": F.greatest("_level", own("verdict_level")), "_peak": F.greatest("_peak", own("temperature_c"))}
+
+
+def _raises() -> Column:
+    return F.col("_alert") & (F.col("_opened").isNull() | (F.col("verdict_type") < F.col("_type")) | (F.col("verdict_level") > F.col("_level")))
+
+
+def _beats(as_of: Column) -> dict[str, Column]:
+    """The timers between a reading and the unit's next, as steps after the opening: the first, the
+    last, and the one that finds the unit silent. They are NULL without an incident."""
+    ts, step, opened = F.col("event_ts"), F.lit(S.HEARTBEAT_MS), F.col("_opened")
+    until = F.coalesce("next_ts", F.when(F.col("last_slice"), as_of))
+    silent = F.ceil((ts + S.STALE_MS - opened) / step)
+    return {"_beat": F.greatest(F.lit(1), F.ceil((ts - opened) / step)), "_silent": silent,
+            "_last_beat": F.when(until.isNotNull(), F.least(F.floor((until - 1 - opened) / step), silent))}
+
+
+def lifecycle_rows(readings: DataFrame, as_of: Column, payload: list[str], trend: bool = True) -> DataFrame:
+    """The readings that an incident's course can show on: those at both ends of a stretch, those that raise what
+    it holds, and those that timers may refer to. Where no incident reaches into a stretch, its timers are known already."""
+    if trend:
+        readings = signals.with_trend(readings, PART)
+    marked = readings.withColumn("_raises", _raises()).withColumns({f"_was{n}": F.col(n) for n in HELD}).withColumns(_absorbed()).withColumns(_beats(as_of))
+    own = ~F.col("is_context")
+    timers = F.coalesce(F.col("_last_beat") >= F.col("_beat"), F.lit(False))
+    kept = marked.where(F.col("_begins") | F.col("_ends") | F.col("_before_own") | F.col("_raises") | (own & (F.col("_reached") | timers)))
+    return kept.select(
+        *payload, "slice", "stretch", "is_context", "last_slice", "verdict_type", "verdict_level", "prev_ts", "next_ts", "_alert", "_begins",
+        "_silence", "_recovered", "_before_own", *(F.col(f"_was{n}").alias(n) for n in HELD),
+        *(["temp_trend"] if trend else []))
+
+
+def stretches(rows: DataFrame) -> DataFrame:
+    """One row per stretch, from its ``lifecycle_rows``: all that the fold over them needs."""
+    return rows.where(~F.col("is_context")).withColumns(_absorbed()).groupBy(*KEY).agg(
+        F.max("_recovered").alias("recovered"), F.min(F.when(F.col("_silence"), F.col("prev_ts"))).alias("silent_from"),
+        F.min("event_ts").alias("first_ts"), F.min("_opened").alias("alert_ts"), F.min("_type").alias("type_rank"),
+        F.max("_level").alias("level"), F.max("_peak").alias("peak"))
+
+
+_CARRIED = """freezer_id string, slice bigint, stretch bigint, in_started bigint, in_type int, in_level int, in_peak double,
+    in_stale boolean, in_recovered boolean"""
+
+
+def carried_incidents(summaries: DataFrame) -> DataFrame:
+    """For each stretch that an incident reaches: the incident as the stretch before left it, and
+    whether the silence between the two, or else the stretch's first reading, closes it.
+
+    Between two possible closings all readings of an incident act as one, and a unit has at most one
+    such stretch per 30 s and slice, however many readings it has: that is what one unit's fold steps over.
+    """
+    fields = ["freezer_id", "slice", "stretch", "recovered", "silent_from", "first_ts", "alert_ts", "type_rank", "level", "peak"]
+    names = [f.split()[0] for f in _CARRIED.split(",")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_()]
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = open_ = None
         for batch in batches:
-            shift = 0 if tail is None else 1
-            # the reading a timer refers to may be the last one of the batch before
-            data = batch if tail is None else pa.concat_batches([tail, batch])
-            rows, out = [], {name: [] for name in _EMITTED_ARROW}
-            columns = [batch.column(n).to_pylist() for n in needed + entry]
-            for i, row in enumerate(zip(*columns), start=shift):
-                unit, part, context, last, ts, temp, rank, level, quiet, until = row[:10]
-                if (unit, part) != current:
-                    if open_ is not None and last_slice:
-                        fire(i - 1, open_, as_of)
-                    current, open_, fresh, last_slice, as_of = (unit, part), None, True, last, until
-                    ring.clear()
-                if not context:
-                    if fresh:
-                        fresh = False
-                        if has_entry and row[10] is not None:
-                            open_ = L.Incident(*row[10:15])
-                    if open_ is not None:
-                        open_ = fire(i - 1, open_, ts)
-                ring.append((ts, temp))
-                seen = ts
-                if not context:
-                    quiet_ms = 0 if quiet is None else ts - quiet
-                    open_, event, about = L.on_reading(open_, ts, ts, rank, level, temp, quiet_ms)
-                    if event:
-                        emit(i, event, ts, about, "recovery" if event == S.RESOLVED else None)
-            if data.num_rows:
-                tail = data.slice(data.num_rows - 1, 1)
-            if rows:
-                yield _emitted_batch(data, payload, rows, out)
-        if open_ is not None and last_slice:
-            rows, out = [], {name: [] for name in _EMITTED_ARROW}
-            fire(0, open_, as_of)
-            if rows:
-                yield _emitted_batch(tail, payload, rows, out)
-
-    return run
-
-
-def _emitted_batch(data: pa.RecordBatch, payload: list[str], rows: list[int], out: dict) -> pa.RecordBatch:
-    picked = data.select(payload).take(pa.array(rows, pa.int64()))
-    arrays = list(picked.columns) + [pa.array(out[n], t) for n, t in _EMITTED_ARROW.items()]
-    return pa.RecordBatch.from_arrays(arrays, names=[*payload, *_EMITTED_ARROW])
+            out = []
+            for key, part, number, recovered, silent_from, first_ts, alert_ts, *found in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != unit:
+                    unit, open_ = key, None
+                if open_ is not None:
+                    stale = silent_from is not None and L.stale_at(open_.started_ts, silent_from) < first_ts
+                    out.append((unit, part, number, open_.started_ts, open_.type_rank, open_.level, open_.peak, stale, recovered and not stale))
+                    if stale or recovered:
+                        open_ = None
+                if alert_ts is not None:
+                    if open_ is None:
+                        open_ = L.Incident(alert_ts, *found, 0)
+                    else:
+                        open_.absorb(*found)
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return summaries.repartition("freezer_id").sortWithinPartitions(*KEY).select(*fields).mapInArrow(fold, _CARRIED)
+
+
+def events_on(rows: DataFrame, carried: DataFrame, as_of: Column) -> DataFrame:
+    """Lifecycle rows from ``lifecycle_rows``, each on the reading it refers to: what the reading does, then the timers
+    that fire before the unit's next reading. The last of a slice's context rows stands for the slice before it."""
+    names = [n for n in rows.columns if n not in _WORKING]
+    # context carries no stretch of its own: the one it leads to is the first
+    rows = rows.withColumn("stretch", F.col("stretch") + F.col("_before_own").cast("long")).join(carried, KEY, "left")
+    ts, own = F.col("event_ts"), ~F.col("is_context")
+    goes_on = F.col("_before_own") | (own & ~F.col("in_stale") & ~F.col("in_recovered"))
+
+    def before(carried_name: str, name: str, merge) -> Column:
+        return merge(F.when(goes_on, F.col(carried_name)), F.when(own, F.col(name)))
+
+    rows = rows.withColumns({
+        "_opened": before("in_started", "_opened", F.coalesce), "_type": before("in_type", "_type", F.least),
+        "_level": before("in_level", "_level", F.greatest), "_peak": before("in_peak", "_peak", F.greatest)})
+    closes = F.coalesce(F.col("_begins") & F.col("in_recovered"), F.lit(False))
+    event = F.when(closes, S.RESOLVED).when(_raises(), F.when(F.col("_opened").isNull(), S.OPENED).otherwise(S.ESCALATED))
+    rows = rows.withColumn("_event", event).withColumns(_absorbed()).withColumns(_beats(as_of))
+    beats = F.coalesce((own | F.col("_before_own")) & (F.col("_last_beat") >= F.col("_beat")), F.lit(False))
+    rows = rows.where(F.col("_event").isNotNull() | beats)
+
+    def row(event: Column, at: Column, closed_by: Column, held: tuple[str, ...]) -> Column:
+        return F.struct(F.col(held[1]).alias("type_rank"), F.col(held[2]).alias("escalation_level"), F.col(held[0]).alias("incident_started_ts"),
+                        F.col(held[3]).alias("peak_temp_c"), event.alias("lifecycle_event"), at.alias("emit_ts"), closed_by.alias("closed_by"))
+
+    entered = ("in_started", "in_type", "in_level", "in_peak")
+    nothing, none = F.lit(None).cast("string"), F.array().cast(T.ArrayType(T.StructType(EMITTED.fields[:-1])))
+    direct = F.when(closes, F.array(row(F.col("_event"), ts, F.lit("recovery"), entered))).when(
+        F.col("_event").isNotNull(), F.array(row(F.col("_event"), ts, nothing, HELD))).otherwise(none)
+    silent = lambda k: k == F.col("_silent")
+    timed = F.when(beats, F.transform(F.sequence("_beat", "_last_beat"), lambda k: row(
+        F.when(silent(k), S.RESOLVED).otherwise(S.HEARTBEAT), F.col("_opened") + k * F.lit(S.HEARTBEAT_MS), F.when(silent(k), "stale"), HELD))).otherwise(none)
+    return rows.select(*names, F.explode(F.concat(direct, timed)).alias("_emitted")).select(
+        *(n for n in names if n != "temp_trend"), *(F.col(f"_emitted.{f.name}").alias(f.name) for f in EMITTED.fields[:-1]),
+        *(n for n in names if n == "temp_trend"))
 
 
 def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX_ROWS,
@@ -211,33 +241,17 @@ def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX
     RESOLVED, each carrying the reading it refers to.
 
     ``as_of_ms`` ends the replay clock (default: just after the newest reading). ``carry``
-    names the columns of the reading wanted on the result (default: all): the pass is opaque
-    to column pruning, so what is not wanted should not travel through it.
+    names the columns of the reading wanted on the result, ``temp_trend`` among them (default: all):
+    readings are reduced to those that the lifecycle shows on, and these are written once.
     """
     wanted = set(enriched.columns if carry is None else [*carry, *_ALWAYS])
     payload = [n for n in enriched.columns if n in wanted]
-    if as_of_ms is None:
-        as_of = enriched.agg(F.max("event_ts") + 1).scalar()
-    else:
-        as_of = F.lit(as_of_ms).cast("bigint")
-    keep = [*payload, "slice", "is_context", "last_slice", "verdict_type", "verdict_level", "quiet_since"]
-    entry = [n for n in _ENTRY.names if n.startswith("entry_")]
-    schema = T.StructType([enriched.schema[n] for n in payload] + EMITTED.fields)
-
-    def stepped(rows: DataFrame, has_entry: bool) -> DataFrame:
-        picked = rows.select(*keep, signals.BLOCK, *(entry if has_entry else [])).withColumn("as_of_ms", as_of)
-        if has_entry:
-            # the join of entries may have been split for skew; bring each slice back together
-            picked = picked.repartition(*PART)
-        # Without it the windows' own exchange already holds each unit in one partition.
-        ordered = picked.sortWithinPartitions(*PART, *signals.time_order(rows)).drop(signals.BLOCK)
-        return ordered.mapInArrow(_replay(payload, has_entry), schema)
-
-    cold, hot = judged_readings(enriched, max_rows, context_rows)
-    emitted = stepped(cold, False)
-    if hot is not None:
-        emitted = emitted.unionByName(stepped(hot.join(entry_states(hot), PART, "left"), True))
-    return finish(emitted)
+    plan, newest = plan_slices(enriched, max_rows, context_rows)
+    as_of = F.lit(as_of_ms if as_of_ms is not None else None if newest is None else newest + 1).cast("bigint")
+    readings = with_stretches(judged(sliced_by(_known(enriched), plan)))
+    rows = freeze(lifecycle_rows(readings, as_of, payload, carry is None or "temp_trend" in carry), "lifecycle-rows")
+    carried = freeze(carried_incidents(stretches(rows)), "open-incidents")
+    return finish(events_on(rows, carried, as_of))
 
 
 def finish(emitted: DataFrame) -> DataFrame:

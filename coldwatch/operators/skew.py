@@ -24,14 +24,17 @@ CONTEXT_MS = DEFROST_GRACE_MS
 MAX_ROWS = 2_000_000
 
 
+def _counts(readings: DataFrame) -> DataFrame:
+    return readings.groupBy("freezer_id").agg(
+        F.count("*").alias("rows"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+
+
 def hot_units(readings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Units with more readings than one task should take (at most rows / max_rows of them),
     with their mean rate and the slice size that suits it."""
     rate = F.col("rows") / (F.col("last_ts") - F.col("first_ts") + 1)
     return (
-        readings.groupBy("freezer_id")
-        .agg(F.count("*").alias("rows"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
-        .where(F.col("rows") > max_rows)
+        _counts(readings).where(F.col("rows") > max_rows)
         .withColumn("rows_per_ms", rate)
         .withColumn("slice_rows", F.greatest(F.lit(max_rows), F.ceil(rate * 2 * CONTEXT_MS)))
     )
@@ -80,28 +83,52 @@ def whole(readings: DataFrame) -> DataFrame:
     return readings.withColumns({"slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True)})
 
 
-def cold_and_hot(readings: DataFrame, max_rows: int = MAX_ROWS,
-                 context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Readings of ordinary units as they are, and those of hot units in slices (None if no unit is hot).
+def plan_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
+                context_rows: int = CONTEXT_ROWS) -> tuple[tuple[DataFrame, int] | None, int | None]:
+    """The slice plan and its grain (None if no unit is hot), and the newest reading's time.
 
-    One count per unit over two pruned columns decides up front and is written once: at most rows / max_rows
-    units. Without a hot unit the readings pass through with constants and nothing is joined or copied.
+    One count per unit over two columns decides. The plan is written once, a row per hot unit, grain and slice, so that
+    joins know its size.
     """
+    per_unit = _counts(readings)
+    newest, most = per_unit.agg(F.max("last_ts"), F.max("rows")).first()
+    if most is None or most <= max_rows:
+        return None, newest
     hot = freeze(hot_units(readings, max_rows), "hot-units")
     fastest = hot.agg(F.max(F.col("rows_per_ms") / F.col("slice_rows"))).first()[0]
-    if fastest is None:
-        return whole(readings), None
     coarse, fine = GRAINS_MS
     grain_ms = coarse if fastest * coarse <= 0.25 else fine
-    names = hot.select("freezer_id")
-    plan = slice_plan(readings, hot, grain_ms, context_rows)
-    mine = readings.join(names, "freezer_id", "left_semi").withColumn("grain", F.floor(F.col("event_ts") / grain_ms))
-    sliced = mine.join(plan, ["freezer_id", "grain"]).drop("grain")
-    return whole(readings.join(names, "freezer_id", "left_anti")), sliced
+    return (freeze(slice_plan(readings, hot, grain_ms, context_rows), "slice-plan"), grain_ms), newest
+
+
+def sliced_by(readings: DataFrame, plan: tuple[DataFrame, int] | None) -> DataFrame:
+    """Readings with ``slice``, ``is_context`` and ``last_slice``: once per slice that they belong to; units that the
+    plan doesn't name stay whole. One join, no matter how many units are hot."""
+    if plan is None:
+        return whole(readings)
+    rows, grain_ms = plan
+    return readings.withColumn("grain", F.floor(F.col("event_ts") / grain_ms)).join(rows, ["freezer_id", "grain"], "left").drop("grain").withColumns({
+        "slice": F.coalesce("slice", F.lit(0).cast("bigint")), "is_context": F.coalesce("is_context", F.lit(False)),
+        "last_slice": F.coalesce("last_slice", F.lit(True))})
+
+
+def cold_and_hot(readings: DataFrame, max_rows: int = MAX_ROWS,
+                 context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Readings of ordinary units as they are, and those of hot units in slices (None if no unit is hot).
+
+    Without a hot unit the readings pass through with constants and nothing is joined or copied.
+    """
+    plan, _ = plan_slices(readings, max_rows, context_rows)
+    if plan is None:
+        return whole(readings), None
+    rows, grain_ms = plan
+    cold = readings.join(rows.select("freezer_id").distinct(), "freezer_id", "left_anti")
+    sliced = readings.withColumn("grain", F.floor(F.col("event_ts") / grain_ms)).join(rows, ["freezer_id", "grain"]).drop("grain")
+    return whole(cold), sliced
 
 
 def assign_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
                   context_rows: int = CONTEXT_ROWS) -> tuple[DataFrame, bool]:
     """Readings with ``slice``, ``is_context`` and ``last_slice``; and whether any unit is hot."""
-    cold, hot = cold_and_hot(readings, max_rows, context_rows)
-    return (cold, False) if hot is None else (cold.unionByName(hot), True)
+    plan, _ = plan_slices(readings, max_rows, context_rows)
+    return sliced_by(readings, plan), plan is not None

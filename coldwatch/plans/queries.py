@@ -260,13 +260,13 @@ def _lifecycle_columns(df: DataFrame) -> DataFrame:
 @query
 def incident_lifecycle(spark, d):
     return _lifecycle_columns(
-        incidents.replay(_incident_input(spark, d), carry=[]).where(F.col("lifecycle_event") != S.HEARTBEAT))
+        incidents.replay(_incident_input(spark, d), carry=["temp_trend"]).where(F.col("lifecycle_event") != S.HEARTBEAT))
 
 
 @query
 def incident_heartbeats(spark, d):
     return _lifecycle_columns(
-        incidents.replay(_incident_input(spark, d), carry=[]).where(F.col("lifecycle_event") == S.HEARTBEAT)
+        incidents.replay(_incident_input(spark, d), carry=["temp_trend"]).where(F.col("lifecycle_event") == S.HEARTBEAT)
     ).drop("closed_by")
 
 
@@ -274,7 +274,7 @@ def incident_heartbeats(spark, d):
 def incident_lifecycle_skewed(spark, d):
     """One unit holds a third of the readings and is replayed in slices."""
     source = _incident_input(spark, d, one_hot_unit=True)
-    return _lifecycle_columns(incidents.replay(source, max_rows=_slice_rows(spark, d), carry=[]))
+    return _lifecycle_columns(incidents.replay(source, max_rows=_slice_rows(spark, d), carry=["temp_trend"]))
 
 
 @query

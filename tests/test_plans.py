@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from coldwatch.functions import rules
-from coldwatch.operators import alerts, fleet, incidents
+from coldwatch.operators import alerts, fleet, incidents, skew
 from coldwatch.plans.queries import QUERIES
+from coldwatch.session import freeze
 from coldwatch.sources import events
 from coldwatch.sources import telemetry_tables as tt
 
@@ -40,11 +41,26 @@ def test_a_large_fleet_is_joined_once(spark, small):
     assert text.count("SortMergeJoin") == 1 and text.count("Exchange hash") == 2
 
 
-def test_replay_shuffles_once_and_sorts_twice(enriched):
-    df = incidents.replay(enriched, as_of_ms=0)
-    text = plan(df)
-    assert len(shuffles(df)) == 1
-    assert len(re.findall(r"\bSort \[", text)) == 2 and text.count("MapInArrow") == 1
+def _rows(enriched):
+    readings = incidents.with_stretches(incidents.judged(skew.sliced_by(enriched, None)))
+    return incidents.lifecycle_rows(readings, F.lit(0).cast("bigint"), enriched.columns)
+
+
+def test_readings_shuffle_once_and_sort_twice(enriched):
+    text = plan(_rows(enriched))
+    assert len(shuffles(_rows(enriched))) == 1
+    assert len(re.findall(r"\bSort \[", text)) == 2
+    assert shuffles(incidents.replay(enriched, as_of_ms=0)) == []
+
+
+def test_no_reading_reaches_python(enriched):
+    """Python folds a row per stretch; readings are judged, reduced and turned into events by expressions."""
+    for df in (_rows(enriched), incidents.replay(enriched, as_of_ms=0)):
+        assert "MapIn" not in plan(df) and "Python" not in plan(df)
+    folded = plan(incidents.carried_incidents(incidents.stretches(freeze(_rows(enriched), "rows"))))
+    assert folded.count("MapInArrow") == 1
+    first = re.search(r"HashAggregate\(keys=\[(.*?)\]", folded[folded.index("MapInArrow"):])
+    assert [re.sub(r"#\d+L?", "", k) for k in first[1].split(", ")] == incidents.KEY
 
 
 def test_replay_carries_only_what_is_asked_for(enriched):
