@@ -64,7 +64,7 @@ def classified(enriched: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Every known reading with its signals and its sustained verdict."""
     cold, hot = cold_and_hot(_known(enriched), max_rows)
     every = judged(cold) if hot is None else judged(cold).unionByName(signals.with_carried_runs(judged(hot)))
-    return every.drop("next_ts", signals.BLOCK)
+    return every.drop("next_ts", "ewma_in", signals.BLOCK)
 
 
 def with_stretches(readings: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def _with_block_sums(df: DataFrame, part: list[str], value: str) -> DataFrame:
     running sum of values scaled by 0.6**-k, scaled back by 0.6**n: one pass, no recursion
     and no array per row. The sum restarts every 512 readings to keep the scale in range.
     """
-    weight = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(S.EWMA_ALPHA))
+    weight = F.when((F.col("_n") == 0) & _ewma_in(df).isNull(), F.lit(1.0)).otherwise(F.lit(S.EWMA_ALPHA))
     pos = F.col("_n") % _BLOCK_ROWS
     numbered = (
         df.withColumn("_n", F.row_number().over(_in_time(df, part)) - 1)
@@ -64,7 +64,12 @@ def _with_block_sums(df: DataFrame, part: list[str], value: str) -> DataFrame:
 def _block_carry(df: DataFrame, part: list[str]) -> Column:
     """The mean at the end of the block before; older blocks no longer weigh anything."""
     ends = F.when(F.col("_n") % _BLOCK_ROWS == _BLOCK_ROWS - 1, F.col("_local"))
-    return F.last(ends, ignorenulls=True).over(_before(df, part))
+    return F.coalesce(F.last(ends, ignorenulls=True).over(_before(df, part)), _ewma_in(df))
+
+
+def _ewma_in(df: DataFrame) -> Column:
+    """The mean before a slice's first row, where slices bring it along."""
+    return F.col("ewma_in") if "ewma_in" in df.columns else F.lit(None).cast("double")
 
 
 def _ewma() -> Column:

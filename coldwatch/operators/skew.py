@@ -2,10 +2,11 @@
 
 Everything per unit is sequential in time, so a hot unit cannot be salted at random: its
 readings are cut into consecutive slices of about ``max_rows`` rows, and each slice also
-receives *context*, the readings just before it that its signals look back on. Context
-reaches back at least ``CONTEXT_ROWS`` readings (the smoothed temperature forgets its past
-completely over that many) and past a full ``CONTEXT_MS`` (the longest time window of the
-rules), or to the unit's first reading. Units below the threshold stay whole.
+receives *context*, the readings just before it that its time windows look back on. Context
+reaches back at least ``CONTEXT_ROWS`` readings (the points of a trend) and past a full ``CONTEXT_MS`` (the longest
+time window of the rules), or to the unit's first reading. The smoothed temperature needs none: its steps over
+a stretch of readings make one affine map, the maps of consecutive grains compose, and a slice starts from the value that those before
+its first row give (``ewma_before``). Units below the threshold stay whole.
 
 A unit that reports so fast that context would outgrow its slices gets longer slices: twice
 the readings of one context, so that no more than half of a task's rows are context.
@@ -15,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coldwatch.schemas import DEFROST_GRACE_MS
+from coldwatch.schemas import DEFROST_GRACE_MS, EWMA_ALPHA, TREND_POINTS
 from coldwatch.session import freeze
 
 GRAINS_MS = (60_000, 1_000)  # slices begin on a minute, or on a second where minutes are too full
-CONTEXT_ROWS = 256
+CONTEXT_ROWS = TREND_POINTS
+EWMA_GRAINS = 128  # each has a reading at least, and 0.6 ** 128 is below any double's precision
 CONTEXT_MS = DEFROST_GRACE_MS
 MAX_ROWS = 2_000_000
 
@@ -78,9 +80,30 @@ def slice_plan(readings: DataFrame, hot: DataFrame, grain_ms: int = GRAINS_MS[0]
     return ahead.select("freezer_id", "grain", F.inline(F.concat(own, context)))
 
 
+def ewma_before(readings: DataFrame, grain_ms: int) -> DataFrame:
+    """freezer_id, grain, ewma_in: the smoothed temperature just before each grain's first reading (NULL before a unit's first).
+
+    n readings take e to a e + b, with a = 0.6 ** n and b a weighted sum of theirs: one such map per unit and grain, composed
+    over the grains before, oldest first.
+    """
+    keep = F.lit(1.0 - EWMA_ALPHA)
+    grained = readings.select("freezer_id", "event_ts", "event_id", "temperature_c", F.floor(F.col("event_ts") / grain_ms).alias("grain"))
+    behind = F.row_number().over(Window.partitionBy("freezer_id", "grain").orderBy(F.desc("event_ts"), F.desc("event_id"))) - 1
+    n = F.count("*")
+    maps = grained.withColumn("_behind", behind).groupBy("freezer_id", "grain").agg(
+        F.pow(keep, n).alias("a"), F.sum(EWMA_ALPHA * F.col("temperature_c") * F.pow(keep, "_behind")).alias("b"),
+        F.max_by("temperature_c", "_behind").alias("first_temp"))
+    in_time = Window.partitionBy("freezer_id").orderBy("grain")
+    earlier = F.collect_list(F.struct("a", "b", "first_temp")).over(in_time.rowsBetween(-EWMA_GRAINS, -1))
+    # starting from the oldest grain's first temperature makes that reading count in full, and is forgotten where it isn't the unit's first
+    value = F.aggregate("maps", F.col("maps")[0]["first_temp"], lambda e, m: e * m["a"] + m["b"])
+    return maps.withColumn("maps", earlier).select("freezer_id", "grain", F.when(F.size("maps") > 0, value).alias("ewma_in"))
+
+
 def whole(readings: DataFrame) -> DataFrame:
     """Readings as one slice per unit."""
-    return readings.withColumns({"slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True)})
+    return readings.withColumns({"slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True),
+                                 "ewma_in": F.lit(None).cast("double")})
 
 
 def plan_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
@@ -98,7 +121,10 @@ def plan_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
     fastest = hot.agg(F.max(F.col("rows_per_ms") / F.col("slice_rows"))).first()[0]
     coarse, fine = GRAINS_MS
     grain_ms = coarse if fastest * coarse <= 0.25 else fine
-    return (freeze(slice_plan(readings, hot, grain_ms, context_rows), "slice-plan"), grain_ms), newest
+    plan = slice_plan(readings, hot, grain_ms, context_rows)
+    starts = plan.groupBy("freezer_id", "slice").agg(F.min("grain").alias("grain")).join(
+        ewma_before(readings.join(hot.select("freezer_id"), "freezer_id", "left_semi"), grain_ms), ["freezer_id", "grain"]).drop("grain")
+    return (freeze(plan.join(starts, ["freezer_id", "slice"]), "slice-plan"), grain_ms), newest
 
 
 def sliced_by(readings: DataFrame, plan: tuple[DataFrame, int] | None) -> DataFrame:

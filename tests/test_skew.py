@@ -107,3 +107,16 @@ def test_cold_units_are_not_touched(world):
     _, enriched = world
     sliced, hot = skew.assign_slices(enriched, 1_000_000)
     assert not hot and sliced.where("is_context or slice <> 0 or not last_slice").isEmpty()
+
+
+def test_smoothing_is_carried_by_maps_not_by_context(world):
+    """A slice starts from the composed maps of all readings before it; its context holds a trend and the time windows, no more."""
+    con, enriched = world
+    plan, _ = skew.plan_slices(enriched, 150)
+    sliced = skew.sliced_by(enriched, plan)
+    smoothed = signals.with_ewma(sliced, incidents.PART).select("event_id", F.round("temp_ewma", 9).alias("e")).distinct()
+    want = _want(con, f"WITH RECURSIVE {signal_steps()} SELECT event_id, round(e, 9) AS e FROM signals")
+    assert _got(smoothed) == want  # the context rows' own values are exact too
+    slices = sliced.where("is_context").groupBy("freezer_id", "slice").agg(
+        F.count("*").alias("n"), (F.max("event_ts") - F.min("event_ts")).alias("span")).where(f"span > {2 * skew.CONTEXT_MS}")
+    assert slices.where(f"n > {4 * skew.CONTEXT_ROWS}").isEmpty()
