@@ -164,9 +164,12 @@ _CARRIED = """freezer_id string, slice bigint, stretch bigint, in_started bigint
     in_stale boolean, in_recovered boolean"""
 
 
-def carried_incidents(summaries: DataFrame) -> DataFrame:
+def carried_incidents(summaries: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """For each stretch that an incident reaches: the incident as the stretch before left it, and
-    whether the silence between the two, or else the stretch's first reading, closes it.
+    whether the silence between the two, or else the stretch's first reading, closes it. A row without
+    ``stretch`` is what is open at a unit's end.
+
+    ``opening`` (freezer_id, alert_ts, type_rank, level, peak): incidents open before the first stretch.
 
     Between two possible closings all readings of an incident act as one, and a unit has at most one
     such stretch per 30 s and slice, however many readings it has: that is what one unit's fold steps over.
@@ -177,10 +180,19 @@ def carried_incidents(summaries: DataFrame) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = open_ = None
+
+        def at_end() -> list[tuple]:
+            return [] if open_ is None else [(unit, None, None, open_.started_ts, open_.type_rank, open_.level, open_.peak, False, False)]
+
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(names)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
         for batch in batches:
             out = []
             for key, part, number, recovered, silent_from, first_ts, alert_ts, *found in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != unit:
+                    out += at_end()
                     unit, open_ = key, None
                 if open_ is not None:
                     stale = silent_from is not None and L.stale_at(open_.started_ts, silent_from) < first_ts
@@ -192,9 +204,14 @@ def carried_incidents(summaries: DataFrame) -> DataFrame:
                         open_ = L.Incident(alert_ts, *found, 0)
                     else:
                         open_.absorb(*found)
-            columns = list(zip(*out)) or [()] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
+            yield table(out)
+        yield table(at_end())
+
+    if opening is not None:
+        none = F.lit(None)
+        summaries = opening.select(
+            "freezer_id", F.lit(-1).cast("long").alias("slice"), F.lit(0).cast("long").alias("stretch"), F.lit(False).alias("recovered"),
+            none.cast("long").alias("silent_from"), F.col("alert_ts").alias("first_ts"), "alert_ts", "type_rank", "level", "peak").unionByName(summaries)
     return summaries.repartition("freezer_id").sortWithinPartitions(*KEY).select(*fields).mapInArrow(fold, _CARRIED)
 
 

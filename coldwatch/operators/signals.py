@@ -64,11 +64,11 @@ def _with_block_sums(df: DataFrame, part: list[str], value: str) -> DataFrame:
 def _block_carry(df: DataFrame, part: list[str]) -> Column:
     """The mean at the end of the block before; older blocks no longer weigh anything."""
     ends = F.when(F.col("_n") % _BLOCK_ROWS == _BLOCK_ROWS - 1, F.col("_local"))
-    return F.coalesce(F.last(ends, ignorenulls=True).over(_before(df, part)), _ewma_in(df))
+    return F.coalesce(F.last(ends, ignorenulls=True).over(_before(df, part)), F.first(_ewma_in(df)).over(_so_far(df, part)))
 
 
 def _ewma_in(df: DataFrame) -> Column:
-    """The mean before a slice's first row, where slices bring it along."""
+    """The mean before a slice's first row, where that row brings it along."""
     return F.col("ewma_in") if "ewma_in" in df.columns else F.lit(None).cast("double")
 
 

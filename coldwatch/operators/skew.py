@@ -87,23 +87,24 @@ def ewma_before(readings: DataFrame, grain_ms: int) -> DataFrame:
     over the grains before, oldest first.
     """
     keep = F.lit(1.0 - EWMA_ALPHA)
-    grained = readings.select("freezer_id", "event_ts", "event_id", "temperature_c", F.floor(F.col("event_ts") / grain_ms).alias("grain"))
+    known = F.col("ewma_in") if "ewma_in" in readings.columns else F.lit(None).cast("double")
+    grained = readings.select("freezer_id", "event_ts", "event_id", "temperature_c", known.alias("known"), F.floor(F.col("event_ts") / grain_ms).alias("grain"))
     behind = F.row_number().over(Window.partitionBy("freezer_id", "grain").orderBy(F.desc("event_ts"), F.desc("event_id"))) - 1
     n = F.count("*")
     maps = grained.withColumn("_behind", behind).groupBy("freezer_id", "grain").agg(
         F.pow(keep, n).alias("a"), F.sum(EWMA_ALPHA * F.col("temperature_c") * F.pow(keep, "_behind")).alias("b"),
-        F.max_by("temperature_c", "_behind").alias("first_temp"))
+        F.max_by("temperature_c", "_behind").alias("first_temp"), F.max_by("known", "_behind").alias("known"))
     in_time = Window.partitionBy("freezer_id").orderBy("grain")
-    earlier = F.collect_list(F.struct("a", "b", "first_temp")).over(in_time.rowsBetween(-EWMA_GRAINS, -1))
-    # starting from the oldest grain's first temperature makes that reading count in full, and is forgotten where it isn't the unit's first
-    value = F.aggregate("maps", F.col("maps")[0]["first_temp"], lambda e, m: e * m["a"] + m["b"])
+    earlier = F.collect_list(F.struct("a", "b", F.coalesce("known", "first_temp").alias("start"))).over(in_time.rowsBetween(-EWMA_GRAINS, -1))
+    # starting from a first temperature makes that reading count in full, and is forgotten where it isn't the unit's first
+    value = F.aggregate("maps", F.col("maps")[0]["start"], lambda e, m: e * m["a"] + m["b"])
     return maps.withColumn("maps", earlier).select("freezer_id", "grain", F.when(F.size("maps") > 0, value).alias("ewma_in"))
 
 
 def whole(readings: DataFrame) -> DataFrame:
-    """Readings as one slice per unit."""
-    return readings.withColumns({"slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True),
-                                 "ewma_in": F.lit(None).cast("double")})
+    """Readings as one slice per unit. ``ewma_in``, where readings have it, is what the smoothed temperature was before them."""
+    known = F.col("ewma_in") if "ewma_in" in readings.columns else F.lit(None).cast("double")
+    return readings.withColumns({"slice": F.lit(0).cast("bigint"), "is_context": F.lit(False), "last_slice": F.lit(True), "ewma_in": known})
 
 
 def plan_slices(readings: DataFrame, max_rows: int = MAX_ROWS,
@@ -133,7 +134,9 @@ def sliced_by(readings: DataFrame, plan: tuple[DataFrame, int] | None) -> DataFr
     if plan is None:
         return whole(readings)
     rows, grain_ms = plan
-    return readings.withColumn("grain", F.floor(F.col("event_ts") / grain_ms)).join(rows, ["freezer_id", "grain"], "left").drop("grain").withColumns({
+    known = F.col("ewma_in") if "ewma_in" in readings.columns else F.lit(None).cast("double")
+    grained = readings.withColumn("_known", known).drop("ewma_in").withColumn("grain", F.floor(F.col("event_ts") / grain_ms))
+    return grained.join(rows, ["freezer_id", "grain"], "left").withColumn("ewma_in", F.coalesce("ewma_in", "_known")).drop("grain", "_known").withColumns({
         "slice": F.coalesce("slice", F.lit(0).cast("bigint")), "is_context": F.coalesce("is_context", F.lit(False)),
         "last_slice": F.coalesce("last_slice", F.lit(True))})
 
