@@ -111,36 +111,48 @@ def top_sites(alerts: DataFrame, as_of_ms: int, rows: int = TOP_SITES) -> DataFr
     return _first_rows(opened, rows, F.desc("opened"), "site")
 
 
-def business(alerts: DataFrame, as_of_ms: int) -> DataFrame:
-    """Headline counts per view, in one pass over the log.
+_SUMS = ["alerts", *[f"opened_{s}" for s in S.SEVERITIES]]
 
-    Records fold to incidents, incidents to units, units to the view: no distinct set is ever
-    held for a whole view, and each step combines before its shuffle.
-    """
+
+def per_incident(moded: DataFrame, *more: Column) -> DataFrame:
+    """Per view, unit and incident: openings by severity, whether it was critical, its newest record; and ``more``."""
     opening = F.col("lifecycle_event").isin(S.OPENED, S.ESCALATED)
     opened = F.col("lifecycle_event") == S.OPENED
-    critical = F.col("alert_severity") == "critical"
-    recent = F.col("alert_kafka_ts") >= as_of_ms - latency.WINDOW_MS
-    measured = F.col("lat_b").isNotNull() & recent
-    seen = latency.with_segments(_until(alerts, as_of_ms))
-    per_incident = seen.groupBy("mode", "freezer_id", "incident_id").agg(
+    return moded.groupBy("mode", "freezer_id", "incident_id").agg(
         F.count_if(opened).alias("alerts"),
         *[F.count_if(opened & (F.col("alert_severity") == s)).alias(f"opened_{s}") for s in S.SEVERITIES],
-        F.max(opening & critical).cast("int").alias("critical_incidents"),
-        F.count_if(measured).alias("measured"),
-        F.count_if(measured & (F.col("lat_b") <= latency.BUCKET_EDGES["le_250ms"])).alias("fresh"),
-        F.max(F.struct(arrival().alias("at"), "lifecycle_event")).alias("newest"))
-    sums = ["alerts", *[f"opened_{s}" for s in S.SEVERITIES], "critical_incidents", "measured", "fresh"]
-    per_unit = per_incident.groupBy("mode", "freezer_id").agg(
+        F.max(opening & (F.col("alert_severity") == "critical")).cast("int").alias("critical_incidents"),
+        *more, F.max(F.struct(arrival().alias("at"), "lifecycle_event")).alias("newest"))
+
+
+def headline(incidents: DataFrame, as_of_ms: int, *more: str) -> DataFrame:
+    """``per_incident`` rows to units, then to the view; ``more`` columns are summed."""
+    sums = [*_SUMS, "critical_incidents", *more]
+    per_unit = incidents.groupBy("mode", "freezer_id").agg(
         *[F.sum(n).alias(n) for n in sums], F.max("newest").alias("newest"))
     in_alert = ((F.col("newest.lifecycle_event") != S.RESOLVED)
                 & (F.col("newest.at.alert_kafka_ts") >= as_of_ms - ACTIVE_MS))
     return per_unit.groupBy("mode").agg(
         F.count("*").alias("units_monitored"), *[F.sum(n).alias(n) for n in sums],
-        F.count_if(in_alert).alias("units_in_alert"),
-    ).withColumn(
-        "fresh_pct", F.coalesce(F.try_divide(100.0 * F.col("fresh"), F.col("measured")), F.lit(0.0))
-    ).drop("measured", "fresh")
+        F.count_if(in_alert).alias("units_in_alert"))
+
+
+def fresh_pct() -> Column:
+    return F.coalesce(F.try_divide(100.0 * F.col("fresh"), F.col("measured")), F.lit(0.0))
+
+
+def business(alerts: DataFrame, as_of_ms: int) -> DataFrame:
+    """Headline counts per view, in one pass over the log.
+
+    Records fold to incidents, incidents to units, units to the view: no distinct set is ever
+    held for a whole view, and each step combines before its shuffle.
+    """
+    recent = F.col("alert_kafka_ts") >= as_of_ms - latency.WINDOW_MS
+    measured = F.col("lat_b").isNotNull() & recent
+    incidents = per_incident(
+        latency.with_segments(_until(alerts, as_of_ms)), F.count_if(measured).alias("measured"),
+        F.count_if(measured & (F.col("lat_b") <= latency.BUCKET_EDGES["le_250ms"])).alias("fresh"))
+    return headline(incidents, as_of_ms, "measured", "fresh").withColumn("fresh_pct", fresh_pct()).drop("measured", "fresh")
 
 
 def volumes(alerts: DataFrame, events: DataFrame, as_of_ms: int) -> DataFrame:

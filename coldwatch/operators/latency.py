@@ -40,12 +40,16 @@ def samples(alerts: DataFrame, as_of_ms: int | None = None) -> DataFrame:
     return df.withColumn("mode", app_mode(F.col("source_mode")))
 
 
-def percentiles(alerts: DataFrame, as_of_ms: int | None = None) -> DataFrame:
-    """p50/p95/p99/max per view and segment."""
-    stacked = samples(alerts, as_of_ms).select("mode", F.inline(F.array(*[
+def stacked(measured: DataFrame) -> DataFrame:
+    """``samples`` as a row per segment: mode, alert_kafka_ts, segment, ms."""
+    return measured.select("mode", "alert_kafka_ts", F.inline(F.array(*[
         F.struct(F.lit(label).alias("segment"), F.col(name).alias("ms"))
         for label, name in [("e2e", "lat_a"), ("pipeline", "lat_b"), ("ingest", "lat_ig")]])))
-    return nearest_rank(stacked, ["mode", "segment"], "ms")
+
+
+def percentiles(alerts: DataFrame, as_of_ms: int | None = None) -> DataFrame:
+    """p50/p95/p99/max per view and segment."""
+    return nearest_rank(stacked(samples(alerts, as_of_ms)), ["mode", "segment"], "ms")
 
 
 def bucket_of(ms: Column) -> Column:
@@ -107,7 +111,12 @@ def series(alerts: DataFrame, as_of_ms: int) -> DataFrame:
 def input_rate(events: DataFrame, as_of_ms: int) -> DataFrame:
     """Arrivals per second over the trailing 5 s, one point a second for the last minute."""
     shared = events.withColumn("mode", F.lit("all"))
-    counted = _chart_slots(shared, "input_kafka_ts", ["mode"], as_of_ms, RATE_MS)
+    return input_rate_of(_chart_slots(shared, "input_kafka_ts", ["mode"], as_of_ms, RATE_MS), as_of_ms)
+
+
+def input_rate_of(counted: DataFrame, as_of_ms: int) -> DataFrame:
+    """The same from counts per slot."""
+    counted = counted.select(F.lit("all").alias("mode"), "slot", "hits")
     rate = F.bround(F.coalesce("hits", F.lit(0)) / F.lit(RATE_MS / 1000.0)).cast("bigint")
     return _every_slot(counted, as_of_ms, ["all"]).select("slot", rate.alias("events_per_s"))
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldwatch import schemas as S
@@ -12,10 +12,10 @@ from coldwatch.operators import (
     alerts, fleet, incidents, kpi, latency, metrics, signals,
 )
 from coldwatch.operators.skew import assign_slices
-from coldwatch.session import scratch_path
+from coldwatch.session import freeze, scratch_path
 from coldwatch.sources import control, events as event_source
 from coldwatch.sources import telemetry_tables as tt
-from coldwatch.streaming import live, sinks
+from coldwatch.streaming import carried, live, sinks, tables
 from coldwatch.streaming.processor import stream_incidents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,3 +479,101 @@ def stream_incidents_log(spark, d):
     readings = tt.incident_readings(spark, d, _event_stream(spark, d))
     emitted = stream_incidents(fleet.enrich(readings, tt.fleet(spark, d)), clock="event", output_mode="Append")
     return _run_to_table(_lifecycle_columns(emitted), "stream-incidents")
+
+
+@query
+def stream_latency_percentiles(spark, d):
+    """From counts that follow the log and have been folded once on the way."""
+    folder, as_of = _follow_log(spark, d, "latency_counts")
+    live.compact(spark, folder, "latency_counts")
+    return live.latency_percentiles(spark, folder, as_of)
+
+
+@query
+def stream_kpi_business(spark, d):
+    counts, as_of = _follow_log(spark, d, "incident_counts")
+    latencies, _ = _follow_log(spark, d, "latency_counts")
+    return live.business(spark, counts, latencies, as_of)
+
+
+FILES = 4
+
+
+def _in_parts(df: DataFrame, number: Column, parts: int, label: str) -> tuple[DataFrame, str]:
+    """A stream that brings ``df`` part by part, a micro-batch each; and a folder for what follows it."""
+    spark, root = df.sparkSession, scratch_path(df.sparkSession, label)
+    whole = freeze(df.withColumn("_part", number), label)
+    for i in range(parts):
+        whole.where(F.col("_part") == i).drop("_part").repartition(FILES).write.parquet(f"{root}/input/{i}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/input/*")
+    return stream, root
+
+
+def _time_part(ts: str, begin: int, end: int, parts: int):
+    return F.least(F.lit(parts - 1), F.floor((F.col(ts) - begin) * parts / (end - begin))).cast("int")
+
+
+def _third(spark, d, squeeze: int):
+    newest = tt.newest_ms(spark, d, squeeze)
+    return _time_part("event_ts", tt.BASE_MS, newest + 1, 3)
+
+
+@query
+def stream_incidents_sliced(spark, d):
+    """A stream with a third of the readings in one unit, which is replayed in slices batch by batch."""
+    readings = tt.incident_readings(spark, d, one_hot_unit=True)
+    newest = tt.newest_ms(spark, d, tt.INCIDENT_SQUEEZE)
+    sent = F.get_json_object("value", "$.event_ts").cast("long")
+    number = F.least(F.lit(2), F.floor((sent - tt.BASE_MS) * 3 / (newest + 1 - tt.BASE_MS))).cast("int")
+    stream, root = _in_parts(event_source.as_messages(readings), number, 3, "stream-sliced")
+    consumer = tables.TableConsumer(spark, f"{root}/tables", tt.fleet(spark, d), max_rows=_slice_rows(spark, d) // 3)
+    tables.follow(stream, consumer, f"{root}/checkpoint").awaitTermination()
+    return _lifecycle_columns(tables.table(spark, f"{root}/tables", "alerts"))
+
+
+@query
+def stream_incidents_resumed(spark, d):
+    """The first two thirds replayed as a table, the rest as a stream that goes on from what the replay carried over."""
+    readings = freeze(tt.incident_readings(spark, d).withColumn("_third", _third(spark, d, tt.INCIDENT_SQUEEZE)), "readings")
+    past = fleet.enrich(readings.where("_third < 2").select(*S.EVENT_COLUMNS, "input_kafka_ts"), tt.fleet(spark, d))
+    columns = [*S.EVENT_COLUMNS, "input_kafka_ts", *S.ENRICHMENT_COLUMNS]
+    before, state = carried.advance(past.select(*columns), carried.nothing(spark, past.select(*columns).schema))
+    messages = event_source.as_messages(readings.where("_third = 2"))
+    stream, root = _in_parts(messages, F.lit(0), 1, "stream-resumed")
+    carried.save(state, f"{root}/resume")
+    consumer = tables.TableConsumer(spark, f"{root}/tables", tt.fleet(spark, d), resume=f"{root}/resume")
+    tables.follow(stream, consumer, f"{root}/checkpoint").awaitTermination()
+    return _lifecycle_columns(before).unionByName(_lifecycle_columns(tables.table(spark, f"{root}/tables", "alerts")))
+
+
+@query
+def stream_accounts(spark, d):
+    """Messages, some of them broken, of units some of which are unknown, in an order that makes many late."""
+    messages = _messages(spark, d)
+    number = F.coalesce(F.regexp_extract("value", '"event_id":"([0-9]+)"', 1).try_cast("bigint") % 3, F.lit(0)).cast("int")
+    stream, root = _in_parts(messages, number, 3, "stream-accounts")
+    consumer = tables.TableConsumer(spark, f"{root}/tables", tt.fleet_with_gaps(spark, d))
+    tables.follow(stream, consumer, f"{root}/checkpoint").awaitTermination()
+    return tables.accounts(spark, f"{root}/tables")
+
+
+@query
+def stream_input_rate(spark, d):
+    """Sliding counts of arrivals; every seventh reading arrives up to three minutes after its time."""
+    readings = tt.readings(spark, d).select("event_id", "event_ts", "input_kafka_ts")
+    newest = tt.newest_ms(spark, d, tt.PLAIN_SQUEEZE)
+    seen = F.col("event_ts") + F.when(F.col("event_id").cast("bigint") % 7 == 0, 180_000).otherwise(0)
+    number = F.least(F.lit(3), F.floor((seen - tt.BASE_MS) * 4 / (newest + 1 - tt.BASE_MS))).cast("int")
+    stream, root = _in_parts(readings, number, 4, "stream-input-rate")
+    live.follow_updates(live.input_rate_counts(stream), f"{root}/parts", f"{root}/checkpoint").awaitTermination()
+    return live.input_rate(spark, f"{root}/parts", newest + 1)
+
+
+@query
+def stream_metrics_latest(spark, d):
+    progress = _progress(spark, d)
+    newest = tt.newest_ms(spark, d, tt.PLAIN_SQUEEZE)
+    stream, root = _in_parts(progress, _time_part("emit_ts", tt.BASE_MS, newest + 1, 3), 3, "stream-metrics")
+    updates = live.metric_updates(metrics.flatten_progress(stream))
+    live.follow_updates(updates, f"{root}/parts", f"{root}/checkpoint").awaitTermination()
+    return live.latest_metrics(spark, f"{root}/parts")

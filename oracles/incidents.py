@@ -242,3 +242,6 @@ SELECT freezer_id, incident_id, min(incident_started_ts) AS opened_ts, max(emit_
 FROM log GROUP BY freezer_id, incident_id
 """,
 }
+
+SQL["stream_incidents_resumed"] = SQL["stream_incidents_log"]
+SQL["stream_incidents_sliced"] = f"WITH RECURSIVE {lifecycle(one_hot_unit=True, tail=False)} SELECT {_COLUMNS}, closed_by, trend_points FROM log"

@@ -163,3 +163,6 @@ SELECT mode, coalesce(vol_in, 0) AS vol_in, coalesce(vol_out, 0) AS vol_out,
   CASE WHEN vol_out > 0 THEN 'normal' ELSE 'Live' END AS scenario_name FROM ins FULL JOIN outs USING (mode)
 """,
 }
+
+SQL |= {"stream_latency_percentiles": SQL["latency_percentiles"], "stream_kpi_business": SQL["kpi_business"],
+        "stream_input_rate": SQL["throughput_series"]}

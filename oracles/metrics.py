@@ -49,3 +49,5 @@ SELECT arg_max(scenario, (ts, scenario)) AS scenario, max(ts) AS ts FROM (
 ) WHERE scenario IS NOT NULL
 """,
 }
+
+SQL["stream_metrics_latest"] = SQL["metrics_latest"]

@@ -93,3 +93,18 @@ SELECT event_id, source_mode, now_ms AS processing_start_ts, now_ms AS alert_emi
 FROM alerted
 """,
 }
+
+# a reading is late if its unit had a newer one in an earlier part of the stream; parts go by the number modulo 3
+SQL["stream_accounts"] = f"""
+WITH {_PARSED},
+good AS (
+  SELECT freezer_id, event_ts, CAST(event_id AS VARCHAR) AS id, num % 3 AS part FROM messages
+  WHERE problem IS NULL AND freezer_id IN ({_JUDGED})),
+lateness AS (
+  SELECT count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS judged FROM (
+    SELECT EXISTS (SELECT 1 FROM good b WHERE b.freezer_id = a.freezer_id AND b.part < a.part
+                   AND (b.event_ts > a.event_ts OR (b.event_ts = a.event_ts AND b.id > a.id))) AS late FROM good a))
+SELECT count(*) AS messages, count(problem) AS quarantined,
+  count(*) FILTER (problem IS NULL AND freezer_id NOT IN ({_JUDGED})) AS missed, any_value(late) AS late, any_value(judged) AS judged
+FROM messages, lateness
+"""
