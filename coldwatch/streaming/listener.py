@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import sys
+import threading
 import time
 from collections.abc import Callable
 
@@ -26,8 +27,11 @@ class ProgressListener(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
+        self._guarded(lambda: self._publish((self._mode, event.progress.json, int(time.time() * 1000))))
+
+    def _guarded(self, work: Callable[[], None]) -> None:
         try:
-            self._publish((self._mode, event.progress.json, int(time.time() * 1000)))
+            work()
         except Exception as error:  # noqa: BLE001 - metrics must not take the query down
             if not self._warned:
                 self._warned = True
@@ -37,15 +41,32 @@ class ProgressListener(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
-
-
-def to_folder(spark: SparkSession, folder: str) -> Callable[[tuple[str, str, int]], None]:
-    """Publisher appending one-record JSON files to a folder."""
-    def publish(record: tuple[str, str, int]) -> None:
-        spark.createDataFrame([record], PROGRESS_DDL).coalesce(1).write.mode("append").json(folder)
-
-    return publish
+        flush = getattr(self._publish, "flush", None)
+        if flush is not None:
+            self._guarded(flush)
+
+
+class FolderPublisher:
+    """Publisher that keeps records and appends them to a folder as JSON, many at a time: one small job per
+    ``records`` records or ``seconds``, whichever comes first, and one at ``flush``. Listeners flush when a query ends."""
+
+    def __init__(self, spark: SparkSession, folder: str, records: int = 100, seconds: float = 30.0):
+        self._spark, self._folder, self._records, self._seconds = spark, folder, records, seconds
+        self._held: list[tuple[str, str, int]] = []
+        self._since, self._lock = time.monotonic(), threading.Lock()
+
+    def __call__(self, record: tuple[str, str, int]) -> None:
+        with self._lock:
+            self._held.append(record)
+            due = len(self._held) >= self._records or time.monotonic() - self._since >= self._seconds
+        if due:
+            self.flush()
+
+    def flush(self) -> None:
+        with self._lock:
+            held, self._held, self._since = self._held, [], time.monotonic()
+        if held:
+            self._spark.createDataFrame(held, PROGRESS_DDL).coalesce(1).write.mode("append").json(self._folder)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:

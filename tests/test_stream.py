@@ -1,6 +1,7 @@
 """Streams end to end: micro-batches, restart from a checkpoint, sinks, listener, timers, live KPIs."""
 import json
 import os
+import shutil
 import time
 
 import pytest
@@ -10,9 +11,9 @@ from coldwatch import schemas as S
 from coldwatch.operators import alerts, fleet, incidents, kpi, latency
 from coldwatch.sources import events as event_source
 from coldwatch.sources import telemetry_tables as tt
-from coldwatch.streaming import jobs, listener, live, sinks
+from coldwatch.streaming import carried, jobs, listener, live, sinks, tables
 from coldwatch.streaming.processor import IncidentProcessor, stream_incidents
-from samples import frame, reading
+from samples import DOOR, WIDE_OPEN, frame, reading, sequence
 
 KEY = ["incident_id", "lifecycle_event", "emit_ts", "event_id", "alert_type", "escalation_level"]
 
@@ -157,7 +158,7 @@ def test_row_sender(spark, feed, tmp_path):
 def test_listener_records_progress(spark, feed, tmp_path):
     df, folder = feed
     seen, metrics_folder = [], str(tmp_path / "metrics")
-    keep = listener.to_folder(spark, metrics_folder)
+    keep = listener.FolderPublisher(spark, metrics_folder, records=1000)
 
     def publish(record):
         seen.append(record)
@@ -175,6 +176,7 @@ def test_listener_records_progress(spark, feed, tmp_path):
         time.sleep(1.0)
     finally:
         spark.streams.removeListener(watch)
+    keep.flush()
     rows = listener.read_records(spark, metrics_folder).collect()
     assert len(rows) == len(seen) >= 1
     assert sum(r["num_input_rows"] for r in rows) == spark.read.schema(df.schema).parquet(str(folder / "part3")).count()
@@ -219,21 +221,115 @@ def test_time_to_live_outlasts_open_incidents(spark):
         IncidentProcessor(S.ENRICHED_SCHEMA, ttl_ms=S.STALE_MS)
 
 
-def test_live_kpis_and_compaction(spark, small, tmp_path):
+def test_live_kpis_and_folds(spark, small, tmp_path):
+    """The same before any fold, after one, and after more parts and a second one."""
     readings = fleet.enrich(tt.incident_readings(spark, small), tt.fleet(spark, small))
     log = tt.incident_log(incidents.replay(readings)).cache()
-    # in the middle of the log, too
     span = log.agg(F.min("alert_kafka_ts"), F.max("alert_kafka_ts")).first()
-    for at in (span[1], (span[0] + span[1]) // 2):
-        folder = tmp_path / str(at)
-        log.where(F.col("alert_kafka_ts") <= at).repartition(4).write.parquet(str(folder / "log"))
-        records = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "log"))
+    middle, end = (span[0] + span[1]) // 2, span[1]
+    folder = tmp_path / "live"
+    early = log.where(F.col("alert_kafka_ts") <= middle).repartition(2)
+    early.write.parquet(str(folder / "log"))
+
+    def take_in():
+        records = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(str(folder / "log"))
         for name in live.REDUCTIONS:
             live.follow(records, name, str(folder / name), str(folder / f"{name}-cp")).awaitTermination()
-            live.compact(spark, str(folder / name), name, str(folder / f"{name}-compact"))
-        for suffix in ("", "-compact"):
-            same(live.open_units(spark, str(folder / f"unit_states{suffix}"), at), kpi.open_units(log, at))
-            same(live.alert_rate(spark, str(folder / f"second_counts{suffix}"), at), latency.alert_rate(log, at))
+
+    def as_the_log_says(at):
+        at_hand = log.where(F.col("alert_kafka_ts") <= at)
+        same(live.open_units(spark, str(folder / "unit_states"), at), kpi.open_units(log, at))
+        same(live.alert_rate(spark, str(folder / "second_counts"), at), latency.alert_rate(log, at))
+        same(live.latency_percentiles(spark, str(folder / "latency_counts"), at), latency.percentiles(log, at))
+        whole = kpi.business(log, at)
+        same(live.business(spark, str(folder / "incident_counts"), str(folder / "latency_counts"), at).select(whole.columns), whole)
+        exact = {r.mode: r for r in kpi.business(at_hand, at).collect()}
+        for r in live.estimated_counts(spark, str(folder / "distinct_sketches")).collect():
+            assert r.units_monitored == pytest.approx(exact[r.mode].units_monitored, rel=0.05)
+            assert r.critical_incidents == pytest.approx(exact[r.mode].critical_incidents, rel=0.05, abs=1)
+
+    take_in()
+    as_the_log_says(middle)
+    for name in live.REDUCTIONS:
+        live.compact(spark, str(folder / name), name)
+    as_the_log_says(middle)
+    log.where(F.col("alert_kafka_ts") > middle).repartition(2).write.mode("append").parquet(str(folder / "log"))
+    take_in()
+    as_the_log_says(end)
+    for name in live.REDUCTIONS:
+        live.compact(spark, str(folder / name), name)
+    as_the_log_says(end)
+    # a fold that was cut off is not read
+    (folder / "unit_states" / "_folded" / "fold-000000009").mkdir()
+    as_the_log_says(end)
+
+
+def test_input_rate_takes_late_rows_until_the_watermark(spark, tmp_path):
+    base = 1_700_000_000_000
+    for i, times in enumerate([[base, base + 1000, base + 200_000], [base + 999, base + 1500], [base + 600_000], [base + 600_001], [base + 1600]]):
+        spark.createDataFrame([(t,) for t in times], "input_kafka_ts long").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema("input_kafka_ts long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    live.follow_updates(live.input_rate_counts(stream), str(tmp_path / "parts"), str(tmp_path / "cp")).awaitTermination()
+    counts = {r.slot: r.hits for r in live._newest_rows(spark, str(tmp_path / "parts"), ["slot"]).collect()}
+    # 999 and 1500 are three minutes late and count, 1600 comes after the watermark has passed it
+    assert counts[base // 1000 + 2] == 4 and counts[base // 1000 + 5] == 4 and counts[base // 1000 + 6] == 2
+
+
+def _carried_rows(df):
+    return sorted(map(str, df.select(*KEY).collect()))
+
+
+def test_batches_behind_what_was_carried(spark, tmp_path):
+    """Any cut of the readings into batches gives the replay's rows; a column added on the way is NULL in what came before."""
+    rows = [r for u in range(4) for r in sequence(f"FZ-{u}", [
+        (1000 + 7000 * i + 90 * u, DOOR if (i // (4 + u)) % 2 else {"temperature_c": -14.5 + (i % 3) / 4}) for i in range(60)])]
+    df = frame(spark, rows)
+    whole = incidents.replay(df, as_of_ms=0)
+    state, out, cuts = carried.nothing(spark, df.schema), [], [0, 50_000, 50_500, 260_000, 10**9]
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        batch = df.where(F.col("event_ts").between(low, high - 1))
+        if n >= 2:
+            batch = batch.withColumn("firmware", F.lit("v2"))
+        events, state = carried.advance(batch, state, max_rows=25)
+        out += _carried_rows(events)
+        if n == 2:  # rows on readings carried from before have no value in the new column
+            assert {r.firmware for r in events.select("firmware").collect()} <= {None, "v2"}
+        carried.save(state, str(tmp_path / str(n)))
+        schema = batch.schema if n != 1 else batch.withColumn("firmware", F.lit("v2")).schema
+        state = carried.load(spark, str(tmp_path / str(n)), schema)
+    assert sorted(out) == _carried_rows(whole)
+    spark.range(1).select(F.lit(99).alias("version")).write.mode("overwrite").parquet(str(tmp_path / "3" / "version"))
+    with pytest.raises(ValueError, match="later version"):
+        carried.load(spark, str(tmp_path / "3"), df.schema)
+
+
+def test_a_batch_is_valid_whole_or_not_at_all(spark, tmp_path):
+    units = frame(spark, [reading(freezer_id=u) for u in ("FZ-1", "FZ-2")]).select("freezer_id", *S.ENRICHMENT_COLUMNS)
+    root = str(tmp_path / "tables")
+    consumer = tables.TableConsumer(spark, root, units)
+
+    def messages(*rows, extra=()):
+        good = event_source.as_messages(frame(spark, list(rows)).select(*S.EVENT_COLUMNS, "input_kafka_ts")).select("value", "timestamp")
+        bad = spark.createDataFrame([(x,) for x in extra], "value string").withColumn("timestamp", F.lit(0).cast("timestamp"))
+        return good.unionByName(bad)
+
+    first = messages(reading(event_ts=1000, event_id="a", **DOOR), reading(freezer_id="FZ-9", event_id="b"), extra=["{"])
+    consumer(first, 0)
+    consumer(first, 0)  # again, as after a failure: nothing twice
+    second = messages(reading(event_ts=2000, event_id="c", **WIDE_OPEN), reading(event_ts=500, event_id="d", **DOOR))
+    consumer(second, 1)
+    account = tables.accounts(spark, root).first().asDict()
+    assert account == {"messages": 5, "quarantined": 1, "missed": 1, "late": 1, "judged": 2}
+    assert [r.raw for r in tables.table(spark, root, "quarantine").select(F.col("_raw").alias("raw")).collect()] == ["{"]
+    assert [r.event_id for r in tables.table(spark, root, "late").collect()] == ["d"]
+    assert [r.event_id for r in tables.table(spark, root, "missed").collect()] == ["b"]
+    got = sorted((r.event_id, r.lifecycle_event) for r in tables.table(spark, root, "alerts").collect())
+    assert got == [("a", "OPENED"), ("c", "ESCALATED")]
+    # cut off before its manifest: readers see nothing of it
+    shutil.rmtree(f"{root}/manifest/batch_id=1")
+    assert tables.accounts(spark, root).first().messages == 3 and tables.table(spark, root, "late").isEmpty()
+    consumer(second, 1)
+    assert tables.accounts(spark, root).first().asDict() == account
 
 
 def same(one, other):
