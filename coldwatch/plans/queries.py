@@ -13,7 +13,7 @@ from coldwatch.operators import (
 )
 from coldwatch.operators.skew import assign_slices
 from coldwatch.session import freeze, scratch_path
-from coldwatch.sources import control, events as event_source
+from coldwatch.sources import control, events as event_source, fleet_csv
 from coldwatch.sources import telemetry_tables as tt
 from coldwatch.streaming import carried, live, sinks, tables
 from coldwatch.streaming.processor import stream_incidents
@@ -428,6 +428,26 @@ def scenario_resolve(spark, d):
         chosen.alias("scenario"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts")))
 
 
+@query
+def scenario_from_folder(spark, d):
+    """The control folder: records written as JSON files, read back, the newest counts."""
+    ev, folder = tt.table(spark, d, "events"), scratch_path(spark, "control")
+    chosen = F.when(F.col("event_id") % 4 == 0, F.lit("maintenance")).when(
+        F.col("event_id") % 4 != 1, _scenario_of(F.col("event_type")))
+    control.append_records(ev.select(chosen.alias("scenario"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts")), folder)
+    return control.newest(control.read_records(spark, folder))
+
+
+@query
+def fleet_from_csv(spark, d):
+    """The three dimensions written as CSV with headers, read back with declared types and joined."""
+    folder = scratch_path(spark, "fleet-csv")
+    for name, rows in (("freezer_metadata", tt.units(spark, d).select(*S.UNIT_COLUMNS)), ("device_thresholds", fleet.thresholds(spark)),
+                       ("site_metadata", tt.sites(spark, d).select(*S.SITE_COLUMNS))):
+        rows.write.option("header", True).csv(f"{folder}/{name}")
+    return fleet_csv.load_fleet(spark, folder, suffix="")
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 def _event_stream(spark, d):

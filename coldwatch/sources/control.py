@@ -17,7 +17,16 @@ def append_scenario(spark: SparkSession, folder: str, scenario: str, ts_ms: int
     if scenario not in SCENARIOS:
         raise ValueError(f"unknown scenario {scenario!r}; known: {', '.join(SCENARIOS)}")
     ts_ms = int(time.time() * 1000) if ts_ms is None else ts_ms
-    spark.createDataFrame([(scenario, ts_ms)], CONTROL_SCHEMA).write.mode("append").json(folder)
+    append_records(spark.createDataFrame([(scenario, ts_ms)], CONTROL_SCHEMA), folder)
+
+
+def append_records(records: DataFrame, folder: str) -> None:
+    """Many records (scenario, ts) at once; those that name no known scenario are written too, readers pass over them."""
+    records.write.mode("append").json(folder)
+
+
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(CONTROL_SCHEMA).json(folder)
 
 
 def newest(records: DataFrame) -> DataFrame:
@@ -34,7 +43,7 @@ def current_scenario(spark: SparkSession, folder: str | None, default: str) -> s
     if not folder:
         return default
     try:
-        row = newest(spark.read.schema(CONTROL_SCHEMA).json(folder)).first()
+        row = newest(read_records(spark, folder)).first()
     except PySparkException as problem:  # no folder yet, or one that can't be read now
         print(f"control folder not read: {type(problem).__name__}", file=sys.stderr)
         return default

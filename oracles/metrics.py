@@ -51,3 +51,4 @@ SELECT arg_max(scenario, (ts, scenario)) AS scenario, max(ts) AS ts FROM (
 }
 
 SQL["stream_metrics_latest"] = SQL["metrics_latest"]
+SQL["scenario_from_folder"] = SQL["scenario_resolve"]

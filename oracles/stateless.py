@@ -108,3 +108,4 @@ SELECT count(*) AS messages, count(problem) AS quarantined,
   count(*) FILTER (problem IS NULL AND freezer_id NOT IN ({_JUDGED})) AS missed, any_value(late) AS late, any_value(judged) AS judged
 FROM messages, lateness
 """
+SQL["fleet_from_csv"] = SQL["fleet_load"]
