@@ -26,8 +26,10 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import Buckets, Memo, documents
+from coldwatch.llm.tables import Buckets, documents
 from coldwatch.session import freeze, scratch_path
 
 MASK = 0xA282EAD8  # fixed value: the constant that record files of this kind use
 LENGTH, CHECK, HEAD = "<Q", "<I", "<Bq"
 HEAD_BYTES = struct.calcsize(HEAD)
-CHUNKS, CORES = 200_000, 600_000
+KEPT = 600_000        # parts a worker remembers in each generation
+TOGETHER = 20_000     # parts per call of the library
+GROUP_BYTES = 4 << 20  # texts encoded together
 READ_BYTES = 8 << 20
 PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 
@@ -53,12 +57,15 @@ def masked(data: bytes) -> int:
 
 
 class ChunkEncoder:
-    """Whole texts to ids by the tokenizers library, one call per distinct word.
-
-    For a vocabulary whose pre-tokenizer drops white space, a text's ids are those of its
-    parts between ASCII white space, so each distinct part is encoded once and remembered. Of a
-    part of letters with closing punctuation, letters and punctuation are always separate
-    words, and are remembered separately. Other vocabularies get whole texts.
+    """Whole texts to ids by the tokenizers library, each distinct part encoded once while it is in use.
+
+    For a vocabulary whose words never hold or cross white space, a text's ids are those of its
+    parts between ASCII white space. The parts that a group of texts brings anew go through the library in one
+    call, joined by spaces, and are told apart by their offsets; words of plain letters are what normaliser and
+    pre-tokenizer leave as they are, and go straight to the library's model. Parts are remembered in two
+    generations: when the young one is full it becomes the old one, and what is used again moves back, so common parts stay.
+    Of a part of letters with closing punctuation, the two are separate words and remembered separately.
+    Other vocabularies get whole texts.
     """
 
     def __init__(self, vocabulary: str):
@@ -67,30 +74,77 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         whole = self._whole("Ab cd.\nAB")
-        self.by_word = whole == b"".join(map(self._whole, ("ab", "cd", ".", "ab")))
-        self.chunks = Memo(self._chunk, CHUNKS)
-        self.cores = Memo(self._core, CORES)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.by_word = (
+            whole == b"".join(map(self._whole, ("ab", "cd", ".", "ab")))
+            and not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added))
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _core(self, word: bytes) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode())], self.kind).tobytes()
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        plain = PLAIN.fullmatch(chunk)
-        if not plain:
-            return self._whole(chunk.decode())
-        word, marks = plain.groups()
-        ids = self.cores[word.lower()]
-        return ids + self.cores[marks] if marks else ids
+    def _encoded(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct parts, by one call of the library for ``TOGETHER`` of them."""
+        out = {}
+        for begin in range(0, len(parts), TOGETHER):
+            some = parts[begin:begin + TOGETHER]
+            texts = [p.decode() for p in some]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            if (np.diff(starts) < 0).any():
+                out.update(zip(some, map(self._whole, texts)))
+                continue
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+            ids = np.array(found.ids, self.kind).tobytes()
+            width, first = int(self.kind[-1]), 0
+            for part, last in zip(some, np.searchsorted(starts, ends).tolist()):
+                out[part] = ids[first * width:last * width]
+                first = last
+        return out
+
+    def _learn(self, parts: set[bytes]) -> None:
+        """Brings parts into the young generation."""
+        fresh = []
+        for part in parts:
+            ids = self.old.get(part)
+            if ids is None:
+                fresh.append(part)
+            else:
+                self.young[part] = ids
+        split = {part: (plain[1].lower(), plain[2]) for part in fresh if (plain := PLAIN.fullmatch(part))}
+        young, tokenize, code = self.young, self.tokenizer.model.tokenize, self.code
+        for word in {w for w, _ in split.values()}.difference(young):
+            young[word] = array(code, [t.id for t in tokenize(word.decode())]).tobytes()
+        marks = {m for _, m in split.values()}.difference(young, (b"",))
+        young.update(self._encoded([*marks, *(part for part in fresh if part not in split and part not in marks)]))
+        for part, (word, marks) in split.items():
+            young[part] = young[word] + young[marks] if marks else young[word]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [self._whole(t) if t else b"" for t in texts]
+        parts = [t.encode().split() if t else [] for t in texts]
+        distinct = set(chain.from_iterable(parts))
+        if len(distinct) > KEPT // 2:  # more than fits at once
+            return [b"".join([self._one(p) for p in text]) for text in parts]
+        if len(self.young) + len(distinct) > KEPT:  # all of a group's parts must be there together
+            self.old, self.young = self.young, {}
+        new = distinct.difference(self.young)
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.young.__getitem__, text)) for text in parts]
+
+    def _one(self, part: bytes) -> bytes:
+        if part not in self.young:
+            if len(self.young) >= KEPT:
+                self.old, self.young = self.young, {}
+            self._learn({part})
+        return self.young[part]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word:
-            return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.encode().split()))
+        return self.encode_all([text])[0]
 
 
 @cache
@@ -130,6 +184,19 @@ class Part:
         return {"part": self.number, "path": self.path, "n_records": self.n_records, "n_tokens": self.n_tokens}
 
 
+def encoded_rows(words: ChunkEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int, int | None, bytes]]:
+    """part, doc_id and ids of each row; texts become Python strings in groups of bounded size."""
+    held, size = [], 0
+    for row in zip(batch.column("part"), batch.column("doc_id"), batch.column("text")):
+        number, doc_id, text = (value.as_py() for value in row)
+        held.append((number, doc_id, text))
+        size += len(text or "")
+        if size >= GROUP_BYTES:
+            yield from ((n, d, ids) for (n, d, _), ids in zip(held, words.encode_all([t for _, _, t in held])))
+            held, size = [], 0
+    yield from ((n, d, ids) for (n, d, _), ids in zip(held, words.encode_all([t for _, _, t in held])))
+
+
 MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -147,13 +214,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> Dat
         width = int(words.kind[-1])
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
-            columns = (batch.column(name) for name in ("part", "doc_id", "text"))
-            for number, doc_id, text in zip(*columns):
-                number = number.as_py()
+            for number, doc_id, ids in encoded_rows(words, batch):
                 if part is None or part.number != number:
                     done += [part.close()] if part else []
                     part = Part(folder, number)
-                part.add(doc_id.as_py(), words.encode(text.as_py()) + end, width)
+                part.add(doc_id, ids + end, width)
         done += [part.close()] if part else []
         yield pa.RecordBatch.from_pylist(done, MANIFEST)
 
