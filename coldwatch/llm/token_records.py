@@ -22,7 +22,6 @@ table gives an empty manifest. Columns other than doc_id and text are ignored.
 """
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import Buckets, documents
+from coldwatch.llm.tables import Buckets, Memo, documents
 from coldwatch.session import freeze, scratch_path
 
 MASK = 0xA282EAD8  # fixed value: the constant that record files of this kind use
@@ -48,7 +47,7 @@ KEPT = 600_000        # parts a worker remembers in each generation
 TOGETHER = 20_000     # parts per call of the library
 GROUP_BYTES = 4 << 20  # texts encoded together
 READ_BYTES = 8 << 20
-PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+MARKS = b".,;:!?"
 
 
 def masked(data: bytes) -> int:
@@ -79,6 +78,7 @@ class ChunkEncoder:
             whole == b"".join(map(self._whole, ("ab", "cd", ".", "ab")))
             and not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added))
         self.code = "H" if self.kind == "<u2" else "I"
+        self.marks = Memo(lambda marks: self._whole(marks.decode()), KEPT)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -106,21 +106,24 @@ class ChunkEncoder:
 
     def _learn(self, parts: set[bytes]) -> None:
         """Brings parts into the young generation."""
-        fresh = []
+        young, known, tokenize, code, others = self.young, self.old.get, self.tokenizer.model.tokenize, self.code, []
         for part in parts:
-            ids = self.old.get(part)
+            ids = known(part)
             if ids is None:
-                fresh.append(part)
-            else:
-                self.young[part] = ids
-        split = {part: (plain[1].lower(), plain[2]) for part in fresh if (plain := PLAIN.fullmatch(part))}
-        young, tokenize, code = self.young, self.tokenizer.model.tokenize, self.code
-        for word in {w for w, _ in split.values()}.difference(young):
-            young[word] = array(code, [t.id for t in tokenize(word.decode())]).tobytes()
-        marks = {m for _, m in split.values()}.difference(young, (b"",))
-        young.update(self._encoded([*marks, *(part for part in fresh if part not in split and part not in marks)]))
-        for part, (word, marks) in split.items():
-            young[part] = young[word] + young[marks] if marks else young[word]
+                letters = part.rstrip(MARKS)
+                if not letters.isalpha():  # of bytes: ASCII letters only
+                    others.append(part)
+                    continue
+                word = letters.lower()
+                ids = young.get(word) or known(word)
+                if ids is None:
+                    ids = array(code, [t.id for t in tokenize(word.decode())]).tobytes()
+                young[word] = ids
+                if len(letters) < len(part):
+                    ids += self.marks[part[len(letters):]]
+            young[part] = ids
+        if others:
+            young.update(self._encoded(others))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
