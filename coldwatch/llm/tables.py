@@ -1,6 +1,8 @@
 """What the text operators share: reading the tables, ordered buckets, a bounded memo."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,18 @@ def long_rows(spark: SparkSession, most: int = 1000) -> None:
         spark.conf.set(key, str(most))
 
 
+@contextmanager
+def short_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """While it lasts, Arrow batches hold ``most`` rows at most; then the session is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    long_rows(spark, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Buckets:
     """Consecutive ranges of a whole-number key with about equal rows each.
 

@@ -77,12 +77,34 @@ def test_large_groups(spark, monkeypatch):
     draw.shuffle(texts)
     rows = list(enumerate(texts))
     monkeypatch.setattr(minhash, "SMALL", 20)
+    monkeypatch.setattr(minhash, "SIFTED", 60)  # larger nodes go to blocks unsifted
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)
     want = linked_documents(rows, 2)
     assert Counter(r[2] for r in want).most_common(1)[0][1] > 200
     assert sorted_rows(got) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("rows, columns", [(1, 5), (9, 7)])
+def test_common_values(monkeypatch, rows, columns):
+    monkeypatch.setattr(minhash, "COLUMNS", 3)  # counted in several parts
+    draw = random.Random(rows)
+    sets, others = ([{draw.randrange(40) for _ in range(draw.randint(1, 30))} for _ in range(n)] for n in (rows, columns))
+    arrays, other_arrays = ([np.array(sorted(s), np.uint64) for s in group] for group in (sets, others))
+    assert minhash.common(arrays, other_arrays).tolist() == [[len(a & b) for b in others] for a in sets]
+
+
+def test_short_texts_at_the_limit(spark):
+    """Sets of 4 to 20 shingles that share exactly 0.8, or one less: none is lost, none too many."""
+    rows = []
+    for k in range(400):
+        n = (4, 8, 12, 16, 20)[k % 5]
+        shared = [f"s{k}x{i}" for i in range(n)]
+        rows += [(len(rows), " ".join(shared)), (len(rows) + 1, " ".join([*shared, *(f"t{k}x{i}" for i in range(n // 4 + (k % 2)))]))]
+    got = sorted_rows(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1))
+    assert got == sorted(linked_documents(rows, 1), key=str)
+
+
 def missed(agree, trees, depth):
     """How many pairs with these agreeing tokens meet in no node of this depth."""
     draw = np.random.default_rng(8)
