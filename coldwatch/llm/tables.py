@@ -105,9 +105,13 @@ class Memo(dict):
         super().__init__()
         self.compute, self.limit = compute, limit
 
-    def __missing__(self, item):
-        if len(self) >= self.limit:
-            for old in list(islice(self, self.limit // 2)):
+    def room(self, items: int) -> None:
+        """Makes room for so many new items."""
+        if len(self) + items > self.limit:
+            for old in list(islice(self, max(self.limit // 2, len(self) + items - self.limit))):
                 del self[old]
+
+    def __missing__(self, item):
+        self.room(1)
         value = self[item] = self.compute(item)
         return value
