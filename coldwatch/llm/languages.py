@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import documents
+from coldwatch.llm.tables import documents, free_name
 from coldwatch.session import freeze
 
 BUCKETS = 4096
@@ -157,7 +157,8 @@ def limits(classes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame) -> Model:
     """A model from (doc_id, text, lang); rows without text or lang are left out."""
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    share = known.groupBy("lang").agg((F.lit(PER_LANGUAGE) / F.count(F.lit(1))).alias("share"))
+    # written once, a row per language: of known size, the join with it moves no text
+    share = freeze(known.groupBy("lang").agg((F.lit(PER_LANGUAGE) / F.count(F.lit(1))).alias("share")), "shares")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11) / F.lit(float(1 << 53))
     sample = freeze(known.join(share, "lang").where(draw < F.col("share")).select("lang", "text"), "language-sample")
 
@@ -198,9 +199,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def nearest(column: pa.Array) -> pa.Array:
         known = shared.value
-        names, texts = np.array([*known.languages, UNKNOWN]), [t or "" for t in column.to_pylist()]
-        out = []
-        for raw in blocks(texts):
+        names, out = np.array([*known.languages, UNKNOWN]), []
+        parts = (column.slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, len(column), TEXTS_AT_ONCE))
+        for raw in (raw for part in parts for raw in blocks([t or "" for t in part])):
             block, size = weighted(raw, known.idf), raw.sum(1)
             if known.languages:
                 cosines = block.astype(np.float32) @ known.centroids.T
@@ -214,8 +215,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
 
-    guess = docs.withColumn("__guess", nearest(F.col("text").cast("string")))
-    return guess.select(*(F.col(f"`{c}`") for c in docs.columns), "__guess.*")
+    name = free_name(docs, "guess")
+    guess = docs.withColumn(name, nearest(F.col("text").cast("string")))
+    return guess.select(*(F.col(f"`{c}`") for c in docs.columns), f"{name}.*")
+
+
+def known_only(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that are not rejected, with their own columns, whatever these are called."""
+    mark = free_name(docs, "judged")
+    judged = predict(docs.select(F.struct("*").alias(mark), "text"), model).where("NOT rejected")
+    return judged.select(f"{mark}.*")
 
 
 def held_out() -> Column:

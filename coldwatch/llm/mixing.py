@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import documents, partitions
+from coldwatch.llm.tables import documents, free_name, partitions
 from coldwatch.session import freeze
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -199,12 +199,13 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED
     share = mixture(docs, weights, seed).where("size > 0").groupBy("doc_id", "source", "size").agg(
         (F.sum("taken") / F.sum("size")).alias("rate"))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("d.doc_id"), F.xxhash64("d.text")), 11) / F.lit(float(1 << 53))
-    n = F.floor(F.col("rate") + chance).cast("int")
-    keyed = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    n = F.floor(F.col("m.rate") + chance).cast("int")
+    own, size = [F.col(f"d.`{c}`") for c in docs.columns], free_name(docs, "words")
+    keyed = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     same = (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source"))
-            & (F.col("d.__size") == F.col("m.size")))
+            & (F.col(f"d.{size}") == F.col("m.size")))
     joined = keyed.alias("d").join(share.alias("m"), same).where(n >= 1)
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), n)).alias("__copy")).drop("__copy", "__size")
+    return joined.withColumn(free_name(joined, "copy"), F.explode(F.sequence(F.lit(1), n))).select(*own)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

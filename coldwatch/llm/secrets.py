@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import documents
+from coldwatch.llm.tables import documents, free_name
 from coldwatch.session import freeze
 
 # The base patterns, the least length of what each must hold, in the order of kinds.
@@ -191,11 +191,11 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are one. Documents without secrets stay as they are.
     """
-    names = docs.columns
+    names, key, spans = docs.columns, free_name(docs, "key"), free_name(docs, "spans")
     scan = scanned(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"))
     found = scan.join(finds(scan), "row", "left").select(
-        F.col("doc_id").alias("__key"), ordered(F.concat("base", F.coalesce("random", F.array().cast(NONE)))).alias("__spans")
-    ).where(F.size("__spans") > 0).groupBy("__key").agg(F.first("__spans").alias("__spans"))
+        F.col("doc_id").alias(key), ordered(F.concat("base", F.coalesce("random", F.array().cast(NONE)))).alias(spans)
+    ).where(F.size(spans) > 0).groupBy(key).agg(F.first(spans).alias(spans))
 
     def cut(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
@@ -203,10 +203,10 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], piece).alias("text"))
 
     clean = F.aggregate(
-        "__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), cut,
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), cut,
         lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    joined = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(found, "__key", "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))).select(
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNotNull(), clean).otherwise(F.col("text"))).select(
         *(F.col(f"`{c}`") for c in names))
 
 

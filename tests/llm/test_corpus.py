@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from coldwatch.llm import fingerprints, languages, minhash, mixing, secrets
 from coldwatch.llm.queries import QUERIES
+from coldwatch.session import freeze
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -231,3 +232,17 @@ def test_pipeline(spark, small):
     assert all(r.ids == [*library.encode(r.decoded), 2] for r in rows[5])
     assert corpus_pipeline.run(spark, small).count() == len(rows[5])
     assert minhash.deduplicated(docs.limit(0)).count() == 0
+
+
+CLASHING = ["rejected", "score", "lang_pred", "judged", "guess", "key", "spans", "gone", "words", "size", "copy", "rate", "taken", "node"]
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    wide = freeze(docs.select("*", *(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHING if c not in docs.columns)), "wide")
+    own = [c for c in CLASHING if c not in docs.columns]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, wide, small)
+        assert rows.columns == wide.columns, name
+        for row in rows.select("doc_id", *own).collect():
+            assert all(row[c] == f"{c} {row.doc_id}" for c in own), name
