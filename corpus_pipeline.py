@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from coldwatch.llm import languages, minhash, mixing, pieces, secrets
 from coldwatch.session import freeze
@@ -23,8 +22,7 @@ VOCABULARY = "piece_bpe_32k.model"
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents that are not held out, keeps those near enough to a language."""
     model = languages.train(languages.learnt_from(docs))
-    judged = languages.predict(docs, model)
-    return judged.where(~F.col("rejected")).drop("lang_pred", "score", "rejected")
+    return languages.known_only(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
