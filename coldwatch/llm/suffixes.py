@@ -13,11 +13,13 @@ anchors at the same place, and comparing what surrounds equal anchors finds ever
     multikey quicksort, a word of eight bytes at a time and only among ties; neighbours are compared, also the last of
     a bucket and the first of the next. The same is done with the bytes before the anchor, read backwards.
     Two neighbours that agree for L bytes before and R bytes behind the anchor share all windows within.
-3.  The nearest neighbours bound what any other region can share: windows beyond their L or R repeat nowhere.
-    Windows within both bounds that no neighbour has shown are looked up by their own hashes. With that every
-    window is settled, and no group of equal anchors, however large, meets in one task.
+3.  The nearest neighbours bound what any other region can share: windows beyond their L or R repeat nowhere. *Open* are windows
+    within both bounds that no neighbour has shown: their partners, if any, stand apart in both orders. Where an anchor has open
+    windows at an offset, so are the windows of the regions that stand first, in the order of the bytes behind, of those next to each other that share
+    theirs, and these are compared with the open ones by their hashes. Regions that share a window with the one before them are spoken for by it, so a
+    passage in many documents gives few rows. With that every window is settled, and no group of equal anchors, however large, meets in one task.
 
-NULL texts count as empty; texts shorter than ``LENGTH`` bytes have no repeat. Repeated rows are repeats of each other.
+Buckets of suffixes grow in number with the suffixes (``PER_BUCKET``). NULL texts count as empty; texts shorter than ``LENGTH`` bytes have no repeat. Repeated rows are repeats of each other.
 Rows are known by doc_id and a hash of their text, so a repeated doc_id does no harm.
 """
 from __future__ import annotations
@@ -31,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import documents, long_rows, partitions
+from coldwatch.llm.tables import documents, partitions, short_batches
 from coldwatch.session import freeze
 
 LENGTH = 400
 GRAM = 64
 AT_ONCE = 1 << 21
 ROWS = 500
+PER_BUCKET = 40_000  # suffixes, about 2 KB each while they are sorted
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # fixed values: odd multipliers
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -193,17 +196,17 @@ def agreement(one: np.ndarray, other: np.ndarray, most: np.ndarray) -> np.ndarra
 SIDES = {"behind": LENGTH * 2, "before": LENGTH}
 MATCH = pa.schema([
     ("anchor", pa.int64()), ("content", pa.int64()), ("single", pa.bool_()), ("doc_id", pa.int64()), ("text_id", pa.int64()),
-    ("first", pa.int32()), ("windows", pa.int32()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("most", pa.int32()),
+    ("first", pa.int32()), ("windows", pa.int32()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("most", pa.int32()), ("second", pa.bool_()),
     ("bucket", pa.int32()), ("edge", pa.int32()), ("before", pa.binary()), ("behind", pa.binary()),
 ])
 MATCH_DDL = ("anchor long, content long, single boolean, doc_id long, text_id long, first int, windows int, at int, low int, high int, "
-             "most int, bucket int, edge int, before binary, behind binary")
+             "most int, second boolean, bucket int, edge int, before binary, behind binary")
 OWN = ["anchor", "content", "single", "doc_id", "text_id", "first", "windows", "at"]
 
 
 def compared(table: pa.Table, side: str) -> tuple[pa.Table, np.ndarray]:
     """What neighbours in the order of ``side`` share: for each region low to high, the windows (from the anchor) they have in common, and
-    how far the side agreed; and the order."""
+    how far the side agreed, whether the neighbour stands before it; and the order."""
     anchor, content = table.column("anchor").to_numpy(), table.column("content").to_numpy()
     bytes_, sizes = zip(*(matrix(table.column(name), SIDES[name]) for name in SIDES))
     at = list(SIDES).index(side)
@@ -215,15 +218,17 @@ def compared(table: pa.Table, side: str) -> tuple[pa.Table, np.ndarray]:
     rows = np.concatenate([one, other])
     own = table.select(OWN).take(pa.array(rows))
     low, high, most = (pa.array(np.tile(x, 2).astype(np.int32)) for x in (-before, behind - LENGTH, behind if side == "behind" else before))
+    second = pa.array(np.repeat([False, True], len(one)))
     nothing = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary())
-    out = pa.Table.from_arrays([*own.columns, low, high, most, *nothing], schema=MATCH)
+    out = pa.Table.from_arrays([*own.columns, low, high, most, second, *nothing], schema=MATCH)
     return out, order
 
 
 def dealt(found: DataFrame, side: str) -> DataFrame:
     """Suffixes in buckets of about equal size, by all that tells them apart: however many share an anchor and what follows."""
     other = next(name for name in SIDES if name != side)
-    return found.repartitionByRange(max(12, partitions(found.sparkSession)), "anchor", side, other)
+    buckets = max(12, partitions(found.sparkSession), -(-found.count() // PER_BUCKET))
+    return found.repartitionByRange(buckets, "anchor", side, other)
 
 
 def neighbours(found: DataFrame, side: str) -> DataFrame:
@@ -241,7 +246,7 @@ def neighbours(found: DataFrame, side: str) -> DataFrame:
         ends = table.take(pa.array(order[[0, -1]]))
         zero = pa.nulls(2, pa.int32())
         edge = pa.Table.from_arrays(
-            [*ends.select(OWN).columns, zero, zero, zero, pa.array([TaskContext.get().partitionId()] * 2, pa.int32()), pa.array([0, 1], pa.int32()),
+            [*ends.select(OWN).columns, zero, zero, zero, pa.nulls(2, pa.bool_()), pa.array([TaskContext.get().partitionId()] * 2, pa.int32()), pa.array([0, 1], pa.int32()),
              ends.column("before"), ends.column("behind")], schema=MATCH)
         yield from edge.to_batches()
 
@@ -258,7 +263,7 @@ def neighbours(found: DataFrame, side: str) -> DataFrame:
 
     # two rows per bucket
     edges = matches.where("edge IS NOT NULL").coalesce(1).mapInArrow(across, MATCH_DDL)
-    return matches.where("edge IS NULL").unionByName(edges).select(*OWN, "low", "high", F.lit(side).alias("side"), "most")
+    return matches.where("edge IS NULL").unionByName(edges).select(*OWN, "low", "high", F.lit(side).alias("side"), "most", "second")
 
 
 def shown(found: DataFrame) -> DataFrame:
@@ -268,17 +273,23 @@ def shown(found: DataFrame) -> DataFrame:
     clipped = pairs.withColumns({"low": F.greatest("low", own_low), "high": F.least("high", own_high)})
     direct = clipped.where("single AND low <= high").select(
         "doc_id", "text_id", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high") + LENGTH).alias("end"))
-    # offsets within both bounds that no neighbour has shown
-    bounds = clipped.where("single").groupBy("anchor", "content").agg(
+    # offsets within both bounds, and those that neighbours have shown: at most four neighbours, times cut texts
+    shared = F.when(F.col("low") <= F.col("high"), F.struct("low", "high"))
+    bounds = clipped.groupBy("anchor", "content").agg(
         F.max(F.when(F.col("side") == "before", F.col("most"))).alias("most_before"),
         F.max(F.when(F.col("side") == "behind", F.col("most"))).alias("most_behind"),
-        F.first(own_low).alias("own_low"), F.first(own_high).alias("own_high"),
-        F.collect_list(F.when(F.col("low") <= F.col("high"), F.struct("low", "high"))).alias("seen"))  # at most four neighbours, times cut texts
+        F.first("single").alias("single"), F.first(own_low).alias("own_low"), F.first(own_high).alias("own_high"),
+        F.collect_list(shared).alias("seen"),
+        F.collect_list(F.when((F.col("side") == "behind") & F.col("second"), shared)).alias("spoken_for"))
     low, high = F.greatest(-F.col("most_before"), F.col("own_low")), F.least(F.col("most_behind") - LENGTH, F.col("own_high"))
-    left = bounds.withColumns({"low": low, "high": high}).where("low <= high").select(
-        "anchor", F.explode(F.sequence("low", "high")).alias("offset"), "seen").where(
-        ~F.exists("seen", lambda s: (s["low"] <= F.col("offset")) & (F.col("offset") <= s["high"])))
-    asked = left.groupBy("anchor").agg(F.collect_set("offset").alias("offsets"))  # at most LENGTH offsets
+    bounds = freeze(bounds.select("anchor", "content", "single", low.alias("low"), high.alias("high"), "seen", "spoken_for").where("low <= high"), "bounds")
+    lies_in = lambda offset, stretches: F.exists(stretches, lambda s: (s["low"] <= offset) & (offset <= s["high"]))
+    asked = (
+        bounds.where("single")
+        .select("anchor", F.explode(F.filter(F.sequence("low", "high"), lambda o: ~lies_in(o, "seen"))).alias("offset"))
+        .groupBy("anchor").agg(F.collect_set("offset").alias("offsets")))  # at most LENGTH offsets
+    wanted = F.filter("offsets", lambda o: (F.col("low") <= o) & (o <= F.col("high")) & ~lies_in(o, "spoken_for"))
+    open_ = bounds.join(asked, "anchor").select("anchor", "content", wanted.alias("offsets")).where(F.size("offsets") > 0)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -288,16 +299,15 @@ def shown(found: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 text, first = row["before"][::-1] + row["behind"], row["first"] - row["at"]
                 for offset in row["offsets"]:
-                    if first <= offset < first + row["windows"]:
-                        piece = text[offset - first:offset - first + LENGTH]
-                        one, two = np.frombuffer(xxhash.xxh3_128_digest(piece), "<i8").tolist()
-                        out.append((row["anchor"], offset, one, two, row["content"], row["single"], row["doc_id"], row["text_id"], row["at"] + offset))
+                    piece = text[offset - first:offset - first + LENGTH]
+                    one, two = np.frombuffer(xxhash.xxh3_128_digest(piece), "<i8").tolist()
+                    out.append((row["anchor"], offset, one, two, row["content"], row["single"], row["doc_id"], row["text_id"], row["at"] + offset))
             if out:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
                                                  ["anchor", "offset", "one", "two", "content", "single", "doc_id", "text_id", "start"])
 
-    looked = freeze(found.join(asked, "anchor").mapInArrow(
+    looked = freeze(found.join(open_, ["anchor", "content"]).mapInArrow(
         windows, "anchor long, offset int, one long, two long, content long, single boolean, doc_id long, text_id long, start int"), "windows")
     key = ["anchor", "offset", "one", "two"]
     twice = looked.groupBy(*key).agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select(*key)
@@ -307,9 +317,9 @@ def shown(found: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, text_id, start, end: byte stretches made of repeated strings; they may overlap."""
-    every = found_regions(docs)
+    every = freeze(found_regions(docs), "every")
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    doubtful = freeze(every.join(often, "anchor"), "regions")
+    doubtful = freeze(every.join(often, "anchor", "left_semi"), "regions")
     kinds = doubtful.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_id", "first", "windows", "at")).alias("one"))
     kinds = freeze(kinds.select("anchor", "content", (F.col("n") == 1).alias("single"), "one.*"), "kinds")
@@ -321,8 +331,12 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row per row of ``docs``."""
-    long_rows(docs.sparkSession)
+    """doc_id, n_bytes, n_removed, n_kept, n_spans, kept_sha256: a row per row of ``docs``."""
+    with short_batches(docs.sparkSession, ROWS):
+        return freeze(_without_repeats(docs), "kept")
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
     known = identified(docs)
     spans = repeated(known).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = known.alias("d").join(
@@ -341,12 +355,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                         else:
                             cut.append([*s])
                     kept = b"".join(data[a:b] for a, b in zip([0, *(c[1] for c in cut)], [*(c[0] for c in cut), len(data)]))
-                    out.append((len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
+                    out.append((len(data), len(data) - len(kept), len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string())))],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())))],
+                    ["doc_id", "n_bytes", "n_removed", "n_kept", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_kept long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

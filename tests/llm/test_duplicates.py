@@ -147,7 +147,7 @@ def repeats(rows):
         covered = np.cumsum(covered)[:len(b)] > 0
         kept = bytes(np.frombuffer(b, np.uint8)[~covered])
         spans = int((np.diff(np.r_[0, covered.astype(int)]) == 1).sum())
-        out.append((doc_id, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((doc_id, len(b), len(b) - len(kept), len(kept), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -195,6 +195,35 @@ def test_planted_repeats(spark, monkeypatch, stretch):
     assert sorted_rows(suffixes.without_repeats(df)) == repeats(rows)
 
 
+def test_windows_shared_by_regions_apart_in_both_orders(spark):
+    """Texts share a core of 380 bytes and, with a first one, some bytes before and behind it that add up to about 20: the nearest in one order
+    agree too little on the other side, and the partner of a window is no neighbour in either."""
+    draw = random.Random(21)
+    text = lambda n: "".join(draw.choice("abcdefghijkl") for _ in range(n))
+    rows = []
+    for _ in range(4):
+        core, left, right = text(380), text(60), text(60)
+        for k in range(60):
+            before = draw.randint(0, 22)
+            behind = max(0, draw.randint(17, 22) - before)
+            rows.append((len(rows), text(200) + left[60 - before:] + core + right[:behind] + text(200)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted_rows(suffixes.without_repeats(df)) == repeats(rows)
+
+
+def test_buckets_grow_with_the_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PER_BUCKET", 10)
+    found = spark.range(1000).selectExpr("id AS anchor", "encode(string(id), 'UTF-8') AS before", "encode(string(id), 'UTF-8') AS behind")
+    assert suffixes.dealt(found, "behind").rdd.getNumPartitions() == 100
+
+
+def test_session_stays_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    suffixes.without_repeats(spark.createDataFrame([(1, "a" * 900)], "doc_id long, text string")).count()
+    assert spark.conf.get(key, None) == before
+
+
 def test_no_repeats(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert suffixes.without_repeats(df.limit(0)).count() == 0
