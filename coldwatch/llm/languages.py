@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import documents, free_name
+from coldwatch.llm.tables import documents, free_name, lean
 from coldwatch.session import freeze
 
 BUCKETS = 4096
@@ -197,23 +197,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
-    def nearest(column: pa.Array) -> pa.Array:
+    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
-        names, out = np.array([*known.languages, UNKNOWN]), []
-        parts = (column.slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, len(column), TEXTS_AT_ONCE))
-        for raw in (raw for part in parts for raw in blocks([t or "" for t in part])):
-            block, size = weighted(raw, known.idf), raw.sum(1)
-            if known.languages:
-                cosines = block.astype(np.float32) @ known.centroids.T
-                best = cosines.argmax(1)
-                score = np.clip(cosines[np.arange(len(best)), best], 0, 1).astype(float)
-            else:
-                best, score = np.full(len(block), -1), np.zeros(len(block))
-            empty = ~block.any(1)
-            best, score = np.where(empty, len(known.languages), best), np.where(empty, 0.0, score)
-            out.append((names[best], score, empty | (score < known.limits[length_class(size)])))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
+        names = np.array([*known.languages, UNKNOWN])
+
+        def judged(column: pa.Array) -> pa.Array:
+            out = []
+            parts = (column.slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, len(column), TEXTS_AT_ONCE))
+            for raw in (raw for part in parts for raw in blocks([t or "" for t in part])):
+                block, size = weighted(raw, known.idf), raw.sum(1)
+                if known.languages:
+                    cosines = block.astype(np.float32) @ known.centroids.T
+                    best = cosines.argmax(1)
+                    score = np.clip(cosines[np.arange(len(best)), best], 0, 1).astype(float)
+                else:
+                    best, score = np.full(len(block), -1), np.zeros(len(block))
+                empty = ~block.any(1)
+                best, score = np.where(empty, len(known.languages), best), np.where(empty, 0.0, score)
+                out.append((names[best], score, empty | (score < known.limits[length_class(size)])))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+            return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], fields=list(schema))
+
+        yield from lean(map(judged, batches))
 
     name = free_name(docs, "guess")
     guess = docs.withColumn(name, nearest(F.col("text").cast("string")))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldwatch.llm.components import components
-from coldwatch.llm.tables import documents, free_name, short_batches
+from coldwatch.llm.tables import documents, free_name, lean, short_batches
 from coldwatch.session import freeze
 
 TOKENS = 128
@@ -114,7 +114,7 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                     ["doc_id", "n", "set1", "set2", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        sign, "doc_id long, n long, set1 long, set2 long, tokens binary")
+        lambda batches: lean(sign(batches)), "doc_id long, n long, set1 long, set2 long, tokens binary")
 
 
 def roots(trees: range, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def branched(rows: DataFrame, start: str | None, levels: int, trees: range = ran
                     ["node", "id", "n", "bits"])
 
     columns = ["id", "n", "tokens", *([start] if start else [])]
-    return rows.select(*columns).mapInArrow(branch, "node long, id long, n long, bits long").dropDuplicates(["node", "id"])
+    return rows.select(*columns).mapInArrow(lambda batches: lean(branch(batches)), "node long, id long, n long, bits long").dropDuplicates(["node", "id"])
 
 
 def shared(nodes: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def sifted(ready: DataFrame) -> DataFrame:
     columns = ["node", "id", "n", "component", "asks"]
     rows = ready.withColumn("asks", F.col("component") != F.col("largest"))
     small = rows.where(F.col("members") <= SIFTED).select(*columns, "bits").repartition("node").sortWithinPartitions("node")
-    left = small.mapInArrow(sift, "node long, id long, n long, component long, asks boolean")
+    left = small.mapInArrow(lambda batches: lean(sift(batches)), "node long, id long, n long, component long, asks boolean")
     return freeze(left.unionByName(rows.where(F.col("members") > SIFTED).select(*columns)), "sifted")
 
 
@@ -319,7 +319,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     keys = ["node", "first", "second"]
     rows = pairs.join(sets, "id").select(*keys, "block", "component", "id", "shingles")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: lean(compare(batches)), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -331,7 +331,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     wanted = texts.join(nodes.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
-    return freeze(wanted.mapInArrow(build, "id long, shingles binary").where(F.octet_length("shingles") > 0), "sets")
+    return freeze(wanted.mapInArrow(lambda batches: lean(build(batches)), "id long, shingles binary").where(F.octet_length("shingles") > 0), "sets")
 
 
 def several_components(nodes: DataFrame, parts: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldwatch.llm.tables import Memo, documents, free_name
+from coldwatch.llm.tables import Memo, documents, free_name, lean
 
 CHUNKS, STRETCHES = 300_000, 600_000
 ROWS = 500
@@ -281,14 +281,18 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", name: str = "deco
 def encoded_and_decoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """All columns but text, with ids and decoded; ids stay in one task between the two."""
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def round_trip(texts: pa.Array) -> pa.Array:
+    def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = encoder(vocabulary)
-        columns = [[pa.array([], pa.list_(pa.int32()))], [pa.array([], pa.string())]]
-        for part in sliced(texts):
-            ids = [[*own, words.end_id] for own in words.encode_all(part)]
-            columns[0].append(pa.array(ids, pa.list_(pa.int32())))
-            columns[1].append(pa.array([*map(words.library.decode, ids)], pa.string()))
-        return pa.StructArray.from_arrays([*map(pa.concat_arrays, columns)], ["ids", "decoded"])
+
+        def both(texts: pa.Array) -> pa.Array:
+            columns = [[pa.array([], pa.list_(pa.int32()))], [pa.array([], pa.string())]]
+            for part in sliced(texts):
+                ids = [[*own, words.end_id] for own in words.encode_all(part)]
+                columns[0].append(pa.array(ids, pa.list_(pa.int32())))
+                columns[1].append(pa.array([*map(words.library.decode, ids)], pa.string()))
+            return pa.StructArray.from_arrays([*map(pa.concat_arrays, columns)], ["ids", "decoded"])
+
+        yield from lean(map(both, batches))
 
     others, pair = [c for c in docs.columns if c != "text"], free_name(docs, "pair")
     return docs.withColumn(pair, round_trip("text")).select(*(F.col(f"`{c}`") for c in others), f"{pair}.*")
@@ -314,7 +318,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        round_trip, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lambda batches: lean(round_trip(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
