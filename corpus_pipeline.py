@@ -14,15 +14,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from coldwatch.llm import languages, minhash, mixing, pieces, secrets
+from coldwatch.llm.tables import short_batches
 from coldwatch.session import freeze
 
 VOCABULARY = "piece_bpe_32k.model"
+ROWS = 500  # whole texts that a Python worker is handed at once
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents that are not held out, keeps those near enough to a language."""
     model = languages.train(languages.learnt_from(docs))
-    return languages.known_only(docs, model)
+    with short_batches(spark, ROWS):
+        return freeze(languages.known_only(docs, model), "known")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,8 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, decoded: what a trainer reads, and the text it stands for."""
-    return pieces.encoded_and_decoded(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY))
+    with short_batches(spark, ROWS):
+        return freeze(pieces.encoded_and_decoded(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY)), "encoded")
 
 
 STAGES = [
