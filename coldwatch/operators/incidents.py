@@ -44,7 +44,7 @@ EMITTED = T.StructType([
 
 _WORKING = {"slice", "stretch", "is_context", "last_slice", "verdict_type", "verdict_level", "prev_ts", "next_ts", "_alert", "_begins",
             "_silence", "_recovered", "_before_own", *HELD}
-_ALWAYS = ["freezer_id", "event_id", "event_ts", "temperature_c"]
+ALWAYS = ["freezer_id", "event_id", "event_ts", "temperature_c"]
 
 
 def judged(sliced: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def replay(enriched: DataFrame, as_of_ms: int | None = None, max_rows: int = MAX
     names the columns of the reading wanted on the result, ``temp_trend`` among them (default: all):
     readings are reduced to those that the lifecycle shows on, and these are written once.
     """
-    wanted = set(enriched.columns if carry is None else [*carry, *_ALWAYS])
+    wanted = set(enriched.columns if carry is None else [*carry, *ALWAYS])
     payload = [n for n in enriched.columns if n in wanted]
     plan, newest = plan_slices(enriched, max_rows, context_rows)
     as_of = F.lit(as_of_ms if as_of_ms is not None else None if newest is None else newest + 1).cast("bigint")

@@ -497,7 +497,7 @@ def stream_alert_rate(spark, d):
 def stream_incidents_log(spark, d):
     """The stateful consumer over a file stream of the events, on the event clock."""
     readings = tt.incident_readings(spark, d, _event_stream(spark, d))
-    emitted = stream_incidents(fleet.enrich(readings, tt.fleet(spark, d)), clock="event", output_mode="Append")
+    emitted = stream_incidents(fleet.enrich(readings, tt.fleet(spark, d)), clock="event", output_mode="Append", carry=[])
     return _run_to_table(_lifecycle_columns(emitted), "stream-incidents")
 
 

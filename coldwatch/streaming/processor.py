@@ -14,6 +14,7 @@ A reading older than its unit's newest is judged like any other (a step of at le
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -26,17 +27,22 @@ from coldwatch.operators import incidents
 from coldwatch.operators import lifecycle as L
 
 FLAGS = ["near_limit", "door_too_long", "compressor_risk", "weak_power", "multi",
-         "door_critical", "hot_critical"]
-_EMIT = incidents.EMITTED.names
+         "door_critical", "hot_critical", "defrosting"]
+NEAR_LIMIT, DOOR_TOO_LONG, COMPRESSOR_RISK, WEAK_POWER, MULTI, DOOR_CRITICAL, HOT_CRITICAL, DEFROSTING = (1 << i for i in range(len(FLAGS)))
+_JUDGED = ["event_ts", "temperature_c", "temperature_upper_limit", "_flags"]  # what Signals.judge takes
+# a trend leaves Python as two plain arrays, which cost less than an array of rows
+_EMIT = T.StructType([*incidents.EMITTED.fields[:-1], T.StructField("_trend_ts", T.ArrayType(T.LongType())),
+                      T.StructField("_trend_temp", T.ArrayType(T.DoubleType()))])
 _POINT = T.StructType([T.StructField("ts", T.LongType()), T.StructField("temp", T.DoubleType())])
 
 
 def with_flags(enriched: DataFrame) -> DataFrame:
-    """The single-reading predicates as boolean columns."""
+    """The single-reading predicates as the bits of one column: Python pays for each cell it is handed."""
     flags = rules.base_flags()
     flags["door_critical"] = F.col("door_open_seconds") > 2 * F.col("door_open_limit_seconds")
     flags["hot_critical"] = F.col("temperature_c") - F.col("temperature_upper_limit") >= S.CRITICAL_OVER_C
-    return enriched.withColumns({f"_{n}": F.coalesce(flags[n], F.lit(False)) for n in FLAGS})
+    flags["defrosting"] = F.col("defrost_cycle_active")
+    return enriched.withColumn("_flags", sum((F.when(flags[n], 1 << i).otherwise(0) for i, n in enumerate(FLAGS)), F.lit(0)))
 
 
 class Signals:
@@ -53,35 +59,34 @@ class Signals:
     def as_tuple(self) -> tuple:
         return tuple(getattr(self, name) for name, _ in self.FIELDS)
 
-    def judge(self, r) -> tuple[int | None, int | None, int]:
-        """Update with a reading; its alert type rank and level, and how long it was quiet."""
-        ts, temp = r["event_ts"], r["temperature_c"]
+    def judge(self, ts, temp, limit, flags) -> tuple[int | None, int | None, int]:
+        """Update with a reading's ``_JUDGED`` values; its alert type rank and level, and how long it was quiet."""
         before = temp if self.ewma is None else self.ewma
         self.ewma = S.EWMA_ALPHA * temp + (1 - S.EWMA_ALPHA) * before
         self.last_ts = ts
-        if r["defrost_cycle_active"]:
+        if flags & DEFROSTING:
             self.defrost_until = ts + S.DEFROST_GRACE_MS
         in_defrost = self.defrost_until is not None and ts < self.defrost_until
-        over = self.ewma - r["temperature_upper_limit"] > S.TIE_C
+        over = self.ewma - limit > S.TIE_C
         self.over_since = (ts if self.over_since is None else self.over_since) if over else None
         self.over_count = (self.over_count or 0) + 1 if over else 0
         over_held = over and (ts - self.over_since >= S.TEMP_HOLD_MS
                               or self.over_count >= S.TEMP_HOLD_READINGS)
-        bad = r["_compressor_risk"]
+        bad = flags & COMPRESSOR_RISK
         self.bad_since = (ts if self.bad_since is None else self.bad_since) if bad else None
         rising = self.ewma - before > S.TIE_C
 
         rank = level = None
-        if r["_multi"]:
+        if flags & MULTI:
             rank, level = 0, 2
-        elif r["_weak_power"] and (rising or r["_near_limit"]):
+        elif flags & WEAK_POWER and (rising or flags & NEAR_LIMIT):
             rank, level = 1, 2
         elif bad and ts - self.bad_since >= S.COMPRESSOR_HOLD_MS:
             rank, level = 2, 2 if over else 1
-        elif r["_door_too_long"]:
-            rank, level = 3, 2 if r["_door_critical"] else 0
+        elif flags & DOOR_TOO_LONG:
+            rank, level = 3, 2 if flags & DOOR_CRITICAL else 0
         elif over_held and not in_defrost:
-            rank, level = 4, 2 if r["_hot_critical"] else 0
+            rank, level = 4, 2 if flags & HOT_CRITICAL else 0
         if rank is not None:
             self.quiet_since = None
             return rank, level, 0
@@ -102,8 +107,8 @@ class IncidentProcessor(StatefulProcessor):
         self._event_clock = clock == "event"
         self._drop_late = late == "drop"
         self._ttl_ms = ttl_ms
-        self._out = Row(*payload.names, *_EMIT)
-        self._point = Row("ts", "temp")
+        self._out = Row(*payload.names, *_EMIT.names)
+        self._names = None
 
     def state_schema(self) -> T.StructType:
         fields = [T.StructField(n, t) for n, t in Signals.FIELDS]
@@ -118,9 +123,10 @@ class IncidentProcessor(StatefulProcessor):
         self._state = handle.getValueState("unit", self.state_schema(), self._ttl_ms)
 
     def _load(self):
-        if not self._state.exists():
+        v = self._state.get()
+        if v is None:
             return Signals(), None, None, [], None
-        v = tuple(self._state.get())
+        v = tuple(v)
         n = len(Signals.FIELDS)
         incident = L.Incident(*v[n:n + 5]) if v[n] is not None else None
         return Signals(*v[:n]), incident, v[n + 5], [tuple(p) for p in v[n + 6]], tuple(v[n + 7])
@@ -132,7 +138,7 @@ class IncidentProcessor(StatefulProcessor):
 
     def _row(self, last, ring, incident, event, at, closed_by) -> Row:
         return self._out(*last, incident.type_rank, incident.level, incident.started_ts, incident.peak,
-                         event, at, closed_by, [self._point(*p) for p in ring])
+                         event, at, closed_by, [p[0] for p in ring], [p[1] for p in ring])
 
     def _fire(self, incident, seen, until, last, ring):
         """Timer rows before ``until`` and the incident left open after them."""
@@ -152,24 +158,36 @@ class IncidentProcessor(StatefulProcessor):
         if incident is not None:
             self.handle.registerTimer(incident.next_beat)
 
+    def _picks(self, row) -> tuple:
+        """Order, payload and judged values of a row by position: looking names up takes longer than judging."""
+        names = list(row.__fields__)
+        if names != self._names:
+            self._names = names
+            columns = self._payload.names, _JUDGED
+            self._pick = (itemgetter(names.index("event_ts"), names.index("event_id")),
+                          *(itemgetter(*map(names.index, c)) for c in columns))
+        return self._pick
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         signals, incident, seen, ring, last = self._load()
         was_open = incident is not None and incident.started_ts
         wall = None if self._event_clock else timerValues.getCurrentProcessingTimeInMs()
         # the engine hands over a batch's rows of a unit in no particular order
-        for r in sorted(rows, key=lambda r: (r["event_ts"], r["event_id"])):
-            ts = r["event_ts"]
+        rows = list(rows)
+        order, payload, judged = self._picks(rows[0]) if rows else (None,) * 3
+        for r in sorted(rows, key=order):
+            values = judged(r)
+            ts, temp = values[:2]
             if self._drop_late and signals.last_ts is not None and ts < signals.last_ts:
                 continue
             now = ts if self._event_clock else wall
             if self._event_clock and incident is not None:
                 fired, incident = self._fire(incident, seen, ts, last, ring)
                 yield from fired
-            rank, level, quiet_ms = signals.judge(r)
-            last, seen = tuple(r[n] for n in self._payload.names), now
-            ring = (ring + [(ts, r["temperature_c"])])[-S.TREND_POINTS:]
-            incident, event, about = L.on_reading(
-                incident, ts, now, rank, level, r["temperature_c"], quiet_ms)
+            rank, level, quiet_ms = signals.judge(*values)
+            last, seen = payload(r), now
+            ring = (ring + [(ts, temp)])[-S.TREND_POINTS:]
+            incident, event, about = L.on_reading(incident, ts, now, rank, level, temp, quiet_ms)
             if event:
                 yield self._row(last, ring, about, event, now, "recovery" if event == S.RESOLVED else None)
         if last is not None:
@@ -196,14 +214,20 @@ class IncidentProcessor(StatefulProcessor):
 
 
 def stream_incidents(enriched: DataFrame, clock: str = "processing", late: str = "keep",
-                     output_mode: str = "Update", ttl_ms: int | None = None) -> DataFrame:
-    """Enriched stream to incident stream: one shuffle, on the unit."""
-    payload = T.StructType([T.StructField(f.name, f.dataType) for f in enriched.schema.fields])
-    known = with_flags(enriched.where(F.col("temperature_upper_limit").isNotNull()))
+                     output_mode: str = "Update", ttl_ms: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Enriched stream to incident stream: one shuffle, on the unit.
+
+    ``carry`` names the columns of the reading wanted on the result (default: all): no others travel or are kept in the state.
+    """
+    wanted = set(enriched.columns if carry is None else [*carry, *incidents.ALWAYS])
+    payload = T.StructType([T.StructField(f.name, f.dataType) for f in enriched.schema.fields if f.name in wanted])
+    known = with_flags(enriched.where(F.col("temperature_upper_limit").isNotNull())).select(
+        *payload.names, *(n for n in _JUDGED if n not in payload.names))
     emitted = known.groupBy("freezer_id").transformWithState(
         statefulProcessor=IncidentProcessor(payload, clock, late, ttl_ms),
-        outputStructType=T.StructType(payload.fields + incidents.EMITTED.fields),
+        outputStructType=T.StructType(payload.fields + _EMIT.fields),
         outputMode=output_mode,
         timeMode="None" if clock == "event" else "ProcessingTime",
     )
-    return incidents.finish(emitted)
+    trend = F.arrays_zip(F.col("_trend_ts").alias("ts"), F.col("_trend_temp").alias("temp"))
+    return incidents.finish(emitted.withColumn("temp_trend", trend).drop("_trend_ts", "_trend_temp"))
