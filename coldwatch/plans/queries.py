@@ -472,25 +472,41 @@ def stream_alerts(spark, d):
     return _run_to_table(alerts.as_record(stamped).drop("temp_trend"), "stream-alerts")
 
 
-def _follow_log(spark, d, reduction: str) -> tuple[str, int]:
-    """A stream over the incident log, cut into files, that arrived by the newest reading; the reduced
-    folder and that time."""
-    as_of, root = _as_of(spark, d), scratch_path(spark, f"live-{reduction}")
+FILES, ROWS_PER_FILE = 4, 100_000
+
+
+def _files(rows: int) -> int:
+    """How many files ``rows`` are written to and followed by: more with the rows, so that tasks grow in number and not in size."""
+    return max(FILES, -(-rows // ROWS_PER_FILE))
+
+
+LOG_CUTS = 5
+
+
+def _follow_log(spark, d, *reductions: str) -> tuple[list[str], int]:
+    """A stream over the incident log, cut into files, that arrived by the newest reading; the folder of each of the
+    ``reductions``, which follow the same log side by side, and that time."""
+    as_of, root = _as_of(spark, d), scratch_path(spark, "live-log")
     log = _log(spark, d).where(F.col("alert_kafka_ts") <= as_of)
-    log.repartition(5, "incident_id", "emit_ts").write.parquet(f"{root}/log")
-    records = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
-    live.follow(records, reduction, f"{root}/parts", f"{root}/checkpoint").awaitTermination()
-    return f"{root}/parts", as_of
+    cut = -(-tt.table(spark, d, "events").count() // (LOG_CUTS * ROWS_PER_FILE)) or 1  # files in each
+    log.repartition(LOG_CUTS * cut, "incident_id", "emit_ts").write.parquet(f"{root}/log")
+    records = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2 * cut).parquet(f"{root}/log")
+    running = [live.follow(records, name, f"{root}/{name}", f"{root}/{name}-checkpoint") for name in reductions]
+    for one in running:
+        one.awaitTermination()
+    return [f"{root}/{name}" for name in reductions], as_of
 
 
 @query
 def stream_open_units(spark, d):
-    return live.open_units(spark, *_follow_log(spark, d, "unit_states"))
+    [folder], as_of = _follow_log(spark, d, "unit_states")
+    return live.open_units(spark, folder, as_of)
 
 
 @query
 def stream_alert_rate(spark, d):
-    return live.alert_rate(spark, *_follow_log(spark, d, "second_counts"))
+    [folder], as_of = _follow_log(spark, d, "second_counts")
+    return live.alert_rate(spark, folder, as_of)
 
 
 @query
@@ -504,26 +520,17 @@ def stream_incidents_log(spark, d):
 @query
 def stream_latency_percentiles(spark, d):
     """From counts that follow the log and have been folded once on the way."""
-    folder, as_of = _follow_log(spark, d, "latency_counts")
+    [folder], as_of = _follow_log(spark, d, "latency_counts")
     live.compact(spark, folder, "latency_counts")
     return live.latency_percentiles(spark, folder, as_of)
 
 
 @query
 def stream_kpi_business(spark, d):
-    counts, as_of = _follow_log(spark, d, "incident_counts")
-    latencies, _ = _follow_log(spark, d, "latency_counts")
+    [counts, latencies], as_of = _follow_log(spark, d, "incident_counts", "latency_counts")
     return live.business(spark, counts, latencies, as_of)
 
 
-FILES, ROWS_PER_FILE = 4, 100_000
-
-
-def _files(rows: int) -> int:
-    """How many files ``rows`` are written to and followed by: more with the rows, so that tasks grow in number and not in size."""
-    return max(FILES, -(-rows // ROWS_PER_FILE))
-
-
 def _in_parts(df: DataFrame, number: Column, parts: int, label: str) -> tuple[DataFrame, str]:
     """A stream that brings ``df`` part by part, a micro-batch each; and a folder for what follows it."""
     spark, root = df.sparkSession, scratch_path(df.sparkSession, label)
