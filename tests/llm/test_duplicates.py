@@ -211,6 +211,49 @@ def test_windows_shared_by_regions_apart_in_both_orders(spark):
     assert sorted_rows(suffixes.without_repeats(df)) == repeats(rows)
 
 
+def test_no_task_takes_all_regions_of_an_anchor(spark, monkeypatch):
+    """A line of one letter in all documents: neither the regions of its anchor nor those found repeated meet in one task."""
+    draw = random.Random(33)
+    text = lambda n: "".join(draw.choice("abcdefghijkl") for _ in range(n))
+    rows = [(i, text(100) + "-" * 700 + text(100)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    largest = {}
+
+    def share(df):
+        counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        return max(counts, default=0) / max(1, sum(counts))
+
+    def frozen(df, label, freeze=suffixes.freeze):
+        largest[label] = share(df)
+        return freeze(df, label)
+
+    monkeypatch.setattr(suffixes, "freeze", frozen)
+    monkeypatch.setattr(suffixes, "FREQUENT", 50, raising=False)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = suffixes.repeated(suffixes.identified(df))
+        assert largest["regions"] < 0.5
+        assert share(found) < 0.5
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    monkeypatch.undo()
+    assert sorted_rows(suffixes.without_repeats(df)) == repeats(rows)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_frequent_keys_meet_what_the_others_meet(spark, monkeypatch, frequent):
+    monkeypatch.setattr(suffixes, "FREQUENT", frequent)
+    rows = spark.createDataFrame([(k, i) for k in range(8) for i in range(k)], "anchor long, i int")
+    keys = spark.createDataFrame([(k, k, f"of {k}") for k in range(2, 10)], "anchor long, n long, of string")
+    met = suffixes.met(rows, keys, ["anchor"]).select("anchor", "i", "of")
+    assert sorted_rows(met) == sorted(((k, i, f"of {k}") for k in range(2, 8) for i in range(k)), key=str)
+    assert suffixes.met(rows, keys.limit(0), ["anchor"]).count() == 0
+
+
 def test_buckets_grow_with_the_suffixes(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PER_BUCKET", 10)
     found = spark.range(1000).selectExpr("id AS anchor", "encode(string(id), 'UTF-8') AS before", "encode(string(id), 'UTF-8') AS behind")
