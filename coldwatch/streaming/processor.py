@@ -23,28 +23,18 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from coldwatch import schemas as S
 from coldwatch.functions import rules
+from coldwatch.functions.rules import FLAGS, with_flags  # Python pays for each cell it is handed
 from coldwatch.operators import incidents
 from coldwatch.operators import lifecycle as L
 
-FLAGS = ["near_limit", "door_too_long", "compressor_risk", "weak_power", "multi",
-         "door_critical", "hot_critical", "defrosting"]
 NEAR_LIMIT, DOOR_TOO_LONG, COMPRESSOR_RISK, WEAK_POWER, MULTI, DOOR_CRITICAL, HOT_CRITICAL, DEFROSTING = (1 << i for i in range(len(FLAGS)))
-_JUDGED = ["event_ts", "temperature_c", "temperature_upper_limit", "_flags"]  # what Signals.judge takes
+_JUDGED = ["event_ts", "temperature_c", "temperature_upper_limit", rules.BITS]  # what Signals.judge takes
 # a trend leaves Python as two plain arrays, which cost less than an array of rows
 _EMIT = T.StructType([*incidents.EMITTED.fields[:-1], T.StructField("_trend_ts", T.ArrayType(T.LongType())),
                       T.StructField("_trend_temp", T.ArrayType(T.DoubleType()))])
 _POINT = T.StructType([T.StructField("ts", T.LongType()), T.StructField("temp", T.DoubleType())])
 
 
-def with_flags(enriched: DataFrame) -> DataFrame:
-    """The single-reading predicates as the bits of one column: Python pays for each cell it is handed."""
-    flags = rules.base_flags()
-    flags["door_critical"] = F.col("door_open_seconds") > 2 * F.col("door_open_limit_seconds")
-    flags["hot_critical"] = F.col("temperature_c") - F.col("temperature_upper_limit") >= S.CRITICAL_OVER_C
-    flags["defrosting"] = F.col("defrost_cycle_active")
-    return enriched.withColumn("_flags", sum((F.when(flags[n], 1 << i).otherwise(0) for i, n in enumerate(FLAGS)), F.lit(0)))
-
-
 class Signals:
     """Running signals of one unit, held across readings."""
 
